@@ -42,3 +42,347 @@ def weekly_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def monthly_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = fixtures.transactions(spark, sf_dir)
     return round_doubles(fe.build_features(tx, fe.MONTHLY, narrow=False))
+
+
+# --- helpers shared by several queries -------------------------------------------------
+
+# The time split of the fixture data (its sales run 1995..2001-08).
+FIXTURE_TRAIN_START = "1996-01-01"
+FIXTURE_TEST_START = "2001-01-01"
+FIXTURE_TEST_END = "2002-01-01"
+
+
+def _features(spark: SparkSession, sf_dir: str, grain: fe.Grain, **kw) -> DataFrame:
+    return fe.build_features(fixtures.transactions(spark, sf_dir), grain, narrow=False, **kw)
+
+
+def _naive_stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.operators import evaluation as ev
+
+    tx = fixtures.transactions(spark, sf_dir)
+    preds = [
+        ev.naive_forecast(
+            fe.build_features(tx, g, narrow=False), g, FIXTURE_TEST_START, FIXTURE_TEST_END
+        )
+        for g in (fe.WEEKLY, fe.MONTHLY)
+    ]
+    return ev.stack_horizons(*preds)
+
+
+# --- ingest ----------------------------------------------------------------------------
+
+
+def spoilt_raw_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as a raw POS export: every field text, padded headers, a header
+    alias, and one kind of damage per line number (bad date, ``1.5d`` price, empty
+    quantity, bad time, lenient time with an exponent price, null-token name)."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+        "l_shipdate", "l_returnflag",
+    )
+    n = F.col("l_linenumber")
+    as_text = lambda c: c.cast("string")
+    net = F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))
+    return li.select(
+        as_text(F.col("l_orderkey")).alias("Transaction ID"),
+        F.when(n == 2, F.lit("bad")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias(" Date"),
+        F.when(n == 5, F.lit("bad")).when(n == 6, F.lit("9:05 PM")).otherwise(F.lit("10:30:00")).alias("Time "),
+        as_text(F.col("l_partkey")).alias("ProductID"),
+        F.when(n == 7, F.lit("N/A")).otherwise(F.concat(F.lit("part "), as_text(F.col("l_partkey")))).alias(
+            "ProductName"
+        ),
+        F.col("l_returnflag").alias("Category"),
+        F.when(n == 3, F.lit("1.5d")).otherwise(as_text(F.col("l_extendedprice") / F.col("l_quantity"))).alias(
+            "UnitPrice"
+        ),
+        as_text(F.col("l_extendedprice")).alias("BuyingPrice"),
+        F.when(n == 6, F.lit(" 1e3 ")).otherwise(as_text(net / F.col("l_quantity"))).alias("SellingPrice"),
+        F.when(n == 4, F.lit("")).otherwise(as_text(F.col("l_quantity"))).alias("Quantity"),
+        as_text(net).alias("Total_LKR"),
+        as_text(F.col("l_linenumber")).alias("line"),
+    )
+
+
+@register("ingest_coercion")
+def ingest_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.operators.cleaning import clean_transactions
+    from shelfcast.sources.contract import RAW_REQUIRED, align_headers, require_columns, strip_headers, to_our_names
+
+    raw = align_headers(strip_headers(spoilt_raw_lineitems(spark, sf_dir)))
+    raw = to_our_names(require_columns(raw, RAW_REQUIRED, "spoilt lineitem"))
+    return clean_transactions(raw).select(
+        "txn_id", F.col("line").cast("int").alias("line"), "sale_date", "sold_at", "product_id", "product_name",
+        "category", "unit_price", "buying_price", "selling_price", "quantity", "total_amount",
+    )
+
+
+@register("price_rounding")
+def price_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.operators.cleaning import unit_margin
+
+    tx = unit_margin(fixtures.transactions(spark, sf_dir))
+    return tx.select(
+        "txn_id", "product_id", "sale_date", "unit_price", "buying_price", "selling_price", "quantity",
+        "total_amount", "unit_margin", "payment_method",
+    )
+
+
+# --- features --------------------------------------------------------------------------
+
+
+@register("weekly_rollup")
+def weekly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(fe.rollup(fixtures.transactions(spark, sf_dir), fe.WEEKLY))
+
+
+@register("monthly_rollup")
+def monthly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(fe.rollup(fixtures.transactions(spark, sf_dir), fe.MONTHLY))
+
+
+def _lags(spark: SparkSession, sf_dir: str, g: fe.Grain) -> DataFrame:
+    rolled = fe.rollup(fixtures.transactions(spark, sf_dir), g)
+    return round_doubles(
+        fe.add_history(rolled, g).select(*fe.PRODUCT_KEYS, g.period_col, "quantity", *g.history_cols)
+    )
+
+
+@register("weekly_lags")
+def weekly_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lags(spark, sf_dir, fe.WEEKLY)
+
+
+@register("monthly_lags")
+def monthly_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lags(spark, sf_dir, fe.MONTHLY)
+
+
+@register("gap_filled_weekly")
+def gap_filled_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(_features(spark, sf_dir, fe.WEEKLY, fill=True))
+
+
+@register("daily_lags")
+def daily_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(fe.daily_features(fixtures.transactions(spark, sf_dir)))
+
+
+# --- exploration -----------------------------------------------------------------------
+
+
+def _explore(name: str) -> Query:
+    from shelfcast.operators import explore as ex
+
+    op = getattr(ex, name)
+
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return round_doubles(op(fixtures.transactions(spark, sf_dir)))
+
+    q.__name__ = name
+    return q
+
+
+for _name in (
+    "monthly_price_trend",
+    "daily_quantity",
+    "basket_sizes",
+    "basket_histogram",
+    "top_products",
+    "monthly_revenue",
+    "category_revenue",
+    "margin_histogram",
+):
+    register(_name)(_explore(_name))
+
+
+def _hourly(name: str) -> Query:
+    from shelfcast.operators import explore as ex
+
+    op = getattr(ex, name)
+
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return op(fixtures.hourly_transactions_view(spark, sf_dir))
+
+    q.__name__ = name
+    return q
+
+
+for _name in ("hourly_transactions", "weekday_hour_quantity", "weekday_hour_matrix"):
+    register(_name)(_hourly(_name))
+
+
+# --- dataset and evaluation ------------------------------------------------------------
+
+
+@register("time_split")
+def time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.operators.dataset import time_split as split
+
+    feats = _features(spark, sf_dir, fe.WEEKLY)
+    train, test = split(feats, "week_ending", FIXTURE_TRAIN_START, FIXTURE_TEST_START, FIXTURE_TEST_END)
+    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    return both.groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("quantity").alias("quantity"),
+        F.min("week_ending").alias("first_period"),
+        F.max("week_ending").alias("last_period"),
+    )
+
+
+@register("forecast_metrics")
+def forecast_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.operators.evaluation import metric_pack
+
+    return round_doubles(metric_pack(_naive_stacked(spark, sf_dir), group_by=("horizon", "category")))
+
+
+@register("accuracy_table")
+def accuracy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.operators.evaluation import accuracy_table as table
+
+    return round_doubles(table(_naive_stacked(spark, sf_dir)))
+
+
+@register("actual_vs_predicted")
+def actual_vs_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.operators.evaluation import actual_vs_predicted as avp
+
+    return round_doubles(avp(_naive_stacked(spark, sf_dir)))
+
+
+@register("top_forecast_product")
+def top_forecast_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.operators.evaluation import top_forecast_product as top
+
+    return round_doubles(top(_naive_stacked(spark, sf_dir)))
+
+
+@register("top_product_series")
+def top_product_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.operators.evaluation import top_product_series as series
+
+    return round_doubles(series(_naive_stacked(spark, sf_dir)))
+
+
+# --- blending and scoring --------------------------------------------------------------
+
+
+def _weekly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly features with three stand-in model scores and a stand-in class."""
+    feats = _features(spark, sf_dir, fe.WEEKLY)
+    return feats.select(
+        *fe.PRODUCT_KEYS,
+        "week_ending",
+        (F.col("lag_1_week") > 20).cast("int").alias("demand_class"),
+        F.col("lag_1_week").cast("double").alias("score_a"),
+        F.col("lag_2_weeks").cast("double").alias("score_b"),
+        F.when(F.col("lag_2_weeks") > 40, F.lit(float("nan")))
+        .otherwise(F.col("rolling_mean_4_weeks"))
+        .alias("score_c"),
+    )
+
+
+@register("gated_blend")
+def gated_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.operators.ensemble import gated_blend as blend
+
+    s = _weekly_scores(spark, sf_dir)
+    return s.select(
+        *fe.PRODUCT_KEYS,
+        "week_ending",
+        "demand_class",
+        blend(F.col("demand_class"), [F.col("score_a"), F.col("score_b"), F.col("score_c")]).alias(
+            "predicted_quantity"
+        ),
+    )
+
+
+ENSEMBLE_MODELS = ("xgb_regressor", "lgbm_regressor", "rf_regressor")
+
+
+@register("weighted_ensemble")
+def weighted_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.operators.ensemble import DEFAULT_BLEND_WEIGHTS, resolve_weights, to_demand, weighted_score
+
+    weights = resolve_weights(ENSEMBLE_MODELS, DEFAULT_BLEND_WEIGHTS)
+    s = _weekly_scores(spark, sf_dir)
+    scores = dict(zip(ENSEMBLE_MODELS, (F.col("score_a"), F.col("score_b"), F.col("score_c"))))
+    out = s.select(*fe.PRODUCT_KEYS, "week_ending", weighted_score(scores, weights).alias("ensemble_score"))
+    return round_doubles(out.withColumn("predicted_demand", to_demand(F.col("ensemble_score"))))
+
+
+@register("log_target_inverse")
+def log_target_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.operators.ensemble import inverse_log_target, to_demand
+
+    feats = _features(spark, sf_dir, fe.WEEKLY)
+    score = F.when(F.col("lag_1_week") > F.col("lag_2_weeks"), F.col("lag_1_week").cast("double")).otherwise(
+        F.col("log_quantity")
+    )
+    out = feats.select("product_id", "product_name", "category", "week_ending", score.alias("score"))
+    out = out.withColumn("demand_value", inverse_log_target(F.col("score")))
+    return round_doubles(out.withColumn("predicted_demand", to_demand(F.col("demand_value"))))
+
+
+@register("latest_features")
+def latest_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.operators.scoring import latest_rows
+
+    return round_doubles(latest_rows(_features(spark, sf_dir, fe.WEEKLY), fe.WEEKLY))
+
+
+def catalogue_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecast requests for the whole part catalogue: ids padded with blanks, some
+    unknown (``X`` prefix), timeframes in mixed case, some invalid (``Daily``)."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
+    size = F.col("p_size")
+    key = F.col("p_partkey").cast("string")
+    return part.select(
+        F.col("p_partkey").alias("request_id"),
+        F.when(size >= 47, F.concat(F.lit("X"), key)).otherwise(F.concat(F.lit("  "), key, F.lit(" "))).alias(
+            "product_id"
+        ),
+        F.when(size.between(41, 43), F.lit("Daily"))
+        .when(size <= 20, F.lit(" Weekly"))
+        .when(size <= 30, F.lit("MONTHLY "))
+        .otherwise(F.lit("weekly"))
+        .alias("timeframe"),
+    )
+
+
+@register("score_requests")
+def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.operators.scoring import attach_latest, latest_by_timeframe, normalize_requests
+
+    tx = fixtures.transactions(spark, sf_dir)
+    latest = latest_by_timeframe(
+        fe.build_features(tx, fe.WEEKLY, narrow=False),
+        fe.build_features(tx, fe.MONTHLY, narrow=False),
+        columns=("quantity",),
+    )
+    out = attach_latest(normalize_requests(catalogue_requests(spark, sf_dir)), latest)
+    return out.select("request_id", "product_id", "timeframe", "status", "period", "quantity")
+
+
+def daily_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single-row requests from the daily features, spoilt on some days of the month
+    (price 0, weekday 7 or -1, month 13 or 0)."""
+    daily = fe.daily_features(fixtures.transactions(spark, sf_dir))
+    dom = F.dayofmonth("sale_date")
+    return daily.select(
+        F.col("product_id").alias("item_id"),
+        "sale_date",
+        "lag_7",
+        "lag_14",
+        "is_weekend",
+        F.when(dom == 5, F.lit(0.0)).otherwise(F.col("selling_price")).alias("selling_price"),
+        F.when(dom == 10, F.lit(7)).when(dom == 20, F.lit(-1)).otherwise(F.col("day_of_week")).alias("day_of_week"),
+        F.when(dom == 15, F.lit(13)).when(dom == 25, F.lit(0)).otherwise(F.col("month")).alias("month"),
+    )
+
+
+@register("validate_requests")
+def validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.operators.scoring import validate_requests as validate
+
+    return round_doubles(validate(daily_requests(spark, sf_dir)))
