@@ -386,3 +386,49 @@ def validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfcast.operators.scoring import validate_requests as validate
 
     return round_doubles(validate(daily_requests(spark, sf_dir)))
+
+
+# --- model fitting and scoring (rows-only checks: no SQL statement of a tree fit) ----
+
+def quick_config():
+    """Reduced tree counts for the catalogue runs; library defaults are full size."""
+    from shelfcast.operators.modeling import TwoStageConfig
+
+    return TwoStageConfig(classifier_iters=5, regressor_iters=5, forest_trees=5, regressor_a_depth=5,
+                          regressor_b_depth=4, forest_depth=6)
+
+
+def _fit_weekly(spark: SparkSession, sf_dir: str):
+    from shelfcast.operators.dataset import feature_columns, time_split
+    from shelfcast.operators.modeling import train_two_stage
+
+    feats = fe.build_features(fixtures.transactions(spark, sf_dir), fe.WEEKLY, narrow=False)
+    train, test = time_split(feats, "week_ending", FIXTURE_TRAIN_START, FIXTURE_TEST_START, FIXTURE_TEST_END)
+    cols = feature_columns(feats)
+    model = train_two_stage(train, cols, quick_config(), date_column="week_ending")
+    return feats, test, model
+
+
+@register("two_stage_forecast")
+def two_stage_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.operators.modeling import predict_two_stage, prediction_table
+
+    _, test, model = _fit_weekly(spark, sf_dir)
+    return prediction_table(predict_two_stage(model, test), "week_ending")
+
+
+@register("forecast_latest")
+def forecast_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.operators.scoring import forecast_latest as score
+
+    feats, _, model = _fit_weekly(spark, sf_dir)
+    return score(model, feats, fe.WEEKLY)
+
+
+@register("score_valid_requests")
+def score_valid_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfcast.operators.scoring import score_requests_with_model, train_request_model, validate_requests
+
+    daily = fe.daily_features(fixtures.transactions(spark, sf_dir))
+    model = train_request_model(daily, iters=5, depth=4)
+    return score_requests_with_model(model, validate_requests(daily_requests(spark, sf_dir)))
