@@ -31,8 +31,9 @@ NULL_TOKENS = (
 
 # A plain decimal number with optional sign and exponent. Spark's own cast also
 # accepts suffixes such as ``1.5d`` and words such as ``Infinity``; both are
-# rejected here, as are thousands separators (``1,5``).
-DECIMAL_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+# rejected here, as are thousands separators (``1,5``) and every null token.
+# At most 30 integer digits and a two-digit exponent: the value is always finite.
+DECIMAL_PATTERN = r"^[+-]?([0-9]{1,30}[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]{1,2})?$"
 
 
 def null_tokens_to_null(c: Column) -> Column:
@@ -41,10 +42,13 @@ def null_tokens_to_null(c: Column) -> Column:
 
 
 def guarded_double(c: Column) -> Column:
-    """Parse text as DOUBLE; anything that is not a plain finite decimal becomes NULL."""
-    t = F.trim(c.cast("string"))
-    parsed = F.when(t.rlike(DECIMAL_PATTERN), t.try_cast("double"))
-    return F.when(is_finite(parsed), parsed)
+    """Parse text as DOUBLE; anything that is not a plain decimal becomes NULL.
+
+    The input is read once: a non-matching field extracts as '' and casts to
+    NULL. (Written so because Catalyst inlines this expression into a later
+    null filter; every extra reference would be parsed again.)
+    """
+    return F.regexp_extract(F.trim(c.cast("string")), DECIMAL_PATTERN, 0).try_cast("double")
 
 
 def is_finite(c: Column) -> Column:

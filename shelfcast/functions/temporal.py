@@ -21,29 +21,38 @@ DEFAULT_MONTH_FLAGS = {
 }
 
 
+# Text that cannot be a date or a clock time skips the formatters: a failed format
+# costs a caught exception inside Spark, a regex test does not.
+DATE_SHAPE = r"^[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}"
+TIME_SHAPE = r"^[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?( ?[AaPp][Mm])?$"
+
+
+def _first_format(t: Column, formats: Sequence[str], shape: str | None) -> Column:
+    parsed = F.coalesce(*[F.try_to_timestamp(t, F.lit(fmt)) for fmt in formats])
+    return F.when(t.rlike(shape), parsed) if shape else parsed
+
+
 def parse_date(c: Column, formats: Sequence[str] = DEFAULT_DATE_FORMATS) -> Column:
     """Text to DATE trying each format in order; unparseable -> NULL."""
     t = F.trim(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(fmt)) for fmt in formats]).cast("date")
+    shape = DATE_SHAPE if formats == DEFAULT_DATE_FORMATS else None
+    return _first_format(t, formats, shape).cast("date")
 
 
 def parse_time_of_day(c: Column, formats: Sequence[str] = DEFAULT_TIME_FORMATS) -> Column:
-    """Text clock time to seconds after midnight (INT); unparseable -> NULL."""
+    """Text clock time to seconds after midnight (BIGINT); unparseable -> NULL.
+
+    A time-only pattern parses onto 1970-01-01, so the seconds since that day's
+    midnight (a constant-folded timestamp) are the time of day.
+    """
     t = F.trim(c.cast("string"))
-    ts = F.coalesce(*[F.try_to_timestamp(t, F.lit(fmt)) for fmt in formats])
-    return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    ts = _first_format(t, formats, TIME_SHAPE if formats == DEFAULT_TIME_FORMATS else None)
+    return F.unix_seconds(ts) - F.unix_seconds(F.to_timestamp(F.lit("1970-01-01 00:00:00")))
 
 
 def compose_timestamp(date_col: Column, seconds_of_day: Column) -> Column:
-    """DATE plus seconds after midnight as TIMESTAMP_NTZ."""
-    return F.make_timestamp_ntz(
-        F.year(date_col),
-        F.month(date_col),
-        F.dayofmonth(date_col),
-        F.floor(seconds_of_day / 3600).cast("int"),
-        F.floor((seconds_of_day % 3600) / 60).cast("int"),
-        (seconds_of_day % 60).cast("int"),
-    )
+    """DATE plus seconds after midnight as TIMESTAMP_NTZ (each input read once)."""
+    return F.timestamp_add("SECOND", seconds_of_day, date_col.cast("timestamp_ntz"))
 
 
 def week_ending_sunday(d: Column) -> Column:

@@ -29,15 +29,16 @@ def coerce_raw(
 ) -> DataFrame:
     """Parse the text columns of a raw POS table; every bad value becomes NULL.
 
-    Null tokens are mapped to NULL in the key and numeric columns; dates and
-    times try each format in turn; numbers must be plain finite decimals.
+    Null tokens are mapped to NULL in the key columns; dates and times try each
+    format in turn; numbers must be plain decimals.
     """
     text = {c: null_tokens_to_null(F.col(c)) for c in KEY_TEXT_COLUMNS}
+    # Null tokens never parse as a date, time or number, so those need no token step.
     parsed = {
-        "sale_date": parse_date(null_tokens_to_null(F.col("sale_date")), date_formats),
-        "sale_seconds": parse_time_of_day(null_tokens_to_null(F.col("sale_time")), time_formats),
+        "sale_date": parse_date(F.col("sale_date"), date_formats),
+        "sale_seconds": parse_time_of_day(F.col("sale_time"), time_formats),
     }
-    numbers = {c: guarded_double(null_tokens_to_null(F.col(c))) for c in NUMERIC_COLUMNS}
+    numbers = {c: guarded_double(F.col(c)) for c in NUMERIC_COLUMNS}
     return df.withColumns({**text, **parsed, **numbers})
 
 
