@@ -35,3 +35,23 @@ def bin_index(v: Column, lo: Column, hi: Column, bins: int) -> Column:
         .when((v >= upper) & (guess != bins - 1), guess + 1)
         .otherwise(guess)
     )
+
+
+def with_bin_index(df, value: str, lo: str, hi: str, bins: int, out: str = "bin"):
+    """``df`` plus column ``out`` = :func:`bin_index` of ``value`` against the outer-edge
+    columns ``lo``/``hi``, computed in steps over named columns so that a bound
+    that is itself a subquery is referenced once, not once per use in the formula."""
+    from pyspark.sql import functions as F
+
+    v, l, h = F.col(value), F.col(lo), F.col(hi)
+    staged = df.withColumn(
+        "_guess", F.least(F.floor((v - l) / (h - l) * F.lit(float(bins))).cast("int"), F.lit(bins - 1))
+    )
+    g = F.col("_guess")
+    staged = staged.withColumns({"_lower": bin_edge(g, l, h, bins), "_upper": bin_edge(g + 1, l, h, bins)})
+    fixed = (
+        F.when(v < F.col("_lower"), g - 1)
+        .when((v >= F.col("_upper")) & (g != bins - 1), g + 1)
+        .otherwise(g)
+    )
+    return staged.withColumn(out, fixed).drop("_guess", "_lower", "_upper")

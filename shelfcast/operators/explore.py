@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.functions import bin_edge, bin_index, month_start, outer_edges
+from shelfcast.functions import bin_edge, month_start, outer_edges
+from shelfcast.functions.histogram import with_bin_index
 
 
 def monthly_price_trend(tx: DataFrame) -> DataFrame:
@@ -112,12 +113,26 @@ def weekday_hour_matrix(tx: DataFrame) -> DataFrame:
 
 def margin_histogram(tx: DataFrame, bins: int = 40) -> DataFrame:
     """Histogram of unit margin (selling - buying price): ``bins`` equal-width bins from
-    the smallest to the largest margin, last bin closed, every bin listed."""
+    the smallest to the largest margin, last bin closed, every bin listed.
+
+    Margins are first counted per distinct value (prices are rounded to a step,
+    so there are few); bounds and bins are computed on that aggregate. The
+    bounds are one scalar subquery attached as a column, so the bin formula
+    refers to plain columns.
+    """
     m = tx.select((F.col("selling_price") - F.col("buying_price")).cast("double").alias("v"))
-    bounds = m.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
-    lo, hi = outer_edges(bounds.getField("lo"), bounds.getField("hi"))
-    counts = m.groupBy(bin_index(F.col("v"), lo, hi, bins).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    filled = _zero_fill(counts, "bin", "count", F.sequence(F.lit(0), F.lit(bins - 1)))
+    dist = m.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    bounds = dist.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
+
+    def with_edges(df: DataFrame) -> DataFrame:
+        b = df.withColumn("_b", bounds)
+        lo, hi = outer_edges(F.col("_b.lo"), F.col("_b.hi"))
+        return b.withColumns({"_lo": lo, "_hi": hi}).drop("_b")
+
+    binned = with_bin_index(with_edges(dist), "v", "_lo", "_hi", bins)
+    counts = binned.groupBy("bin").agg(F.sum("n").alias("count"))
+    filled = with_edges(_zero_fill(counts, "bin", "count", F.sequence(F.lit(0), F.lit(bins - 1))))
+    lo, hi = F.col("_lo"), F.col("_hi")
     return filled.select(
         "bin",
         bin_edge(F.col("bin"), lo, hi, bins).alias("bin_start"),

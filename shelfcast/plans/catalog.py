@@ -76,7 +76,7 @@ def spoilt_raw_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as a raw POS export: every field text, padded headers, a header
     alias, and one kind of damage per line number (bad date, ``1.5d`` price, empty
     quantity, bad time, lenient time with an exponent price, null-token name)."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+    li = fixtures.read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
         "l_shipdate", "l_returnflag",
     )
@@ -103,13 +103,26 @@ def spoilt_raw_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spoilt_csv_export(spark: SparkSession, sf_dir: str) -> str:
+    """Write the spoilt line items as a CSV export (header line, all text) into the
+    session's shared checkpoint folder and return its path."""
+    import uuid
+
+    from shelfcast.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shelfcast/pos_exports/{uuid.uuid4().hex}"
+    spoilt_raw_lineitems(spark, sf_dir).write.option("header", "true").csv(path)
+    return path
+
+
 @register("ingest_coercion")
 def ingest_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingest of a dirty POS export: read the CSV as text (header trim, alias, required
+    columns), coerce, reject incomplete rows, compose the sale timestamp."""
     from shelfcast.operators.cleaning import clean_transactions
-    from shelfcast.sources.contract import RAW_REQUIRED, align_headers, require_columns, strip_headers, to_our_names
+    from shelfcast.sources.readers import read_pos_csv
 
-    raw = align_headers(strip_headers(spoilt_raw_lineitems(spark, sf_dir)))
-    raw = to_our_names(require_columns(raw, RAW_REQUIRED, "spoilt lineitem"))
+    raw = read_pos_csv(spark, spoilt_csv_export(spark, sf_dir))
     return clean_transactions(raw).select(
         "txn_id", F.col("line").cast("int").alias("line"), "sale_date", "sold_at", "product_id", "product_name",
         "category", "unit_price", "buying_price", "selling_price", "quantity", "total_amount",
@@ -334,7 +347,7 @@ def latest_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalogue_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecast requests for the whole part catalogue: ids padded with blanks, some
     unknown (``X`` prefix), timeframes in mixed case, some invalid (``Daily``)."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
+    part = fixtures.read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
     size = F.col("p_size")
     key = F.col("p_partkey").cast("string")
     return part.select(
