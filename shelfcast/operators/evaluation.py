@@ -74,9 +74,13 @@ def accuracy_table(stacked: DataFrame) -> DataFrame:
 
 def actual_vs_predicted(stacked: DataFrame) -> DataFrame:
     """Total actual and predicted quantity per horizon and date."""
-    return stacked.groupBy("horizon", "date").agg(
-        F.sum("actual_quantity").alias("actual_quantity"),
-        F.sum("predicted_quantity").cast("bigint").alias("predicted_quantity"),
+    return (
+        stacked.groupBy("horizon", "date")
+        .agg(
+            F.sum("actual_quantity").alias("actual_quantity"),
+            F.sum("predicted_quantity").cast("bigint").alias("predicted_quantity"),
+        )
+        .orderBy("horizon", "date")  # one row per period: a small result
     )
 
 
@@ -96,6 +100,8 @@ def top_forecast_product(stacked: DataFrame) -> DataFrame:
 def top_product_series(stacked: DataFrame) -> DataFrame:
     """Weekly and monthly actual/predicted series of the top product (matched on id)."""
     top_id = top_forecast_product(stacked).select("product_id").scalar()
-    return stacked.filter(F.col("product_id") == top_id).select(
-        "horizon", "date", "product_id", "product_name", "actual_quantity", "predicted_quantity"
+    return (
+        stacked.filter(F.col("product_id") == top_id)
+        .select("horizon", "date", "product_id", "product_name", "actual_quantity", "predicted_quantity")
+        .orderBy("horizon", "date")
     )

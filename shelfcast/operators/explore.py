@@ -1,7 +1,9 @@
 """Descriptive sales aggregates (the tables behind the exploration charts).
 
 All are hash aggregates with map-side partial aggregation, so a hot product,
-day or transaction is collapsed before the shuffle. Data-dependent bounds
+day or transaction is collapsed before the shuffle. The per-day, per-month,
+per-category and per-product tables also accept the product-day rollup of
+:func:`features.product_day_rollup` in place of line items. Data-dependent bounds
 (largest basket, margin range) are scalar subqueries: Spark runs them as
 separate one-row jobs and inlines the value; nothing is collected by hand and
 no cross join is planned.
@@ -14,12 +16,13 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions import bin_edge, month_start, outer_edges
 from shelfcast.functions.histogram import with_bin_index
+from shelfcast.operators.features import mean_of
 
 
 def monthly_price_trend(tx: DataFrame) -> DataFrame:
-    """Mean selling price per calendar month."""
+    """Mean selling price per calendar month (line items or a product-day rollup)."""
     return tx.groupBy(month_start(F.col("sale_date")).alias("month")).agg(
-        F.avg("selling_price").alias("avg_selling_price")
+        mean_of(tx, "selling_price").alias("avg_selling_price")
     )
 
 
@@ -32,10 +35,26 @@ def basket_sizes(tx: DataFrame) -> DataFrame:
     return tx.groupBy("txn_id").agg(F.count(F.lit(1)).alias("items"))
 
 
-def _zero_fill(counts: DataFrame, key: str, value: str, keys: Column) -> DataFrame:
-    """Add a zero row for every key in the array ``keys`` and re-sum: empty bins appear."""
-    spark = counts.sparkSession
-    zeros = spark.range(1).select(F.explode(keys).alias(key), F.lit(0).cast("bigint").alias(value))
+def key_range(spark, lo: Column, hi: Column, name: str) -> DataFrame:
+    """Rows ``lo..hi`` (BIGINT) generated in ``defaultParallelism`` slices, so a wide
+    range (the largest basket may be huge) is never one task's array."""
+    slices = spark.sparkContext.defaultParallelism
+    lo, hi = lo.cast("bigint"), hi.cast("bigint")
+    width = F.ceil((hi - lo + 1) / F.lit(slices))
+    first = lo + F.col("id") * width
+    last = F.least(first + width - 1, hi)
+    return spark.range(0, slices, 1, slices).select(
+        F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))).alias(
+            name
+        )
+    )
+
+
+def _zero_fill(counts: DataFrame, key: str, value: str, lo: Column, hi: Column) -> DataFrame:
+    """Add a zero row for every key in lo..hi and re-sum: empty bins appear."""
+    keys = key_range(counts.sparkSession, lo, hi, key)
+    dtype = dict(counts.dtypes)[key]
+    zeros = keys.select(F.col(key).cast(dtype).alias(key), F.lit(0).cast("bigint").alias(value))
     return counts.unionByName(zeros).groupBy(key).agg(F.sum(value).alias(value))
 
 
@@ -43,7 +62,7 @@ def basket_histogram(tx: DataFrame) -> DataFrame:
     """Transactions per basket size, for every size 1..largest (empty sizes count 0)."""
     counts = basket_sizes(tx).groupBy("items").agg(F.count(F.lit(1)).alias("transactions"))
     largest = counts.select(F.max("items")).scalar()
-    return _zero_fill(counts, "items", "transactions", F.sequence(F.lit(1).cast("bigint"), largest))
+    return _zero_fill(counts, "items", "transactions", F.lit(1), largest)
 
 
 def top_products(tx: DataFrame, k: int = 20) -> DataFrame:
@@ -131,7 +150,7 @@ def margin_histogram(tx: DataFrame, bins: int = 40) -> DataFrame:
 
     binned = with_bin_index(with_edges(dist), "v", "_lo", "_hi", bins)
     counts = binned.groupBy("bin").agg(F.sum("n").alias("count"))
-    filled = with_edges(_zero_fill(counts, "bin", "count", F.sequence(F.lit(0), F.lit(bins - 1))))
+    filled = with_edges(_zero_fill(counts, "bin", "count", F.lit(0), F.lit(bins - 1)))
     lo, hi = F.col("_lo"), F.col("_hi")
     return filled.select(
         "bin",

@@ -73,14 +73,37 @@ MONTHLY = Grain(
 GRAINS = {"weekly": WEEKLY, "monthly": MONTHLY}
 
 
+def product_day_rollup(tx: DataFrame) -> DataFrame:
+    """Per product key and sale day: quantity and amount sums, and sum and count of
+    each price, so later means stay exact. One pass over the line items from which
+    both feature grains and the per-day/month/category/product tables follow."""
+    return tx.groupBy(*PRODUCT_KEYS, "sale_date").agg(
+        F.sum("quantity").alias("quantity"),
+        *[agg for c in PRICE_MEANS for agg in (F.sum(c).alias(f"{c}_sum"), F.count(c).alias(f"{c}_n"))],
+        F.sum("total_amount").alias("total_amount"),
+    )
+
+
+def is_product_days(df: DataFrame) -> bool:
+    return "selling_price_sum" in df.columns
+
+
+def mean_of(df: DataFrame, c: str) -> Column:
+    """Mean of price ``c`` over line items, from line items or from a product-day table."""
+    if is_product_days(df):
+        return F.sum(f"{c}_sum").cast("double") / F.sum(f"{c}_n")
+    return F.avg(c)
+
+
 def rollup(tx: DataFrame, grain: Grain) -> DataFrame:
     """Sum quantity and amount, average the three prices, per product and period.
 
-    Only periods with at least one sale appear (no zero rows).
+    Accepts line items or their :func:`product_day_rollup`. Only periods with at
+    least one sale appear (no zero rows).
     """
     return tx.groupBy(*PRODUCT_KEYS, grain.period_of(F.col("sale_date")).alias(grain.period_col)).agg(
         F.sum("quantity").alias("quantity"),
-        *[F.avg(c).alias(c) for c in PRICE_MEANS],
+        *[mean_of(tx, c).alias(c) for c in PRICE_MEANS],
         F.sum("total_amount").alias("total_amount"),
     )
 

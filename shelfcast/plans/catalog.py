@@ -129,6 +129,15 @@ def ingest_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("ingest_rejects")
+def ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per required column, how many rows of the dirty export fail to parse (one row)."""
+    from shelfcast.operators.cleaning import coerce_raw, reject_counts
+    from shelfcast.sources.readers import read_pos_csv
+
+    return reject_counts(coerce_raw(read_pos_csv(spark, spoilt_csv_export(spark, sf_dir))))
+
+
 @register("price_rounding")
 def price_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfcast.operators.cleaning import unit_margin

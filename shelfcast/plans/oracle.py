@@ -142,7 +142,7 @@ ORACLE["monthly_features"] = _features("monthly")
 
 # --- ingest ----------------------------------------------------------------------------
 
-DECIMAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+DECIMAL = r"^[+-]?([0-9]{1,30}[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]{1,2})?$"
 NULL_TOKENS_SQL = (
     "'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', "
     "'<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null'"
@@ -154,7 +154,7 @@ def _num(c: str) -> str:
     v = f"TRY_CAST({t} AS DOUBLE)"
     return (
         f"CASE WHEN {t} IN ({NULL_TOKENS_SQL}) THEN NULL "
-        f"WHEN regexp_full_match({t}, '{DECIMAL}') AND isfinite({v}) THEN {v} END"
+        f"WHEN regexp_full_match({t}, '{DECIMAL}') THEN {v} END"
     )
 
 
@@ -162,8 +162,7 @@ def _txt(c: str) -> str:
     return f"CASE WHEN trim({c}) IN ({NULL_TOKENS_SQL}) THEN NULL ELSE {c} END"
 
 
-ORACLE["ingest_coercion"] = f"""
-WITH raw AS (
+INGEST_PARSED = f"""raw AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS txn_id,
          CASE WHEN l_linenumber = 2 THEN 'bad' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS d,
          CASE WHEN l_linenumber = 5 THEN 'bad' WHEN l_linenumber = 6 THEN '9:05 PM' ELSE '10:30:00' END AS tm,
@@ -188,7 +187,10 @@ parsed AS (
          {_num('up')} AS unit_price, {_num('bp')} AS buying_price, {_num('sp')} AS selling_price,
          {_num('q')} AS quantity, {_num('ta')} AS total_amount
   FROM raw
-)
+)"""
+
+ORACLE["ingest_coercion"] = f"""
+WITH {INGEST_PARSED}
 SELECT txn_id, line, sale_date,
        CAST(sale_date AS TIMESTAMP) + (t - date_trunc('day', t)) AS sold_at,
        product_id, product_name, category, unit_price, buying_price, selling_price, quantity, total_amount
@@ -198,6 +200,17 @@ WHERE txn_id IS NOT NULL AND sale_date IS NOT NULL AND t IS NOT NULL AND product
   AND buying_price IS NOT NULL AND selling_price IS NOT NULL AND quantity IS NOT NULL
   AND total_amount IS NOT NULL"""
 
+_REQUIRED_PARSED = ("txn_id", "product_id", "product_name", "category", "sale_date", "t", "unit_price",
+                    "buying_price", "selling_price", "quantity", "total_amount")
+_reject_cols = ",\n       ".join(
+    f"count_if({c} IS NULL) AS null_{'sale_seconds' if c == 't' else c}" for c in _REQUIRED_PARSED
+)
+ORACLE["ingest_rejects"] = f"""
+WITH {INGEST_PARSED}
+SELECT count(*) AS rows,
+       {_reject_cols}
+FROM parsed"""
+
 ORACLE["price_rounding"] = f"""
 WITH {T}
 SELECT txn_id, product_id, sale_date, unit_price, buying_price, selling_price, quantity, total_amount,

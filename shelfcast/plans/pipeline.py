@@ -1,8 +1,8 @@
 """End-to-end batch job: clean -> explore -> features -> train -> evaluate -> save.
 
 Stage boundaries are parquet tables on shared storage: the cleaned
-transactions (partitioned by sale year) and both feature tables are written
-and read back, which cuts lineage (a lost executor recomputes from the last
+transactions (partitioned by sale year), their product-day rollup and both
+feature tables are written and read back, which cuts lineage (a lost executor recomputes from the last
 table, not from the raw files) and lets the time split prune partitions.
 
 Run with spark-submit::
@@ -39,16 +39,20 @@ from shelfcast.sources.model_store import save_bundle
 from shelfcast.sources.readers import read_cleaned, read_features, read_pos_csv
 from shelfcast.sources.sinks import write_cleaned, write_features
 
-EXPLORATION = {
+# Tables that need line items (transaction id, time of day, per-row margin) ...
+EXPLORATION_FROM_ROWS = {
+    "basket_histogram": ex.basket_histogram,
+    "hourly_transactions": ex.hourly_transactions,
+    "weekday_hour_matrix": ex.weekday_hour_matrix,
+    "margin_histogram": ex.margin_histogram,
+}
+# ... and tables that follow from the much smaller product-day rollup.
+EXPLORATION_FROM_DAYS = {
     "monthly_price_trend": ex.monthly_price_trend,
     "daily_quantity": ex.daily_quantity,
-    "basket_histogram": ex.basket_histogram,
     "top_products": ex.top_products,
     "monthly_revenue": ex.monthly_revenue,
     "category_revenue": ex.category_revenue,
-    "hourly_transactions": ex.hourly_transactions,
-    "weekday_hour_matrix": ex.weekday_hour_matrix,
-    "margin_histogram": ex.margin_histogram,
 }
 
 
@@ -82,16 +86,27 @@ def run_pipeline(
     summary: dict = {}
 
     summary["cleaned_rows"] = write_cleaned(ingest(spark, input_path, sf_dir, input_format), f"{out}/cleaned")
+    if summary["cleaned_rows"] == 0:
+        raise ValueError("No rows available after null and type validation.")
     tx = read_cleaned(spark, f"{out}/cleaned")
 
+    # One pass over the line items: the product-day rollup feeds both feature grains
+    # and five exploration tables; it is a table, so they reread it, not the raw rows.
+    summary["product_days"] = write_features(fe.product_day_rollup(tx), f"{out}/product_days")
+    days = spark.read.parquet(f"{out}/product_days")
+
     if explore:
-        for name, op in EXPLORATION.items():
+        for name, op in EXPLORATION_FROM_ROWS.items():
             write_features(op(tx), f"{out}/exploration/{name}")
+        for name, op in EXPLORATION_FROM_DAYS.items():
+            write_features(op(days), f"{out}/exploration/{name}")
 
     frames = {}
     for grain in (fe.WEEKLY, fe.MONTHLY):
         path = f"{out}/features/{grain.name}"
-        summary[f"{grain.name}_rows"] = write_features(fe.build_features(tx, grain), path)
+        summary[f"{grain.name}_rows"] = write_features(fe.build_features(days, grain), path)
+        if summary[f"{grain.name}_rows"] == 0:
+            raise ValueError(f"No {grain.name} feature rows: no product has enough history.")
         frames[grain.name] = read_features(spark, path, grain.period_col)
 
     models, predictions = {}, {}

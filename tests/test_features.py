@@ -120,3 +120,21 @@ def test_daily_lags(spark):
     assert (a15.lag_7, a15.lag_14, a15.day_of_week, a15.is_weekend, a15.month) == (5, 3, 2, False, 1)
     assert out[("A", dt.date(2025, 1, 16))].lag_7 is None
     assert out[("B", dt.date(2025, 1, 8))].lag_7 is None
+
+
+@pytest.mark.parametrize("grain", [fe.WEEKLY, fe.MONTHLY])
+def test_product_day_rollup_gives_same_features(spark, grain):
+    tx = to_spark(spark, sparse_products())
+    direct = fe.build_features(tx, grain, narrow=False)
+    via_days = fe.build_features(fe.product_day_rollup(tx), grain, narrow=False)
+    assert direct.exceptAll(via_days).count() == 0 and via_days.exceptAll(direct).count() == 0
+
+
+def test_exploration_from_product_days(spark):
+    from shelfcast.operators import explore as ex
+
+    tx = to_spark(spark, sparse_products())
+    days = fe.product_day_rollup(tx)
+    for op in (ex.monthly_price_trend, ex.daily_quantity, ex.top_products, ex.monthly_revenue, ex.category_revenue):
+        a, b = op(tx), op(days)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, op.__name__

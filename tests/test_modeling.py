@@ -13,7 +13,7 @@ from shelfcast.operators.modeling import TwoStageConfig, predict_two_stage, trai
 from shelfcast.operators.scoring import forecast_latest
 from shelfcast.sources import fixtures
 from shelfcast.sources.model_store import load_bundle, save_bundle
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_CHECK, SF_SMALL
 
 CFG = TwoStageConfig(classifier_iters=3, regressor_iters=4, forest_trees=4, regressor_a_depth=4,
                      regressor_b_depth=3, forest_depth=4)
@@ -83,3 +83,16 @@ def test_beats_mean_predictor(spark, fitted):
     base = test.select(F.col("quantity").cast("double").alias("actual_quantity"),
                        F.lit(round(mean_q)).alias("predicted_quantity"))
     assert metric_pack(pred).first().mae <= metric_pack(base).first().mae * 1.5
+
+
+def test_bare_model_gets_full_weight(spark, tmp_dir):
+    from shelfcast.operators.scoring import train_request_model
+
+    # The smallest tables have no product sold both 7 and 14 days before a sale.
+    daily = fe.daily_features(fixtures.transactions(spark, SF_CHECK))
+    model = train_request_model(daily, iters=2, depth=2)
+    path = os.path.join(tmp_dir, "bare")
+    model.write().overwrite().save(path)
+    loaded = load_bundle(spark, path, "weekly")
+    assert loaded.weights == {"model": 1.0} and loaded.regressors == ["model"]
+    assert loaded.feature_columns == ["lag_7", "lag_14", "day_of_week", "month"]
