@@ -117,16 +117,17 @@ def history_window(grain: Grain) -> Window:
 def add_history(df: DataFrame, grain: Grain) -> DataFrame:
     """Lag 1, lag 2 and the mean of the previous ``rolling_width`` observed periods.
 
-    Lags count observed rows, not calendar periods. The rolling mean exists only
-    for a complete window (exactly ``rolling_width`` earlier rows).
+    Lags count observed rows, not calendar periods, and are DOUBLE (NULL before a
+    product's second / third period). The rolling mean exists only for a complete
+    window (exactly ``rolling_width`` earlier rows).
     """
     w = history_window(grain)
     frame = w.rowsBetween(-grain.rolling_width, -1)
     q = F.col("quantity")
     return df.withColumns(
         {
-            grain.lag1_col: F.lag(q, 1).over(w),
-            grain.lag2_col: F.lag(q, 2).over(w),
+            grain.lag1_col: F.lag(q, 1).over(w).cast("double"),
+            grain.lag2_col: F.lag(q, 2).over(w).cast("double"),
             grain.rolling_col: F.when(F.count(q).over(frame) == grain.rolling_width, F.avg(q).over(frame)),
         }
     )
@@ -247,8 +248,8 @@ def daily_features(tx: DataFrame) -> DataFrame:
     dow = F.weekday("sale_date")
     return daily.withColumns(
         {
-            "lag_7": F.sum("quantity").over(w.rangeBetween(-7, -7)),
-            "lag_14": F.sum("quantity").over(w.rangeBetween(-14, -14)),
+            "lag_7": F.sum("quantity").over(w.rangeBetween(-7, -7)).cast("double"),
+            "lag_14": F.sum("quantity").over(w.rangeBetween(-14, -14)).cast("double"),
             "day_of_week": dow,
             "is_weekend": dow >= 5,
             "month": F.month("sale_date"),

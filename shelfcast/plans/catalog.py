@@ -383,7 +383,9 @@ def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         columns=("quantity",),
     )
     out = attach_latest(normalize_requests(catalogue_requests(spark, sf_dir)), latest)
-    return out.select("request_id", "product_id", "timeframe", "status", "period", "quantity")
+    return out.select(
+        "request_id", "product_id", "timeframe", "status", "period", F.col("quantity").cast("double").alias("quantity")
+    )
 
 
 def daily_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,8 +77,8 @@ def history_cte(grain: str, name: str = "hist", source: str = "ru") -> str:
     return f"""
 {name} AS (
   SELECT *,
-         lag(quantity, 1) OVER (w) AS {g['lag1']},
-         lag(quantity, 2) OVER (w) AS {g['lag2']},
+         CAST(lag(quantity, 1) OVER (w) AS DOUBLE) AS {g['lag1']},
+         CAST(lag(quantity, 2) OVER (w) AS DOUBLE) AS {g['lag2']},
          CASE WHEN count(quantity) OVER ({frame}) = {g['width']} THEN avg(quantity) OVER ({frame}) END AS {g['roll']}
   FROM {source}
   WINDOW w AS ({order})
@@ -203,7 +203,7 @@ WHERE txn_id IS NOT NULL AND sale_date IS NOT NULL AND t IS NOT NULL AND product
 _REQUIRED_PARSED = ("txn_id", "product_id", "product_name", "category", "sale_date", "t", "unit_price",
                     "buying_price", "selling_price", "quantity", "total_amount")
 _reject_cols = ",\n       ".join(
-    f"count_if({c} IS NULL) AS null_{'sale_seconds' if c == 't' else c}" for c in _REQUIRED_PARSED
+    f"CAST(count_if({c} IS NULL) AS BIGINT) AS null_{'sale_seconds' if c == 't' else c}" for c in _REQUIRED_PARSED
 )
 ORACLE["ingest_rejects"] = f"""
 WITH {INGEST_PARSED}
@@ -268,9 +268,9 @@ daily AS (
 )
 SELECT product_id, sale_date, quantity, round(selling_price, 6) AS selling_price,
        CAST(sum(quantity) OVER (PARTITION BY product_id ORDER BY date_diff('day', DATE '1970-01-01', sale_date)
-            RANGE BETWEEN 7 PRECEDING AND 7 PRECEDING) AS BIGINT) AS lag_7,
+            RANGE BETWEEN 7 PRECEDING AND 7 PRECEDING) AS DOUBLE) AS lag_7,
        CAST(sum(quantity) OVER (PARTITION BY product_id ORDER BY date_diff('day', DATE '1970-01-01', sale_date)
-            RANGE BETWEEN 14 PRECEDING AND 14 PRECEDING) AS BIGINT) AS lag_14,
+            RANGE BETWEEN 14 PRECEDING AND 14 PRECEDING) AS DOUBLE) AS lag_14,
        CAST(isodow(sale_date) - 1 AS INTEGER) AS day_of_week,
        isodow(sale_date) >= 6 AS is_weekend,
        CAST(month(sale_date) AS INTEGER) AS month
@@ -554,7 +554,7 @@ st AS (
 )
 SELECT st.request_id, st.product_id, st.timeframe,
        CASE WHEN status0 = 'ok' AND latest.period IS NULL THEN 'not_found' ELSE status0 END AS status,
-       latest.period, latest.quantity
+       latest.period, CAST(latest.quantity AS DOUBLE) AS quantity
 FROM st LEFT JOIN latest ON st.product_id = latest.product_id AND st.timeframe = latest.timeframe"""
 
 ORACLE["validate_requests"] = f"""
@@ -566,9 +566,9 @@ daily AS (
 feat AS (
   SELECT product_id, sale_date, selling_price,
          CAST(sum(quantity) OVER (PARTITION BY product_id ORDER BY date_diff('day', DATE '1970-01-01', sale_date)
-              RANGE BETWEEN 7 PRECEDING AND 7 PRECEDING) AS BIGINT) AS lag_7,
+              RANGE BETWEEN 7 PRECEDING AND 7 PRECEDING) AS DOUBLE) AS lag_7,
          CAST(sum(quantity) OVER (PARTITION BY product_id ORDER BY date_diff('day', DATE '1970-01-01', sale_date)
-              RANGE BETWEEN 14 PRECEDING AND 14 PRECEDING) AS BIGINT) AS lag_14,
+              RANGE BETWEEN 14 PRECEDING AND 14 PRECEDING) AS DOUBLE) AS lag_14,
          CAST(isodow(sale_date) - 1 AS INTEGER) AS day_of_week,
          isodow(sale_date) >= 6 AS is_weekend,
          CAST(month(sale_date) AS INTEGER) AS month
