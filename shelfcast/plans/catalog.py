@@ -426,7 +426,12 @@ def _fit_weekly(spark: SparkSession, sf_dir: str):
     from shelfcast.operators.dataset import feature_columns, time_split
     from shelfcast.operators.modeling import train_two_stage
 
-    feats = fe.build_features(fixtures.transactions(spark, sf_dir), fe.WEEKLY, narrow=False)
+    from shelfcast.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    # Fitting, test scoring and latest-row scoring all read the feature table: cut its
+    # lineage once (written to the shared checkpoint folder) instead of recomputing it.
+    feats = fe.build_features(fixtures.transactions(spark, sf_dir), fe.WEEKLY, narrow=False).checkpoint()
     train, test = time_split(feats, "week_ending", FIXTURE_TRAIN_START, FIXTURE_TEST_START, FIXTURE_TEST_END)
     cols = feature_columns(feats)
     model = train_two_stage(train, cols, quick_config(), date_column="week_ending")

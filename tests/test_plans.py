@@ -54,3 +54,42 @@ def test_time_split_filter_pushdown(spark, tmp_dir):
     train, _ = time_split(feats, "week_ending", "1996-01-01", "2001-01-01", "2002-01-01")
     text = plan_text(train.select("product_id", F.col("lag_1_week")))
     assert "PushedFilters: [IsNotNull(week_ending), GreaterThanOrEqual(week_ending" in text
+
+
+def _physical(df) -> str:
+    df.write.format("noop").mode("overwrite").save()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rollup_aggregates_before_the_shuffle(spark):
+    from shelfcast.operators import features as fe
+    from shelfcast.sources import fixtures
+
+    text = fe.rollup(fixtures.transactions(spark, SF_SMALL), fe.WEEKLY)._jdf.queryExecution().sparkPlan().toString()
+    # Map-side partial aggregate exists: hot products shrink before they are shuffled.
+    assert "partial_sum(quantity" in text and "partial_avg(unit_price" in text
+
+
+def test_order_join_is_sort_merge_and_part_broadcast_only_under_threshold(spark):
+    from shelfcast.sources import fixtures
+
+    text = _physical(fixtures.transactions(spark, SF_SMALL))
+    assert "SortMergeJoin" in text  # lineitem x orders: fact to fact
+    assert "BroadcastHashJoin" in text  # part is small here and passes the size check
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = _physical(fixtures.transactions(spark, SF_SMALL))
+        assert "BroadcastHashJoin" not in text and text.count("SortMergeJoin") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_latest_row_uses_group_limit(spark):
+    from shelfcast.operators import features as fe
+    from shelfcast.operators.scoring import latest_rows
+    from shelfcast.sources import fixtures
+
+    feats = fe.build_features(fixtures.transactions(spark, SF_SMALL), fe.WEEKLY, narrow=False)
+    text = latest_rows(feats, fe.WEEKLY)._jdf.queryExecution().sparkPlan().toString()
+    assert "WindowGroupLimit" in text
