@@ -52,6 +52,9 @@ class TwoStageConfig:
     forest_depth: int = 10
     max_bins: int = 32
     checkpoint_interval: int = 10
+    # Node-id caching pays off for deep trees over many rows (checkpointed with the
+    # interval above into spark.checkpoint.dir).
+    cache_node_ids: bool = True
     seed: int = 42
     weights: dict = field(default_factory=lambda: dict(DEFAULT_BLEND_WEIGHTS))
 
@@ -61,7 +64,7 @@ def _member(estimator, feature_cols: list[str], slot: str) -> Pipeline:
 
 
 def build_estimators(feature_cols: list[str], cfg: TwoStageConfig) -> dict[str, Pipeline]:
-    common = dict(maxBins=cfg.max_bins, seed=cfg.seed, checkpointInterval=cfg.checkpoint_interval, cacheNodeIds=True)
+    common = dict(maxBins=cfg.max_bins, seed=cfg.seed, checkpointInterval=cfg.checkpoint_interval, cacheNodeIds=cfg.cache_node_ids)
     clf = GBTClassifier(
         featuresCol=f"features_{CLASSIFIER}",
         labelCol="demand",

@@ -419,7 +419,7 @@ def quick_config():
     from shelfcast.operators.modeling import TwoStageConfig
 
     return TwoStageConfig(classifier_iters=5, regressor_iters=5, forest_trees=5, regressor_a_depth=5,
-                          regressor_b_depth=4, forest_depth=6)
+                          regressor_b_depth=4, forest_depth=6, cache_node_ids=False)
 
 
 def _fit_weekly(spark: SparkSession, sf_dir: str):
