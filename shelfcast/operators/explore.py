@@ -30,9 +30,29 @@ def daily_quantity(tx: DataFrame) -> DataFrame:
     return tx.groupBy("sale_date").agg(F.sum("quantity").alias("quantity"))
 
 
+def transaction_hour_rollup(tx: DataFrame) -> DataFrame:
+    """Per transaction and clock hour (with its weekday): line count and quantity.
+
+    Baskets, distinct transactions per hour and the weekday x hour table all
+    follow from it, so a job computing the three reads the line items once.
+    """
+    return tx.groupBy(
+        "txn_id",
+        F.weekday("sold_at").alias("weekday_index"),
+        F.date_format("sold_at", "EEEE").alias("weekday"),
+        F.hour("sold_at").alias("hour"),
+    ).agg(F.count(F.lit(1)).alias("lines"), F.sum("quantity").alias("quantity"))
+
+
+def _is_txn_hours(df: DataFrame) -> bool:
+    return "lines" in df.columns
+
+
 def basket_sizes(tx: DataFrame) -> DataFrame:
-    """Line items per transaction (items, not units)."""
-    return tx.groupBy("txn_id").agg(F.count(F.lit(1)).alias("items"))
+    """Line items per transaction (items, not units); line items or their
+    :func:`transaction_hour_rollup`."""
+    items = F.sum("lines") if _is_txn_hours(tx) else F.count(F.lit(1))
+    return tx.groupBy("txn_id").agg(items.cast("bigint").alias("items"))
 
 
 def key_range(spark, lo: Column, hi: Column, name: str) -> DataFrame:
@@ -94,11 +114,14 @@ def hourly_transactions(tx: DataFrame, approximate: bool = False) -> DataFrame:
     (hour, transaction) then hour, so no hour's id set meets in one task.
     """
     counter = F.approx_count_distinct("txn_id") if approximate else F.count_distinct("txn_id")
-    return tx.groupBy(F.hour("sold_at").alias("hour")).agg(counter.alias("transactions"))
+    hour = F.col("hour") if _is_txn_hours(tx) else F.hour("sold_at").alias("hour")
+    return tx.groupBy(hour).agg(counter.alias("transactions"))
 
 
 def weekday_hour_quantity(tx: DataFrame) -> DataFrame:
     """Quantity per weekday (Monday 0) and hour of day, long form, observed cells only."""
+    if _is_txn_hours(tx):
+        return tx.groupBy("weekday_index", "weekday", "hour").agg(F.sum("quantity").alias("quantity"))
     return tx.groupBy(
         F.weekday("sold_at").alias("weekday_index"),
         F.date_format("sold_at", "EEEE").alias("weekday"),

@@ -39,12 +39,11 @@ from shelfcast.sources.model_store import save_bundle
 from shelfcast.sources.readers import read_cleaned, read_features, read_pos_csv
 from shelfcast.sources.sinks import write_cleaned, write_features
 
-# Tables that need line items (transaction id, time of day, per-row margin) ...
-EXPLORATION_FROM_ROWS = {
+# Tables that follow from the per-transaction-hour rollup ...
+EXPLORATION_FROM_TXN_HOURS = {
     "basket_histogram": ex.basket_histogram,
     "hourly_transactions": ex.hourly_transactions,
     "weekday_hour_matrix": ex.weekday_hour_matrix,
-    "margin_histogram": ex.margin_histogram,
 }
 # ... and tables that follow from the much smaller product-day rollup.
 EXPLORATION_FROM_DAYS = {
@@ -96,10 +95,15 @@ def run_pipeline(
     days = spark.read.parquet(f"{out}/product_days")
 
     if explore:
-        for name, op in EXPLORATION_FROM_ROWS.items():
-            write_features(op(tx), f"{out}/exploration/{name}")
+        # Baskets and hours: one more pass, to a per-transaction-hour table; margins
+        # need the per-row prices and take the third pass (column-pruned).
+        write_features(ex.transaction_hour_rollup(tx), f"{out}/transaction_hours")
+        txn_hours = spark.read.parquet(f"{out}/transaction_hours")
+        for name, op in EXPLORATION_FROM_TXN_HOURS.items():
+            write_features(op(txn_hours), f"{out}/exploration/{name}")
         for name, op in EXPLORATION_FROM_DAYS.items():
             write_features(op(days), f"{out}/exploration/{name}")
+        write_features(ex.margin_histogram(tx), f"{out}/exploration/margin_histogram")
 
     frames = {}
     for grain in (fe.WEEKLY, fe.MONTHLY):

@@ -46,3 +46,14 @@ def test_top_products_and_hours(spark):
     hours = {r.hour: r.transactions for r in ex.hourly_transactions(tx).collect()}
     want_h = pdf.assign(h=pdf["sold_at"].dt.hour).groupby("h")["txn_id"].nunique().to_dict()
     assert hours == want_h
+
+
+def test_transaction_hour_rollup_gives_same_tables(spark):
+    pdf = sparse_products()
+    pdf.loc[:5, "txn_id"] = "BIG"
+    tx = to_spark(spark, pdf)
+    txh = ex.transaction_hour_rollup(tx)
+    for op in (ex.basket_sizes, ex.basket_histogram, ex.hourly_transactions, ex.weekday_hour_quantity,
+               ex.weekday_hour_matrix):
+        a, b = op(tx), op(txh)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, op.__name__
