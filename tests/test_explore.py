@@ -57,3 +57,20 @@ def test_transaction_hour_rollup_gives_same_tables(spark):
                ex.weekday_hour_matrix):
         a, b = op(tx), op(txh)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, op.__name__
+
+
+def test_key_range_covers_exactly(spark):
+    from pyspark.sql import functions as F
+
+    for lo, hi in [(1, 1), (1, 3), (0, 39), (5, 1000)]:
+        got = [r.k for r in ex.key_range(spark, F.lit(lo), F.lit(hi), "k").collect()]
+        assert sorted(got) == list(range(lo, hi + 1))
+
+
+def test_hot_basket_histogram(spark):
+    """One transaction holding a third of the rows: every size up to it is listed."""
+    pdf = sparse_products()
+    third = len(pdf) // 3
+    pdf.loc[: third - 1, "txn_id"] = "HOT"
+    hist = {r["items"]: r.transactions for r in ex.basket_histogram(to_spark(spark, pdf)).collect()}
+    assert max(hist) == third and len(hist) == third and hist[third] == 1
