@@ -138,3 +138,13 @@ def test_exploration_from_product_days(spark):
     for op in (ex.monthly_price_trend, ex.daily_quantity, ex.top_products, ex.monthly_revenue, ex.category_revenue):
         a, b = op(tx), op(days)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, op.__name__
+
+
+def test_narrowing_raises_on_int_overflow(spark):
+    from pyspark.errors import ArithmeticException
+
+    df = spark.createDataFrame([(2**40, 1.5)], "big bigint, x double")
+    out = fe.narrow_types(df)
+    assert dict(out.dtypes) == {"big": "int", "x": "float"}
+    with pytest.raises(ArithmeticException):
+        out.collect()
