@@ -461,3 +461,32 @@ def score_valid_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = fe.daily_features(fixtures.transactions(spark, sf_dir))
     model = train_request_model(daily, iters=5, depth=4)
     return score_requests_with_model(model, validate_requests(daily_requests(spark, sf_dir)))
+
+
+@register("gap_filled_monthly")
+def gap_filled_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(_features(spark, sf_dir, fe.MONTHLY, fill=True))
+
+
+@register("latest_naive_forecast")
+def latest_naive_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue-wide forecast path (latest row per product, aligned inputs,
+    finite weighted mean, class gate, clamp and round) with the three history
+    columns standing in for the regressors and lag 1 > 20 for the classifier."""
+    from shelfcast.operators.ensemble import DEFAULT_BLEND_WEIGHTS, resolve_weights, to_demand, weighted_score
+    from shelfcast.operators.scoring import inference_frame, latest_rows
+
+    latest = latest_rows(_features(spark, sf_dir, fe.WEEKLY), fe.WEEKLY)
+    frame = inference_frame(latest, ["lag_1_week", "lag_2_weeks", "rolling_mean_4_weeks"],
+                            keep=("product_id", "week_ending"))
+    weights = resolve_weights(ENSEMBLE_MODELS, DEFAULT_BLEND_WEIGHTS)
+    scores = dict(zip(ENSEMBLE_MODELS, (F.col("lag_1_week"), F.col("lag_2_weeks"), F.col("rolling_mean_4_weeks"))))
+    demand = F.when(F.col("lag_1_week") > 20, to_demand(weighted_score(scores, weights))).otherwise(
+        F.lit(0).cast("bigint")
+    )
+    return frame.select(
+        "product_id",
+        F.lit("weekly").alias("timeframe"),
+        F.col("week_ending").alias("period"),
+        demand.alias("predicted_demand"),
+    )

@@ -233,32 +233,41 @@ SELECT product_id, product_name, category, {_p}, quantity,
        {GRAINS[_g]['lag1']}, {GRAINS[_g]['lag2']}, round({GRAINS[_g]['roll']}, 6) AS {GRAINS[_g]['roll']}
 FROM hist"""
 
-ORACLE["gap_filled_weekly"] = f"""
-WITH {T},{rollup_cte('weekly')},
+def _gap_filled(grain: str) -> str:
+    g = GRAINS[grain]
+    p = g["period"]
+    back = f"next_p - 7" if grain == "weekly" else "CAST(next_p - INTERVAL 1 MONTH AS DATE)"
+    step = "INTERVAL 7 DAY" if grain == "weekly" else "INTERVAL 1 MONTH"
+    return f"""
+WITH {T},{rollup_cte(grain)},
 nxt AS (
   SELECT *,
-         lead(week_ending) OVER w AS next_p,
+         lead({p}) OVER w AS next_p,
          lead(product_name) OVER w AS next_name,
          lead(category) OVER w AS next_cat
   FROM ru
-  WINDOW w AS (PARTITION BY product_id ORDER BY product_name, category, week_ending)
+  WINDOW w AS (PARTITION BY product_id ORDER BY product_name, category, {p})
 ),
 spread AS (
   SELECT product_id, product_name, category, quantity, unit_price, buying_price, selling_price, total_amount,
-         week_ending AS first_p,
-         CASE WHEN next_name = product_name AND next_cat = category THEN next_p - 7 ELSE week_ending END AS last_p
+         {p} AS first_p,
+         CASE WHEN next_name = product_name AND next_cat = category THEN {back} ELSE {p} END AS last_p
   FROM nxt
 ),
 filled AS (
   SELECT product_id, product_name, category,
-         CAST(p AS DATE) AS week_ending,
-         CASE WHEN CAST(p AS DATE) = first_p THEN quantity ELSE 0 END AS quantity,
+         CAST(s.gp AS DATE) AS {p},
+         CASE WHEN CAST(s.gp AS DATE) = first_p THEN quantity ELSE 0 END AS quantity,
          unit_price, buying_price, selling_price,
-         CASE WHEN CAST(p AS DATE) = first_p THEN total_amount ELSE 0 END AS total_amount,
-         CAST(CAST(p AS DATE) <> first_p AS TINYINT) AS is_filled
+         CASE WHEN CAST(s.gp AS DATE) = first_p THEN total_amount ELSE 0 END AS total_amount,
+         CAST(CAST(s.gp AS DATE) <> first_p AS TINYINT) AS is_filled
   FROM spread, LATERAL unnest(generate_series(CAST(first_p AS TIMESTAMP), CAST(last_p AS TIMESTAMP),
-                                              INTERVAL 7 DAY)) AS s(p)
-),{history_cte('weekly', 'hist', 'filled')}{features_select('weekly', 'hist', filled=True)}"""
+                                              {step})) AS s(gp)
+),{history_cte(grain, 'hist', 'filled')}{features_select(grain, 'hist', filled=True)}"""
+
+
+ORACLE["gap_filled_weekly"] = _gap_filled("weekly")
+ORACLE["gap_filled_monthly"] = _gap_filled("monthly")
 
 ORACLE["daily_lags"] = f"""
 WITH {T},
@@ -595,3 +604,22 @@ chk AS (
 SELECT item_id, sale_date, lag_7, lag_14, is_weekend, round(selling_price, 6) AS selling_price,
        day_of_week, month, reasons, reasons = '' AS is_valid
 FROM chk"""
+
+ORACLE["latest_naive_forecast"] = f"""
+WITH {T},{features_ctes('weekly', 'fw')},
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY product_id
+                               ORDER BY week_ending DESC NULLS LAST, product_name DESC, category DESC) AS rn
+  FROM fw
+),
+s AS (
+  SELECT product_id, week_ending,
+         coalesce(TRY_CAST(lag_1_week AS DOUBLE), 0.0) AS score_a,
+         coalesce(TRY_CAST(lag_2_weeks AS DOUBLE), 0.0) AS score_b,
+         coalesce(TRY_CAST(rolling_mean_4_weeks AS DOUBLE), 0.0) AS score_c
+  FROM ranked WHERE rn = 1
+),
+e AS (SELECT *, {_weighted_sql()} AS ensemble_score FROM s)
+SELECT product_id, 'weekly' AS timeframe, week_ending AS period,
+       CASE WHEN score_a > 20 THEN {_demand('ensemble_score')} ELSE CAST(0 AS BIGINT) END AS predicted_demand
+FROM e"""
