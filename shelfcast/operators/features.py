@@ -237,19 +237,30 @@ def build_features(
 
 
 def daily_features(tx: DataFrame) -> DataFrame:
-    """Per product and sale day: quantity, mean selling price, quantity 7 and 14 days
-    earlier (NULL when the product had no sale that day), weekend flag, weekday
-    (Monday 0) and month: the inputs of a single-row demand request."""
+    """Per product and sale day: quantity, mean selling price, quantity sold 7 and 14
+    days earlier, weekend flag, weekday (Monday 0) and month: the inputs of a
+    single-row demand request.
+
+    A lag day without a sale counts 0 once the product was on sale (its first
+    sale is on or before that day) and NULL before it. All windows share the
+    product partitioning of the daily rollup: no extra shuffle.
+    """
     daily = tx.groupBy("product_id", "sale_date").agg(
         F.sum("quantity").alias("quantity"),
         F.avg("selling_price").alias("selling_price"),
     )
     w = Window.partitionBy("product_id").orderBy(F.unix_date("sale_date"))
+    first_sale = F.min("sale_date").over(Window.partitionBy("product_id"))
+
+    def sold_days_before(days: int) -> Column:
+        on_day = F.sum("quantity").over(w.rangeBetween(-days, -days))
+        return F.when(first_sale <= F.date_sub("sale_date", days), F.coalesce(on_day, F.lit(0))).cast("double")
+
     dow = F.weekday("sale_date")
     return daily.withColumns(
         {
-            "lag_7": F.sum("quantity").over(w.rangeBetween(-7, -7)).cast("double"),
-            "lag_14": F.sum("quantity").over(w.rangeBetween(-14, -14)).cast("double"),
+            "lag_7": sold_days_before(7),
+            "lag_14": sold_days_before(14),
             "day_of_week": dow,
             "is_weekend": dow >= 5,
             "month": F.month("sale_date"),

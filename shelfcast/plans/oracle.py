@@ -269,6 +269,15 @@ filled AS (
 ORACLE["gap_filled_weekly"] = _gap_filled("weekly")
 ORACLE["gap_filled_monthly"] = _gap_filled("monthly")
 
+def _daily_lag(days: int) -> str:
+    """Quantity sold ``days`` earlier: 0 without a sale once the product was on sale,
+    NULL before its first sale."""
+    on_day = (f"sum(quantity) OVER (PARTITION BY product_id ORDER BY date_diff('day', DATE '1970-01-01', sale_date) "
+              f"RANGE BETWEEN {days} PRECEDING AND {days} PRECEDING)")
+    first = "min(sale_date) OVER (PARTITION BY product_id)"
+    return (f"CAST(CASE WHEN {first} <= sale_date - {days} THEN coalesce({on_day}, 0) END AS DOUBLE)")
+
+
 ORACLE["daily_lags"] = f"""
 WITH {T},
 daily AS (
@@ -276,10 +285,8 @@ daily AS (
   FROM t GROUP BY product_id, sale_date
 )
 SELECT product_id, sale_date, quantity, round(selling_price, 6) AS selling_price,
-       CAST(sum(quantity) OVER (PARTITION BY product_id ORDER BY date_diff('day', DATE '1970-01-01', sale_date)
-            RANGE BETWEEN 7 PRECEDING AND 7 PRECEDING) AS DOUBLE) AS lag_7,
-       CAST(sum(quantity) OVER (PARTITION BY product_id ORDER BY date_diff('day', DATE '1970-01-01', sale_date)
-            RANGE BETWEEN 14 PRECEDING AND 14 PRECEDING) AS DOUBLE) AS lag_14,
+       {_daily_lag(7)} AS lag_7,
+       {_daily_lag(14)} AS lag_14,
        CAST(isodow(sale_date) - 1 AS INTEGER) AS day_of_week,
        isodow(sale_date) >= 6 AS is_weekend,
        CAST(month(sale_date) AS INTEGER) AS month
@@ -574,10 +581,8 @@ daily AS (
 ),
 feat AS (
   SELECT product_id, sale_date, selling_price,
-         CAST(sum(quantity) OVER (PARTITION BY product_id ORDER BY date_diff('day', DATE '1970-01-01', sale_date)
-              RANGE BETWEEN 7 PRECEDING AND 7 PRECEDING) AS DOUBLE) AS lag_7,
-         CAST(sum(quantity) OVER (PARTITION BY product_id ORDER BY date_diff('day', DATE '1970-01-01', sale_date)
-              RANGE BETWEEN 14 PRECEDING AND 14 PRECEDING) AS DOUBLE) AS lag_14,
+         {_daily_lag(7)} AS lag_7,
+         {_daily_lag(14)} AS lag_14,
          CAST(isodow(sale_date) - 1 AS INTEGER) AS day_of_week,
          isodow(sale_date) >= 6 AS is_weekend,
          CAST(month(sale_date) AS INTEGER) AS month

@@ -118,7 +118,8 @@ def test_daily_lags(spark):
     out = {(r.product_id, r.sale_date): r for r in fe.daily_features(tx).collect()}
     a15 = out[("A", dt.date(2025, 1, 15))]
     assert (a15.lag_7, a15.lag_14, a15.day_of_week, a15.is_weekend, a15.month) == (5, 3, 2, False, 1)
-    assert out[("A", dt.date(2025, 1, 16))].lag_7 is None
+    assert out[("A", dt.date(2025, 1, 16))].lag_7 == 0  # on sale since Jan 1, nothing sold on Jan 9
+    assert out[("A", dt.date(2025, 1, 8))].lag_14 is None  # Dec 25 is before the first sale
     assert out[("B", dt.date(2025, 1, 8))].lag_7 is None
 
 
