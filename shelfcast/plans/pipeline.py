@@ -79,7 +79,10 @@ def run_pipeline(
     test_end: str = DEFAULT_TEST_END,
     config: TwoStageConfig = TwoStageConfig(),
     explore: bool = True,
+    fill_gaps: bool = False,
 ) -> dict:
+    """Run the whole job; ``fill_gaps=True`` adds zero-sale periods between a
+    product's sales, which also gives the demand classifier its negative class."""
     ensure_checkpoint_dir(spark)
     out = output.rstrip("/")
     summary: dict = {}
@@ -108,7 +111,7 @@ def run_pipeline(
     frames = {}
     for grain in (fe.WEEKLY, fe.MONTHLY):
         path = f"{out}/features/{grain.name}"
-        summary[f"{grain.name}_rows"] = write_features(fe.build_features(days, grain), path)
+        summary[f"{grain.name}_rows"] = write_features(fe.build_features(days, grain, fill=fill_gaps), path)
         if summary[f"{grain.name}_rows"] == 0:
             raise ValueError(f"No {grain.name} feature rows: no product has enough history.")
         frames[grain.name] = read_features(spark, path, grain.period_col)
@@ -162,6 +165,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--regressor-iters", type=int)
     p.add_argument("--forest-trees", type=int)
     p.add_argument("--no-explore", action="store_true")
+    p.add_argument("--fill-gaps", action="store_true", help="zero rows for periods without a sale")
     args = p.parse_args(argv)
     cfg = TwoStageConfig()
     overrides = {k: v for k, v in (("classifier_iters", args.classifier_iters),
@@ -170,7 +174,8 @@ def main(argv: list[str] | None = None) -> None:
     cfg = replace(cfg, **overrides)
     spark = SparkSession.builder.appName("shelfcast-pipeline").getOrCreate()
     summary = run_pipeline(spark, args.output, args.input, args.sf_dir, args.input_format, args.train_start,
-                           args.test_start, args.test_end, cfg, explore=not args.no_explore)
+                           args.test_start, args.test_end, cfg, explore=not args.no_explore,
+                           fill_gaps=args.fill_gaps)
     print(json.dumps(summary, default=str, indent=2))
 
 

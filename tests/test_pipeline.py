@@ -19,7 +19,7 @@ TINY = TwoStageConfig(classifier_iters=2, regressor_iters=2, forest_trees=2, reg
 def test_pipeline_end_to_end(spark, tmp_dir):
     out = os.path.join(tmp_dir, "run")
     summary = run_pipeline(spark, out, sf_dir=SF_SMALL, train_start="1996-01-01", test_start="2001-01-01",
-                           test_end="2002-01-01", config=TINY)
+                           test_end="2002-01-01", config=TINY, fill_gaps=True)
     assert summary["cleaned_rows"] == spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()
     assert {r["horizon"] for r in summary["accuracy"]} == {"Weekly", "Monthly"}
     weekly = spark.read.parquet(f"{out}/features/weekly")
@@ -33,6 +33,8 @@ def test_pipeline_end_to_end(spark, tmp_dir):
     assert model.classifier is not None and len(model.regressors) == 3
     preds = spark.read.parquet(f"{out}/predictions/weekly")
     assert preds.filter(F.col("predicted_quantity") < 0).count() == 0
+    # Gap filling gave the classifier zero-demand rows to learn from.
+    assert spark.read.parquet(f"{out}/features/weekly").filter(F.col("quantity") == 0).count() > 0
 
 
 HEADER = ["TransactionID", "Date", "Time", "ProductID", "ProductName", "Category", "UnitPrice", "BuyingPrice",
