@@ -53,8 +53,12 @@ def read_cleaned(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return df.dropna(subset=list(CLEANED_REQUIRED))
 
 
-def read_features(spark: SparkSession, path: str, period_col: str, fmt: str = "parquet") -> DataFrame:
-    """Reread a weekly or monthly feature table with the preparation stage's checks."""
+def read_features(
+    spark: SparkSession, path: str, period_col: str, fmt: str = "parquet", narrow: bool = True
+) -> DataFrame:
+    """Reread a weekly or monthly feature table with the preparation stage's checks:
+    headers trimmed, required columns present, period and quantity parsed, rows
+    missing any of them dropped, then DOUBLE -> FLOAT and BIGINT -> INT."""
     df = require_columns(
         read_table(spark, path, fmt),
         (period_col, "product_id", "product_name", "category", "quantity"),
@@ -64,8 +68,16 @@ def read_features(spark: SparkSession, path: str, period_col: str, fmt: str = "p
     casts = {}
     if types[period_col] != "date":
         casts[period_col] = parse_date(F.col(period_col))
-    if types["quantity"] == "string":
-        casts["quantity"] = guarded_double(F.col("quantity"))
+    # A text source (CSV) carries every measure as text: all but the keys are numbers.
+    text_keys = {"product_id", "product_name", "category", period_col}
+    for c, t in types.items():
+        if t == "string" and c not in text_keys:
+            casts[c] = guarded_double(F.col(c))
     if casts:
         df = df.withColumns(casts)
-    return df.dropna(subset=[period_col, "product_id", "product_name", "category", "quantity"])
+    df = df.dropna(subset=[period_col, "product_id", "product_name", "category", "quantity"])
+    if narrow:
+        from shelfcast.operators.features import narrow_types
+
+        df = narrow_types(df)
+    return df

@@ -82,3 +82,17 @@ def test_cleaned_sink_roundtrip(spark, raw_csv, tmp_dir):
     # The year partition prunes at the scan.
     plan = back.filter(F.col("sale_year") == 2025)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(sale_year" in plan
+
+
+def test_read_features_checks_and_narrows(spark, tmp_dir):
+    from shelfcast.sources.readers import read_features
+
+    path = os.path.join(tmp_dir, "feat.csv")
+    with open(path, "w") as f:
+        f.write(" product_id,product_name,category,week_ending,quantity,lag_1_week\n"
+                "1,a,c,2025-01-05,3,2.5\n2,b,c,bad,4,1.0\n3,b,c,2025-01-12,,1.0\n")
+    df = read_features(spark, path, "week_ending", fmt="csv")
+    rows = df.collect()
+    assert [r.product_id for r in rows] == ["1"]
+    assert dict(df.dtypes)["quantity"] == "float" and rows[0].week_ending == dt.date(2025, 1, 5)
+    assert dict(df.dtypes)["lag_1_week"] == "float" and rows[0].lag_1_week == 2.5
