@@ -48,6 +48,8 @@ def read_cleaned(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     for c in ("quantity", "buying_price", "selling_price", "unit_price", "total_amount"):
         if dict(df.dtypes)[c] == "string":
             casts[c] = guarded_double(F.col(c))
+    if dict(df.dtypes).get("sold_at") == "string":
+        casts["sold_at"] = F.trim(F.col("sold_at")).try_cast("timestamp_ntz")
     if casts:
         df = df.withColumns(casts)
     return df.dropna(subset=list(CLEANED_REQUIRED))

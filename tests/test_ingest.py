@@ -96,3 +96,13 @@ def test_read_features_checks_and_narrows(spark, tmp_dir):
     assert [r.product_id for r in rows] == ["1"]
     assert dict(df.dtypes)["quantity"] == "float" and rows[0].week_ending == dt.date(2025, 1, 5)
     assert dict(df.dtypes)["lag_1_week"] == "float" and rows[0].lag_1_week == 2.5
+
+
+def test_cleaned_csv_roundtrip(spark, raw_csv, tmp_dir):
+    clean = price_cleaning(clean_transactions(read_pos_csv(spark, raw_csv)))
+    out = os.path.join(tmp_dir, "cleaned_csv")
+    write_cleaned(clean, out, fmt="csv")
+    back = read_cleaned(spark, out, fmt="csv")
+    types = dict(back.dtypes)
+    assert types["sale_date"] == "date" and types["sold_at"] == "timestamp_ntz" and types["quantity"] == "double"
+    assert sorted(r.sold_at for r in back.collect()) == [dt.datetime(2025, 1, 5, 9, 5), dt.datetime(2025, 1, 8, 23, 59, 59)]
