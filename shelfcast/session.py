@@ -23,6 +23,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app_name:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
+        # Release shuffle files of finished queries during long local runs.
+        .config("spark.cleaner.periodicGC.interval", "2min")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
