@@ -63,3 +63,49 @@ def test_random_aggregates(spark, rows):
     margins = (pdf["selling_price"] - pdf["buying_price"]).astype(float)
     counts = [r["count"] for r in ex.margin_histogram(tx).orderBy("bin").collect()]
     assert counts == np.histogram(margins, bins=40)[0].tolist()
+
+
+score = st.one_of(st.floats(-50, 500, allow_nan=False), st.just(float("nan")), st.just(float("inf")),
+                  st.just(float("-inf")), st.sampled_from([0.5, 1.5, 2.5, -0.5]))
+
+
+def numpy_weighted(row, weights):
+    used = [(s, w) for s, w in zip(row, weights) if w > 0 and np.isfinite(s)]
+    total = sum(w for _, w in used)
+    value = sum(s * w for s, w in used) / total if total > 0 else row[0]
+    value = value if np.isfinite(value) else 0.0
+    return int(np.rint(max(value, 0.0)))
+
+
+@SETTINGS
+@given(st.lists(st.tuples(score, score, score), min_size=1, max_size=40),
+       st.tuples(st.floats(-1, 2), st.floats(-1, 2), st.floats(-1, 2)))
+def test_random_weighted_demand(spark, rows, raw_weights):
+    from pyspark.sql import functions as F
+
+    from shelfcast.operators.ensemble import resolve_weights, to_demand, weighted_score
+
+    names = ["xgb_regressor", "lgbm_regressor", "rf_regressor"]
+    weights = resolve_weights(names, dict(zip(["xgb", "lgbm", "rf"], raw_weights)))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in rows], "a double, b double, c double")
+    expr = weighted_score(dict(zip(names, (F.col("a"), F.col("b"), F.col("c")))), weights)
+    got = [r[0] for r in df.select(to_demand(expr)).collect()]
+    want = [numpy_weighted(r, [weights[n] for n in names]) for r in rows]
+    assert got == want
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 1), score, score, score), min_size=1, max_size=40))
+def test_random_gated_blend(spark, rows):
+    from pyspark.sql import functions as F
+
+    from shelfcast.operators.ensemble import gated_blend
+
+    df = spark.createDataFrame([(c, float(a), float(b), float(r)) for c, a, b, r in rows],
+                               "c int, a double, b double, r double")
+    got = [x[0] for x in df.select(gated_blend(F.col("c"), [F.col("a"), F.col("b"), F.col("r")])).collect()]
+    want = []
+    for c, a, b, r in rows:
+        blend = a * 0.45 + b * 0.45 + r * 0.1
+        want.append(int(np.rint(max(blend, 0.0))) if c == 1 and np.isfinite(blend) else 0)
+    assert got == want
