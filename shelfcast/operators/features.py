@@ -45,6 +45,9 @@ class Grain:
     def previous_period(self, p: Column) -> Column:
         return F.date_sub(p, 7) if self.name == "weekly" else F.add_months(p, -1)
 
+    def next_period(self, p: Column) -> Column:
+        return F.date_add(p, 7) if self.name == "weekly" else F.add_months(p, 1)
+
     @property
     def history_cols(self) -> tuple[str, str, str]:
         return (self.lag1_col, self.lag2_col, self.rolling_col)
@@ -133,6 +136,27 @@ def add_history(df: DataFrame, grain: Grain) -> DataFrame:
     )
 
 
+def next_period_features(tx: DataFrame, grain: Grain, flags: dict[str, int] | None = None) -> DataFrame:
+    """Inputs for forecasting the period *after* each observed one: lag 1 is this
+    period's quantity, lag 2 the previous one, the rolling mean covers the window
+    ending at this period (complete windows only), the period moves one step and
+    its calendar flags follow; prices are the last observed means. One window
+    pass over the rollup, same partitioning as :func:`add_history`."""
+    w = history_window(grain)
+    frame = w.rowsBetween(-(grain.rolling_width - 1), 0)
+    q = F.col("quantity")
+    rolled = rollup(tx, grain)
+    shifted = rolled.withColumns(
+        {
+            grain.lag1_col: q.cast("double"),
+            grain.lag2_col: F.lag(q, 1).over(w).cast("double"),
+            grain.rolling_col: F.when(F.count(q).over(frame) == grain.rolling_width, F.avg(q).over(frame)),
+            "observed_period": F.col(grain.period_col),
+        }
+    ).withColumn(grain.period_col, grain.next_period(F.col(grain.period_col)))
+    return add_calendar(shifted, grain, flags).drop("quantity", "total_amount")
+
+
 def add_calendar(df: DataFrame, grain: Grain, flags: dict[str, int] | None = None) -> DataFrame:
     """Price gap, month flags of the period (the week's closing Sunday for weekly) and,
     weekly only, the payday flag (closing Sunday in the last seven days of its month)."""

@@ -490,3 +490,32 @@ def latest_naive_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("week_ending").alias("period"),
         demand.alias("predicted_demand"),
     )
+
+
+@register("next_period_naive_forecast")
+def next_period_naive_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecast of the period after each product's last sale: next-period inputs
+    (lags advanced by one), latest row per product, the three history columns as
+    stand-in regressors, lag 1 > 20 as the stand-in class."""
+    from shelfcast.operators.ensemble import DEFAULT_BLEND_WEIGHTS, resolve_weights, to_demand, weighted_score
+    from shelfcast.operators.scoring import inference_frame, latest_rows
+
+    nxt = fe.next_period_features(fixtures.transactions(spark, sf_dir), fe.WEEKLY)
+    latest = latest_rows(nxt, fe.WEEKLY)
+    frame = inference_frame(latest, ["lag_1_week", "lag_2_weeks", "rolling_mean_4_weeks"],
+                            keep=("product_id", "week_ending", "is_christmas_month", "is_payday_week"))
+    weights = resolve_weights(ENSEMBLE_MODELS, DEFAULT_BLEND_WEIGHTS)
+    scores = dict(zip(ENSEMBLE_MODELS, (F.col("lag_1_week"), F.col("lag_2_weeks"), F.col("rolling_mean_4_weeks"))))
+    demand = F.when(F.col("lag_1_week") > 20, to_demand(weighted_score(scores, weights))).otherwise(
+        F.lit(0).cast("bigint")
+    )
+    return frame.select(
+        "product_id",
+        F.col("week_ending").alias("period"),
+        "is_christmas_month",
+        "is_payday_week",
+        "lag_1_week",
+        "lag_2_weeks",
+        F.round("rolling_mean_4_weeks", 6).alias("rolling_mean_4_weeks"),
+        demand.alias("predicted_demand"),
+    )

@@ -628,3 +628,36 @@ e AS (SELECT *, {_weighted_sql()} AS ensemble_score FROM s)
 SELECT product_id, 'weekly' AS timeframe, week_ending AS period,
        CASE WHEN score_a > 20 THEN {_demand('ensemble_score')} ELSE CAST(0 AS BIGINT) END AS predicted_demand
 FROM e"""
+
+ORACLE["next_period_naive_forecast"] = f"""
+WITH {T},{rollup_cte('weekly')},
+nxt AS (
+  SELECT product_id, product_name, category, week_ending + 7 AS period,
+         CAST(quantity AS DOUBLE) AS lag_1_week,
+         CAST(lag(quantity, 1) OVER (w) AS DOUBLE) AS lag_2_weeks,
+         CASE WHEN count(quantity) OVER (PARTITION BY product_id ORDER BY week_ending, product_name, category
+                                         ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) = 4
+              THEN avg(quantity) OVER (PARTITION BY product_id ORDER BY week_ending, product_name, category
+                                       ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) END AS rolling_mean_4_weeks
+  FROM ru
+  WINDOW w AS (PARTITION BY product_id ORDER BY week_ending, product_name, category)
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY product_id
+                               ORDER BY period DESC NULLS LAST, product_name DESC, category DESC) AS rn
+  FROM nxt
+),
+s AS (
+  SELECT product_id, period,
+         CAST(month(period) = 12 AS TINYINT) AS is_christmas_month,
+         CAST(day(period) >= day(last_day(period)) - 6 AS TINYINT) AS is_payday_week,
+         coalesce(lag_1_week, 0.0) AS score_a,
+         coalesce(lag_2_weeks, 0.0) AS score_b,
+         coalesce(rolling_mean_4_weeks, 0.0) AS score_c
+  FROM ranked WHERE rn = 1
+),
+e AS (SELECT *, {_weighted_sql()} AS ensemble_score FROM s)
+SELECT product_id, period, is_christmas_month, is_payday_week,
+       score_a AS lag_1_week, score_b AS lag_2_weeks, round(score_c, 6) AS rolling_mean_4_weeks,
+       CASE WHEN score_a > 20 THEN {_demand('ensemble_score')} ELSE CAST(0 AS BIGINT) END AS predicted_demand
+FROM e"""
