@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing
+from . import licenses, mixing, neardup
 
 QUERIES = {
+    "op6_minmax_neardup": neardup.query,
     "op8_source_mix": mixing.query,
     "op9_license_scan": licenses.query,
 }

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +36,7 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there and lost executors cost nothing."""
     path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -80,3 +81,41 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * _K1
         x = (x ^ (x >> np.uint64(27))) * _K2
     return x ^ (x >> np.uint64(31))
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, remembered up to a bound; ``array`` gives those of a list."""
+
+    LIMIT, LONGEST = 500_000, 64
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = value
+        return value
+
+    def array(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+class Rolling:
+    """Polynomial hashes modulo 2**64 of all runs of ``width`` consecutive values, in a few array passes."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse = base | 1, pow(base | 1, -1, 1 << 64)
+        self.up = self.down = np.ones(0, np.uint64)
+
+    def __call__(self, values: np.ndarray, width: int) -> np.ndarray:
+        n = len(values)
+        if n < width:
+            return np.zeros(0, np.uint64)
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up), 4096)
+            powers = [np.full(size, b, np.uint64) for b in (self.base, self.inverse)]
+            for p in powers:
+                p[0] = 1
+            self.up, self.down = (np.multiply.accumulate(p) for p in powers)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * self.down[:n], dtype=np.uint64)))
+        return mix64((sums[width:] - sums[:-width]) * self.up[: n - width + 1])

@@ -24,7 +24,7 @@ from .common import word_count, written
 #: Words left for the dynamic program; its table has one bit for each.
 DP_WORDS = 16384
 #: Documents of one source and length that one task ranks.
-SLICE = 20000
+SLICE = 1000
 
 
 def knapsack(sizes: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
