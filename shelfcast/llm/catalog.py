@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, neardup
+from . import licenses, mixing, neardup, toxicity
 
 QUERIES = {
+    "op5_subword_toxicity": toxicity.query,
     "op6_minmax_neardup": neardup.query,
     "op8_source_mix": mixing.query,
     "op9_license_scan": licenses.query,
