@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, neardup, substrings, toxicity
+from . import licenses, mixing, neardup, phrases, substrings, toxicity
 
 QUERIES = {
+    "op2_phrase_fingerprint": phrases.query,
     "op3_difference_cover": substrings.query,
     "op5_subword_toxicity": toxicity.query,
     "op6_minmax_neardup": neardup.query,
