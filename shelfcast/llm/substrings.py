@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, WordHashes, map_batches, utf8, written
+from .common import Rolling, WordHashes, list_array, lists, map_batches, mix64, pack, unpack, utf8, written
 
 WINDOW = 50
 PERIOD = 31
@@ -66,11 +66,6 @@ def class_key(words: list[bytes]) -> int:
     return int(np.frombuffer(xxhash.xxh3_64_digest(b" ".join(words)), np.int64)[0])
 
 
-def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    ends = np.concatenate(([0], np.cumsum([len(v) for v in values])))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values), kind))
-
-
 def _identified(docs: DataFrame) -> DataFrame:
     """doc_id, text and a hash of the text: together they name a row, even if ids repeat."""
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
@@ -96,47 +91,70 @@ def heads(rows: DataFrame) -> DataFrame:
 
 
 def _shared_anchors(rows: DataFrame) -> DataFrame:
-    """(text_hash, place): the anchors that occur in different texts."""
+    """(text_hash, place): the anchors that occur in different texts.
+
+    An anchor that different texts of one Arrow batch share is known to be shared. Its
+    places go to random keys, and only two rows stand for the batch at the anchor's
+    key. So the rows of a very common anchor there grow with batches, not documents.
+    """
     state = WindowHashes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = [t.split() for t in utf8(batch.column("text"))]
+        hashes = batch.column("text_hash").to_numpy()
+        _, distinct = np.unique(hashes, return_index=True)
+        texts = utf8(batch.column("text"))
+        words = [texts[k].split() for k in distinct.tolist()]
         found = [state.anchors(w) if len(w) >= WINDOW else np.zeros(0, np.uint64) for w in words]
         n = [len(f) for f in found]
+        anchor, place = np.concatenate(found), np.concatenate([np.arange(k, dtype=np.int32) for k in n])
+        text = np.repeat(hashes[distinct], n)
+        order = np.lexsort((text, anchor))
+        anchor, place, text = anchor[order], place[order], text[order]
+        first = np.flatnonzero(np.concatenate(([len(anchor) > 0], anchor[1:] != anchor[:-1]))[: len(anchor)])
+        last = np.append(first[1:], len(anchor)) - 1 if len(first) else first
+        both = text[first] != text[last]
+        known = np.repeat(both, last - first + 1)
+        ends = np.concatenate((first[both], last[both]))
+        spread = mix64(text.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(found).view(np.int64)), batch.column("text_hash").take(pa.array(np.repeat(np.arange(len(n)), n))),
-             pa.array(np.concatenate([np.arange(k) for k in n]), pa.int32())],
-            names=["anchor", "text_hash", "place"],
+            [pa.array(np.concatenate((np.where(known, spread, anchor), anchor[ends])).view(np.int64)),
+             pa.array(np.concatenate((text, text[ends]))), pa.array(np.concatenate((place, np.full(len(ends), -1, np.int32)))),
+             pa.array(np.concatenate((known, np.zeros(len(ends), bool))))], names=["anchor", "text_hash", "place", "known"],
         )
 
     anchors = map_batches(rows, run, T.StructType([
-        T.StructField("anchor", _LONG), T.StructField("text_hash", _LONG), T.StructField("place", _INT),
+        T.StructField("anchor", _LONG), T.StructField("text_hash", _LONG), T.StructField("place", _INT), T.StructField("known", T.BooleanType()),
     ]))
     same = Window.partitionBy("anchor")
     return anchors.withColumn("low", F.min("text_hash").over(same)).withColumn("high", F.max("text_hash").over(same)).where(
-        "low < high"
+        "place >= 0 AND (known OR low < high)"
     ).select("text_hash", "place")
 
 
 def _candidates(rows: DataFrame, marked: DataFrame) -> DataFrame:
-    """The documents with shared anchors (``marked``) and the positions of all windows that hold one."""
+    """doc_id, text_hash, packed text and ``at``, the positions of all windows that hold a shared anchor."""
+
+    def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pack(utf8(batch.column("text")))],
+                                          names=["doc_id", "text_hash", "packed"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = []
-        for text, marks in zip(utf8(batch.column("text")), batch.column("marked").to_pylist(), strict=True):
+        marks, ends = lists(batch.column("marked"))
+        marks = marks.to_numpy()
+        for k, text in enumerate(unpack(batch.column("packed"))):
             n = len(text.split())
             step = np.zeros(n + 1, np.int32)
-            spots = places(n)[np.array(marks, np.int64)]
+            spots = places(n)[marks[ends[k]:ends[k + 1]]]
             np.add.at(step, np.maximum(spots - (WINDOW - ANCHOR), 0), 1)
             np.add.at(step, spots + 1, -1)
             at.append(np.flatnonzero(np.cumsum(step)[: n - WINDOW + 1] > 0).astype(np.int32))
-        return pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("doc_id", "text_hash", "text")), _lists(at, pa.int32())], names=["doc_id", "text_hash", "text", "at"]
-        )
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text_hash", "packed")), list_array(at, pa.int32())],
+                                          names=["doc_id", "text_hash", "packed", "at"])
 
-    schema = T.StructType([T.StructField("doc_id", _LONG), T.StructField("text_hash", _LONG),
-                           T.StructField("text", T.StringType()), T.StructField("at", T.ArrayType(_INT))])
-    return map_batches(rows.join(marked, ["doc_id", "text_hash"]), run, schema)
+    schema = T.StructType([T.StructField("doc_id", _LONG), T.StructField("text_hash", _LONG), T.StructField("packed", T.BinaryType())])
+    travelling = map_batches(rows, packed, schema)
+    return map_batches(travelling.join(marked, ["doc_id", "text_hash"]), run, T.StructType([*schema.fields, T.StructField("at", T.ArrayType(_INT))]))
 
 
 def _windows(found: DataFrame) -> DataFrame:
@@ -145,14 +163,17 @@ def _windows(found: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         first, second, n = [], [], []
-        for text, at in zip(utf8(batch.column("text")), batch.column("at").to_pylist(), strict=True):
+        at, ends = lists(batch.column("at"))
+        spots = at.to_numpy()
+        for k, text in enumerate(unpack(batch.column("packed"))):
             one, two = state.windows(text.split())
-            first.append(one[at].view(np.int64))
-            second.append(two[at])
-            n.append(len(at))
+            own = spots[ends[k]:ends[k + 1]]
+            first.append(one[own].view(np.int64))
+            second.append(two[own])
+            n.append(len(own))
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(n)), n))), batch.column("at").flatten(),
-             pa.array(np.concatenate(first)), pa.array(np.concatenate(second))], names=["doc_id", "at", "h1", "h2"],
+            [batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(n)), n))), at, pa.array(np.concatenate(first)), pa.array(np.concatenate(second))],
+            names=["doc_id", "at", "h1", "h2"],
         )
 
     return map_batches(found.where("size(at) > 0"), run, T.StructType([
@@ -176,20 +197,24 @@ def cuts(docs: DataFrame, top: DataFrame) -> DataFrame:
     found = written(_candidates(rows, marked), "candidates")
     windows = _windows(found)
     sources = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"))
-    flags = windows.join(sources, ["h1", "h2"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_set(F.struct("at", "h1")).alias("flags"))
+    flags = windows.join(sources, ["h1", "h2"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_list(F.struct("at", "h1")).alias("flags"))
     state = WindowHashes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         removed, digests = [], []
-        for text, flags in zip(utf8(batch.column("text")), batch.column("flags").to_pylist(), strict=True):
+        values, ends = lists(batch.column("flags"))
+        spots, hashes = (values.field(c).to_numpy() for c in ("at", "h1"))
+        for k, text in enumerate(unpack(batch.column("packed"))):
             own = state.windows(text.split())[0].view(np.int64)
+            at, h1 = spots[ends[k]:ends[k + 1]], hashes[ends[k]:ends[k + 1]]
             # Should ids repeat, a window only counts for a text that holds it there.
-            at = [f["at"] for f in flags if f["at"] < len(own) and own[f["at"]] == f["h1"]]
-            removed.append(np.unique(np.array(at, np.int32)[:, None] + np.arange(WINDOW, dtype=np.int32)))
+            inside = at < len(own)
+            at = at[inside][own[at[inside]] == h1[inside]]
+            removed.append(np.unique(at[:, None] + np.arange(WINDOW, dtype=np.int32)))
             digests.append(hashlib.sha256(b" ".join(kept_words(text, removed[-1]))).hexdigest())
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(r) for r in removed], pa.int64()), pa.array(digests),
-             _lists(removed, pa.int32())], names=["doc_id", "text_hash", "n_removed", "sha256", "removed"])
+             list_array(removed, pa.int32())], names=["doc_id", "text_hash", "n_removed", "sha256", "removed"])
 
     schema = T.StructType([
         T.StructField("doc_id", _LONG), T.StructField("text_hash", _LONG), T.StructField("n_removed", _LONG),
