@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, neardup, phrases, substrings, toxicity
+from . import licenses, mixing, neardup, phrases, pieces, substrings, toxicity
 
 QUERIES = {
+    "op10_n_best_pieces": pieces.query,
     "op2_phrase_fingerprint": phrases.query,
     "op3_difference_cover": substrings.query,
     "op5_subword_toxicity": toxicity.query,
