@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: A word is a maximal run without ASCII blanks; ``bytes.split()`` cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of input that a Python function gets at once, so that what it makes of them stays small.
+PART = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,12 +81,13 @@ def unpack(column: pa.Array) -> list[bytes]:
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType
 ) -> DataFrame:
-    """``mapInArrow`` with a function of one record batch; batches without rows are skipped."""
+    """``mapInArrow`` with a function of one record batch, handed over in parts of about ``PART`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+            rows = max(1, batch.num_rows * PART // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, rows):
+                out = fn(batch.slice(at, rows))
                 if out is not None and out.num_rows:
                     yield out
 

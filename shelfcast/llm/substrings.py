@@ -48,7 +48,9 @@ class WindowHashes:
         self.first, self.second = Rolling(0x9E3779B97F4A7C15), Rolling(0xD6E8FEB86659FD93)
 
     def anchors(self, words: list[bytes]) -> np.ndarray:
-        """Hashes of the runs at the positions of ``places``."""
+        """Hashes of the runs at the positions of ``places``; none of a text without a window."""
+        if len(words) < WINDOW:
+            return np.zeros(0, np.uint64)
         return self.first(self.words.array(words), ANCHOR)[places(len(words))]
 
     def windows(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,10 +64,6 @@ def places(n_words: int) -> np.ndarray:
     return at[np.isin(at % PERIOD, COVER)]
 
 
-def class_key(words: list[bytes]) -> int:
-    return int(np.frombuffer(xxhash.xxh3_64_digest(b" ".join(words)), np.int64)[0])
-
-
 def _identified(docs: DataFrame) -> DataFrame:
     """doc_id, text and a hash of the text: together they name a row, even if ids repeat."""
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
@@ -75,12 +73,16 @@ def heads(rows: DataFrame) -> DataFrame:
     """Of each document: words, a 128-bit key of its word sequence, and the digest of the words joined."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = [t.split() for t in utf8(batch.column("text"))]
-        joined = [b" ".join(w) for w in words]
-        keys = np.array([np.frombuffer(xxhash.xxh3_128_digest(j), np.int64) for j in joined])
+        n, keys, digests = [], [], []
+        for text in utf8(batch.column("text")):
+            words = text.split()
+            joined = b" ".join(words)
+            n.append(len(words))
+            keys.append(np.frombuffer(xxhash.xxh3_128_digest(joined), np.int64))
+            digests.append(hashlib.sha256(joined).hexdigest())
+        keys = np.array(keys)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(w) for w in words], pa.int64()),
-             pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([hashlib.sha256(j).hexdigest() for j in joined])],
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(digests)],
             names=["doc_id", "text_hash", "n_words", "key1", "key2", "sha256"],
         )
 
@@ -103,8 +105,7 @@ def _shared_anchors(rows: DataFrame) -> DataFrame:
         hashes = batch.column("text_hash").to_numpy()
         _, distinct = np.unique(hashes, return_index=True)
         texts = utf8(batch.column("text"))
-        words = [texts[k].split() for k in distinct.tolist()]
-        found = [state.anchors(w) if len(w) >= WINDOW else np.zeros(0, np.uint64) for w in words]
+        found = [state.anchors(texts[k].split()) for k in distinct.tolist()]
         n = [len(f) for f in found]
         anchor, place = np.concatenate(found), np.concatenate([np.arange(k, dtype=np.int32) for k in n])
         text = np.repeat(hashes[distinct], n)
