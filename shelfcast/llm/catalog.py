@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, neardup, phrases, pieces, substrings, toxicity
+from . import licenses, mixing, neardup, phrases, pieces, substrings, toxicity, url_templates, warc
 
 QUERIES = {
+    "op4_path_templates": url_templates.query,
+    "op7_capture_index": warc.query,
     "op10_n_best_pieces": pieces.query,
     "op2_phrase_fingerprint": phrases.query,
     "op3_difference_cover": substrings.query,
@@ -14,4 +16,4 @@ QUERIES = {
     "op9_license_scan": licenses.query,
 }
 #: DuckDB statements of the queries that SQL can state in full.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_path_templates": url_templates.ORACLE_SQL}
