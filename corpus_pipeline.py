@@ -1,27 +1,53 @@
-"""Corpus pipeline: the stages from raw documents to an encoded, mixed, clean corpus.
+"""Corpus pipeline: from raw documents to a clean, mixed and encoded corpus.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
-as Parquet and read again as the next stage's ``docs``.
+as Parquet and read again as the next stage's ``docs``. All stages but the last return
+the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfcast.llm import mixing
+from shelfcast.llm import mixing, neardup, pieces, substrings, toxicity
 from shelfcast.llm.common import written
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier, trained on labelled rows of ``docs``, does not call toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group at a similarity of 0.8 or more on five-word shingles."""
+    return neardup.keep_one(docs, threshold=80)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages of 50 words and more that a document with a smaller id has."""
+    return substrings.cut_documents(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix to target weights takes it."""
+    """Each document as often as the mix to target weights takes it: not at all, once or twice."""
     return mixing.mixed_documents(docs)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document of the mix as pieces, with the scores of its best segmentations, checked by decoding."""
+    return pieces.encode_documents(docs)
+
+
 STAGES = [
-    ("mixing", mix_sources),
+    ("toxicity", drop_toxic),
+    ("minmax near-dedup", drop_near_duplicates),
+    ("substring dedup", cut_repeated_passages),
+    ("source mix", mix_sources),
+    ("piece encoding", encode),
 ]
 
-#: SQL cannot state the learned and randomised stages; tests hold them against brute force.
+#: SQL cannot state a trained classifier, so not the rows behind it; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -29,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; between stages the rows rest in the cluster's shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

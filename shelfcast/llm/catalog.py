@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, neardup, phrases, pieces, substrings, toxicity, url_templates, warc
+from . import licenses, mixing, neardup, phrases, pieces, search, substrings, toxicity, url_templates, warc
 
 QUERIES = {
+    "op1_dual_cover_tree": search.query,
     "op4_path_templates": url_templates.query,
     "op7_capture_index": warc.query,
     "op10_n_best_pieces": pieces.query,
@@ -16,4 +17,4 @@ QUERIES = {
     "op9_license_scan": licenses.query,
 }
 #: DuckDB statements of the queries that SQL can state in full.
-ORACLE: dict[str, str] = {"op4_path_templates": url_templates.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op1_dual_cover_tree": search.ORACLE_SQL, "op4_path_templates": url_templates.ORACLE_SQL}
