@@ -79,13 +79,13 @@ def unpack(column: pa.Array) -> list[bytes]:
 
 
 def map_batches(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType, part: int = PART
 ) -> DataFrame:
-    """``mapInArrow`` with a function of one record batch, handed over in parts of about ``PART`` bytes."""
+    """``mapInArrow`` with a function of one record batch, handed over in parts of about ``part`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = max(1, batch.num_rows * PART // max(1, batch.nbytes))
+            rows = max(1, batch.num_rows * part // max(1, batch.nbytes))
             for at in range(0, batch.num_rows, rows):
                 out = fn(batch.slice(at, rows))
                 if out is not None and out.num_rows:

@@ -159,7 +159,11 @@ def _candidates(rows: DataFrame, marked: DataFrame) -> DataFrame:
 
 
 def _windows(found: DataFrame) -> DataFrame:
-    """(doc_id, at, h1, h2) of every candidate window."""
+    """(doc_id, at, key, h2, known) of every candidate window.
+
+    A window that a smaller document of the same Arrow batch has too is known to go. Its
+    row gets a random key, so the rows at a common window's key grow with batches.
+    """
     state = WindowHashes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -172,14 +176,21 @@ def _windows(found: DataFrame) -> DataFrame:
             first.append(one[own].view(np.int64))
             second.append(two[own])
             n.append(len(own))
+        doc, h1, h2 = np.repeat(batch.column("doc_id").to_numpy(), n), np.concatenate(first), np.concatenate(second)
+        order = np.lexsort((doc, h2, h1))
+        doc, spots, h1, h2 = doc[order], spots[order], h1[order], h2[order]
+        new = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
+        start = np.flatnonzero(new)
+        known = doc > np.repeat(doc[start], np.diff(np.append(start, len(doc))))
+        spread = mix64(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + spots.astype(np.uint64)).view(np.int64)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(n)), n))), at, pa.array(np.concatenate(first)), pa.array(np.concatenate(second))],
-            names=["doc_id", "at", "h1", "h2"],
+            [pa.array(c) for c in (doc, spots, np.where(known, spread, h1), h2, known)], names=["doc_id", "at", "key", "h2", "known"],
         )
 
     return map_batches(found.where("size(at) > 0"), run, T.StructType([
-        T.StructField("doc_id", _LONG), T.StructField("at", _INT), T.StructField("h1", _LONG), T.StructField("h2", _INT),
-    ]))
+        T.StructField("doc_id", _LONG), T.StructField("at", _INT), T.StructField("key", _LONG), T.StructField("h2", _INT),
+        T.StructField("known", T.BooleanType()),
+    ]), part=2 << 20)
 
 
 def cuts(docs: DataFrame, top: DataFrame) -> DataFrame:
@@ -197,20 +208,21 @@ def cuts(docs: DataFrame, top: DataFrame) -> DataFrame:
     marked = _shared_anchors(rows).groupBy("text_hash").agg(F.collect_set("place").alias("marked")).join(reps, "text_hash")
     found = written(_candidates(rows, marked), "candidates")
     windows = _windows(found)
-    sources = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"))
-    flags = windows.join(sources, ["h1", "h2"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_list(F.struct("at", "h1")).alias("flags"))
+    sources = windows.where("NOT known").groupBy("key", "h2").agg(F.min("doc_id").alias("low"))
+    flagged = windows.join(sources, ["key", "h2"], "left").where("known OR doc_id > low")
+    flags = flagged.groupBy("doc_id").agg(F.collect_list(F.struct("at", "h2")).alias("flags"))
     state = WindowHashes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         removed, digests = [], []
         values, ends = lists(batch.column("flags"))
-        spots, hashes = (values.field(c).to_numpy() for c in ("at", "h1"))
+        spots, hashes = (values.field(c).to_numpy() for c in ("at", "h2"))
         for k, text in enumerate(unpack(batch.column("packed"))):
-            own = state.windows(text.split())[0].view(np.int64)
-            at, h1 = spots[ends[k]:ends[k + 1]], hashes[ends[k]:ends[k + 1]]
+            own = state.windows(text.split())[1]
+            at, h2 = spots[ends[k]:ends[k + 1]], hashes[ends[k]:ends[k + 1]]
             # Should ids repeat, a window only counts for a text that holds it there.
             inside = at < len(own)
-            at = at[inside][own[at[inside]] == h1[inside]]
+            at = at[inside][own[at[inside]] == h2[inside]]
             removed.append(np.unique(at[:, None] + np.arange(WINDOW, dtype=np.int32)))
             digests.append(hashlib.sha256(b" ".join(kept_words(text, removed[-1]))).hexdigest())
         return pa.RecordBatch.from_arrays(
