@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count, written
+from .common import free_name, word_count, written
 
 #: Words left for the dynamic program; its table has one bit for each.
 DP_WORDS = 16384
@@ -164,18 +164,21 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents as the mix takes them: each row as often as ``mix`` says, columns unchanged."""
-    key = ["doc_id", "source", "_size"]
-    taken = mix(docs, **options).groupBy("doc_id", "source", F.col("size").alias("_size")).agg(
-        F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")
+    size, copies, rows, t_id, t_source, t_size, copy = (
+        free_name(docs, c) for c in ("_size", "_copies", "_rows", "_mix_id", "_mix_source", "_mix_size", "_copy")
     )
-    t = taken.select(*[F.col(k).alias(f"_t{k}") for k in key], "_copies", "_rows")
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
-    same = [F.col(k).eqNullSafe(F.col(f"_t{k}")) for k in key]
+    taken = mix(docs, **options).groupBy(F.col("doc_id").alias(t_id), F.col("source").alias(t_source), F.col("size").alias(t_size)).agg(
+        F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows)
+    )
+    sized = docs.withColumn(size, word_count(F.col("text")))
+    same = sized["doc_id"].eqNullSafe(F.col(t_id)) & sized["source"].eqNullSafe(F.col(t_source)) & (F.col(size) == F.col(t_size))
+    # Rows that repeat an id share its copies.
+    nth = F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy(F.lit(0)))
+    own = F.floor(F.col(copies) / F.col(rows)) + (nth <= F.col(copies) % F.col(rows)).cast("long")
     return (
-        docs.withColumn("_size", word_count(F.col("text"))).join(t, same[0] & same[1] & same[2])
-        .withColumn("_copies", F.floor(F.col("_copies") / F.col("_rows")) + (nth <= F.col("_copies") % F.col("_rows")).cast("long"))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(F.col("_copies") > 0, F.col("_copies")))))
-        .select(*[docs[c] for c in docs.columns])
+        sized.join(taken, same).withColumn(copies, own)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.when(F.col(copies) > 0, F.col(copies)))))
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, WordHashes, list_array, lists, map_batches, mix64, pack, unpack, utf8, written
+from .common import Rolling, WordHashes, free_name, list_array, lists, map_batches, mix64, pack, unpack, utf8, written
 
 WINDOW = 50
 PERIOD = 31
@@ -281,18 +281,20 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     A document that loses every word stays with an empty text.
     """
     top = written(heads(_identified(docs)), "heads")
-    cut = cuts(docs, top).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "removed", F.lit(True).alias("_cut"))
-    joined = docs.withColumn("_text_hash", F.xxhash64("text")).join(
-        cut.withColumnRenamed("removed", "_removed"), (F.col("doc_id") == F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left"
-    ).select(*[docs[c] for c in docs.columns], "_removed", "_cut")
+    removed, cut, text_hash, doc_id = (free_name(docs, c) for c in ("_removed", "_cut", "_text_hash", "_cut_id"))
+    changed = cuts(docs, top).select(F.col("doc_id").alias(doc_id), F.col("text_hash").alias(text_hash), F.col("removed").alias(removed), F.lit(True).alias(cut))
+    joined = docs.join(changed, (docs["doc_id"] == F.col(doc_id)) & (F.xxhash64(docs["text"]) == F.col(text_hash)), "left").select(
+        *[docs[c] for c in docs.columns], removed, cut
+    )
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column("text").to_pylist()
-        for k, (text, removed, hit) in enumerate(zip(texts, batch.column("_removed").to_pylist(), batch.column("_cut").to_pylist(), strict=True)):
+        columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+        places, hits = columns.pop(removed).to_pylist(), columns.pop(cut).to_pylist()
+        texts = columns["text"].to_pylist()
+        for k, hit in enumerate(hits):
             if hit:
-                texts[k] = "" if removed is None else cut_text(text.encode(), np.array(removed)).decode()
-        columns = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("_removed", "_cut")}
-        columns["text"] = pa.array(texts, batch.column("text").type)
+                texts[k] = "" if places[k] is None else cut_text(texts[k].encode(), np.array(places[k])).decode()
+        columns["text"] = pa.array(texts, batch.schema.field("text").type)
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     out = map_batches(joined, run, docs.schema)

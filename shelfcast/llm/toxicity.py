@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, mix64, utf8
+from .common import free_name, map_batches, mix64, utf8
 
 #: Bound of the training sample: labelled documents of each class, by a seeded hash of the id.
 TRAIN_DOCS = 2048
@@ -232,8 +232,8 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The documents that the model does not call toxic, columns unchanged."""
-    scored = _with_score(docs, model, "_toxicity")
-    return scored.where(F.col("_toxicity") < 0.5).drop("_toxicity")
+    name = free_name(docs, "_toxicity")
+    return _with_score(docs, model, name).where(F.col(name) < 0.5).drop(name)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
