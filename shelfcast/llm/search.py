@@ -261,8 +261,8 @@ def top_k(embeddings: DataFrame, asked: Column, k: int = K) -> DataFrame:
     vec_id. Null vectors, vectors that hold a null or a non-finite number, and
     rows without vec_id take no part. Rows that repeat a vec_id count once, with
     the smallest vector. Of vectors of different length the shorter is filled up
-    with zeros. Scores beyond the range of a long are held at its ends. Other
-    columns take no part. With fewer than ``k`` others, all are returned.
+    with zeros. Scores beyond the range of a long are held at its ends
+    and compared so. Other columns take no part. With fewer than ``k`` others, all are returned.
     """
     vectors = written(scaled(embeddings), "vectors")
     cells = _in_cells(vectors, vectors.count()).withColumn("asked", asked)

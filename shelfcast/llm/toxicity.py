@@ -51,7 +51,7 @@ def subwords(words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     hashes, owners = [], []
     h = np.zeros(len(raw), np.uint64)
     with np.errstate(over="ignore"):
-        for n in range(1, max(GRAMS) + 1):
+        for n in range(1, min(max(GRAMS), len(raw)) + 1):
             h[: len(raw) - n + 1] = h[: len(raw) - n + 1] * np.uint64(257) + raw[n - 1:]
             if n in GRAMS:
                 at = np.flatnonzero(left >= n)
@@ -75,6 +75,7 @@ class ToxicityModel:
 
     margins: np.ndarray
     bias: float
+    constant: bool = False  # trained without rows of both classes: every text has the bias as its margin
 
     def word_margins(self, words: Sequence[bytes]) -> np.ndarray:
         buckets, counts = subwords(words)
@@ -106,7 +107,7 @@ class ToxicityModel:
 
     def margin(self, words: np.ndarray) -> float:
         """Log-sum-exp of the words' margins; the bias alone without words."""
-        if not len(words):
+        if self.constant or not len(words):
             return self.bias
         top = words.max()
         return float(top + np.log(np.exp(words - top).sum()) + self.bias)
@@ -123,7 +124,7 @@ def train(texts: Sequence[bytes], toxic: Sequence[int], weights: Sequence[float]
     y = np.asarray(toxic, np.float64)
     share = y.mean() if len(y) else 0.0
     if not 0 < share < 1:
-        return ToxicityModel(np.zeros(BUCKETS), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+        return ToxicityModel(np.zeros(BUCKETS), float(np.log((share + 1e-3) / (1 - share + 1e-3))), constant=True)
     weight = np.ones(len(y)) if weights is None else np.asarray(weights, np.float64)
     rng = np.random.default_rng(seed)
     vectors = (rng.random((BUCKETS, dim)) - 0.5) / dim
