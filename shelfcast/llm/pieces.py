@@ -5,10 +5,12 @@ give the best way to every place; they are an exact heuristic for a search that
 goes backward from the end (A*), so complete paths come out in order of score, and
 the search stops after ``n_best``.
 
-No piece of the vocabulary spans two neighbouring characters that stand next to
-each other in no piece. The lattice falls apart there, exactly, so a text is cut into
-chunks, each distinct chunk is searched once and kept in a bounded cache, and the
-n best paths of a text are the cheapest combinations of its chunks' paths.
+No piece reaches from a letter into a blank behind it, so the lattice of a text falls
+apart into those of its words, exactly, and words recur. Words not in a bounded cache
+are run through the Viterbi recursion together, many words in one array pass,
+forward and backward: that gives a word's best path, and what its second best
+path costs. Only the n - 1 words of a text whose second paths cost least can
+change its n best paths; those are searched by A*.
 
 Blanks are written as U+2581 and one is put before the text, as the model's own
 tokenizer does. Characters without a piece, and U+2581 itself, are written as byte
@@ -20,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import insort
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,8 @@ N_BEST = 4
 BLANK = "▁"
 #: Stands for a literal U+2581 while a text is searched. A lone surrogate occurs in no UTF-8 text and no piece.
 _LITERAL = "\udc81"
-#: Chunks in each half of the cache, and the longest one kept.
-_CACHE_CHUNKS, _CACHE_CHARS = 200_000, 64
+#: Words in each half of the cache; the longest one that goes through the array pass; words of one pass.
+_CACHE_WORDS, _LONG_WORD, _TOGETHER = 240_000, 200, 20_000
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -60,7 +62,6 @@ class PieceModel:
         self.pieces = {p: (s, (self.ids[p],)) for p, s in self.scores.items()}
         self.longest = max(map(len, self.ids), default=1)
         self.name = hash(tuple(sorted(self.scores.items())))
-        self.inside = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -74,23 +75,17 @@ class PieceModel:
         # Merge ranks are whole numbers; a unigram model's log probabilities are not.
         return cls(pieces, bytes_, by_rank=all(s == int(s) for p, s in pieces if p))
 
-    def chunks(self, text: str) -> list[str]:
-        """Pieces of the text between which no vocabulary piece reaches across."""
-        out, last = [], 0
-        for k in range(1, len(text)):
-            if text[k - 1:k + 1] not in self.inside:
-                out.append(text[last:k])
-                last = k
-        out.append(text[last:])
-        return out
+    @staticmethod
+    def raw(c: str) -> bytes:
+        """What a character of a marked text stands for."""
+        return b" " if c == BLANK else BLANK.encode() if c == _LITERAL else c.encode()
 
     def _arcs(self, text: str, end: int) -> list[tuple[int, float, tuple[int, ...]]]:
         """(start, score, ids) of the pieces that end at ``end``; bytes for a character without a piece of its own."""
         find = self.pieces.get
         arcs = [(start, *hit) for start in range(max(0, end - self.longest), end) if (hit := find(text[start:end]))]
         if not arcs or arcs[-1][0] != end - 1:
-            c = text[end - 1]
-            raw = b" " if c == BLANK else BLANK.encode() if c == _LITERAL else c.encode()
+            raw = self.raw(text[end - 1])
             arcs.append((end - 1, self.byte_score * len(raw), tuple(self.byte_ids[b] for b in raw)))
         return arcs
 
@@ -106,7 +101,7 @@ class PieceModel:
         """
         size = len(text)
         # Arcs of a long text are found again when needed rather than kept.
-        kept = [self._arcs(text, end) for end in range(1, size + 1)] if size <= _CACHE_CHARS else None
+        kept = [self._arcs(text, end) for end in range(1, size + 1)] if size <= _LONG_WORD else None
         best = [0.0]
         for end in range(1, size + 1):
             best.append(max([best[start] + score for start, score, _ in (kept[end - 1] if kept else self._arcs(text, end))]))
@@ -135,71 +130,219 @@ class PieceModel:
         return found
 
 
+class Lattices:
+    """Best paths of many words at once."""
+
+    _BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, model: PieceModel):
+        self.model = model
+        by_size: dict[int, list[str]] = {}
+        for p in model.ids:
+            by_size.setdefault(len(p), []).append(p)
+        self.tables = {}
+        for size, own in by_size.items():
+            hashes = self._points("".join(own)).reshape(-1, size)
+            h = np.zeros(len(own), np.uint64)
+            for k in range(size):
+                h = h * self._BASE + hashes[:, k]
+            order = np.argsort(h)
+            maybe = np.zeros(1 << 18, bool)  # cheaper than a search for most runs that are no piece
+            maybe[h >> np.uint64(46)] = True
+            self.tables[size] = (maybe, h[order], np.array([model.scores[own[k]] for k in order]), np.array([model.ids[own[k]] for k in order], np.int64))
+
+    @staticmethod
+    def _points(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+
+    def _arcs(self, words: Sequence[str]) -> tuple[np.ndarray, ...]:
+        """(start node, size, score, id) of all arcs, by end node; a byte arc has the id -1."""
+        points = self._points("".join(words))
+        sizes = np.array([len(w) for w in words])
+        word = np.repeat(np.arange(len(words)), sizes)
+        left = np.cumsum(sizes)[word] - np.arange(len(points))
+        node = np.arange(len(points)) + word  # a word of n characters has n + 1 nodes
+        found = []
+        h = np.zeros(len(points), np.uint64)
+        single = np.zeros(len(points), bool)
+        for size in range(1, min(self.model.longest, len(points)) + 1):
+            h = h[: len(points) - size + 1] * self._BASE + points[size - 1:]
+            if size not in self.tables:
+                continue
+            maybe, known, scores, ids = self.tables[size]
+            at = np.flatnonzero((left[: len(h)] >= size) & maybe[h >> np.uint64(46)])
+            spot = np.searchsorted(known, h[at])
+            spot[spot == len(known)] = 0
+            hit = known[spot] == h[at]
+            at, spot = at[hit], spot[hit]
+            if size == 1:
+                single[at] = True
+            found.append((node[at], np.full(len(at), size), scores[spot], ids[spot]))
+        rest = np.flatnonzero(~single)
+        length = np.array([len(self.model.raw(chr(c - 1))) for c in points[rest].tolist()])
+        found.append((node[rest], np.ones(len(rest), np.int64), self.model.byte_score * length, np.full(len(rest), -1)))
+        start, size, score, ids = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.argsort(start + size, kind="stable")
+        return start[order], size[order], score[order], ids[order]
+
+    def best(self, words: Sequence[str]) -> list[tuple[float, tuple[int, ...], float]]:
+        """(score, ids, cost of the second best path or infinity) of each word."""
+        n = len(words)
+        start, size, score, ids = self._arcs(words)
+        end = start + size
+        sizes = np.array([len(w) for w in words])
+        first = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
+        last = first + sizes
+        nodes = int(last[-1]) + 1
+        word = np.searchsorted(first, start, side="right") - 1
+        ahead = np.full(nodes, -np.inf)
+        ahead[first] = 0.0
+        via = np.zeros(nodes, np.int64)
+        for at in _groups(end - first[word]):
+            reached = ahead[start[at]] + score[at]
+            node = end[at]
+            edge = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+            top = np.maximum.reduceat(reached, edge)
+            ahead[node[edge]] = top
+            hit = np.flatnonzero(reached == np.repeat(top, np.diff(np.append(edge, len(node)))))
+            via[node[hit[::-1]]] = at[hit[::-1]]  # the first of equals is written last
+        behind = np.full(nodes, -np.inf)
+        behind[last] = 0.0
+        for at in reversed(_groups(start - first[word])):
+            at = at[np.argsort(start[at], kind="stable")]
+            node = start[at]
+            edge = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+            behind[node[edge]] = np.maximum.reduceat(behind[end[at]] + score[at], edge)
+        on_path = np.zeros(len(start), bool)
+        steps, node, own = [], last.copy(), np.arange(n)
+        while len(own):
+            arc = via[node[own]]
+            steps.append((own, arc))
+            on_path[arc] = True
+            node[own] = start[arc]
+            own = own[node[own] > first[own]]
+        # Every other path has an arc off the best one; the best path through such an arc is the second best.
+        through = np.where(on_path, -np.inf, ahead[start] + score + behind[end])
+        second = np.maximum.reduceat(through, np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))))
+        gap = np.maximum(ahead[last] - second, 0.0).tolist()
+        step_of = np.concatenate([np.full(len(o), -k) for k, (o, _) in enumerate(steps)])
+        owner, arc = (np.concatenate(c) for c in zip(*steps, strict=True))
+        order = np.lexsort((step_of, owner))
+        owner, arc = owner[order], arc[order]
+        flat = ids[arc].tolist()
+        ends = np.searchsorted(owner, np.arange(n + 1)).tolist()
+        out = []
+        for k, (w, total) in enumerate(zip(words, ahead[last].tolist(), strict=True)):
+            own_ids = flat[ends[k]:ends[k + 1]]
+            if -1 in own_ids:
+                places = (start[arc[ends[k]:ends[k + 1]]] - first[k]).tolist()
+                own_ids = [i for piece, p in zip(own_ids, places, strict=True)
+                           for i in ([piece] if piece >= 0 else [self.model.byte_ids[b] for b in self.model.raw(w[p])])]
+            out.append((total, tuple(own_ids), gap[k]))
+        return out
+
+
+def _groups(values: np.ndarray) -> list[np.ndarray]:
+    """Indices of equal values, ascending by value, each in the order given."""
+    order = np.argsort(values, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(values[order])) + 1)
+
+
 class Encoder:
-    """Encodes and decodes texts with a model; keeps the chunks it has seen of late."""
+    """Encodes and decodes texts with a model; keeps the words it has seen of late."""
 
     def __init__(self, model: PieceModel, n: int = N_BEST):
-        self.model, self.n = model, n
-        self.known: dict[str, tuple[float, tuple[int, ...], tuple[float, ...]]] = {}
-        self.names = {i: (p.replace(BLANK, " ")).encode() for p, i in model.ids.items()} | {
+        self.model, self.n, self.lattices = model, n, Lattices(model)
+        self.known: dict[str, tuple[float, tuple[int, ...], float]] = {}
+        self.older: dict[str, tuple[float, tuple[int, ...], float]] = {}
+        self.costs: dict[str, list[float]] = {}
+        self.names = {i: p.replace(BLANK, " ").encode() for p, i in model.ids.items()} | {
             i: bytes([b]) for b, i in model.byte_ids.items()
         }
-        self.older: dict = {}
-        # Where no piece has a blank, or one of the characters ``stop``, behind another character, a text may be cut.
-        self.by_words = all(a == BLANK or b != BLANK for a, b in model.inside)
+        # Pairs of characters that some piece holds side by side. A text may be cut before a blank, or
+        # a character of ``stop``, wherever another character stands before it.
+        inside = {p[k:k + 2] for p in model.ids for k in range(len(p) - 1)}
         behind: dict[str, set[str]] = {}
-        for a, b in model.inside:
+        for a, b in inside:
             behind.setdefault(b, set()).add(a)
-        stop = "".join(c for c in map(chr, range(1, 128)) if not c.isalnum() and c != " " and behind.get(c, set()) <= {c, BLANK})
-        cut = re.escape(stop)
-        self.split = re.compile(f"{BLANK}*[^{BLANK}{cut}]+|{BLANK}*[{cut}][^{BLANK}]*|{BLANK}+" if stop else f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall
-
-    def _find(self, chunk: str) -> tuple | None:
-        """What is known of a chunk; what the older half of the cache knows moves to the newer one."""
-        entry = self.known.get(chunk)
-        if entry is None and (entry := self.older.get(chunk)) is not None:
-            self._keep(chunk, entry)
-        return entry
-
-    def _search(self, word: str) -> tuple[float, tuple[int, ...], tuple[float, ...]]:
-        """(score, ids, what each further path costs) of a run of chunks."""
-        score, ids, costs = 0.0, [], [0.0]
-        for chunk in self.model.chunks(word):
-            entry = self._find(chunk)
+        self.by_words = behind.get(BLANK, set()) <= {BLANK}
+        stop = re.escape("".join(c for c in map(chr, range(1, 128)) if not c.isalnum() and c != " " and behind.get(c, set()) <= {c, BLANK}))
+        self.split = re.compile(f"{BLANK}*[^{BLANK}{stop}]+|{BLANK}*[{stop}][^{BLANK}]*|{BLANK}+" if stop else f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall
+
+    def _look_up(self, words: Iterable[str]) -> dict[str, tuple[float, tuple[int, ...], float]]:
+        """Score, ids and gap of each word, from the cache or found now."""
+        have, late = {}, []
+        for w in words:
+            entry = self.known.get(w)
             if entry is None:
-                paths = self.model.n_best(chunk, self.n)
-                entry = self._keep(chunk, (paths[0][0], tuple(paths[0][1]), tuple(max(0.0, paths[0][0] - s) for s, _ in paths[1:])))
-            score += entry[0]
-            ids += entry[1]
-            costs = cheapest(costs, (0.0, *entry[2]), self.n)
-        return self._keep(word, (score, tuple(ids), tuple(costs[1:])))
-
-    def _keep(self, chunk: str, entry: tuple) -> tuple:
-        if len(chunk) <= _CACHE_CHARS:
-            if len(self.known) >= _CACHE_CHUNKS:
-                self.older, self.known = self.known, {}
-            self.known[chunk] = entry
-        return entry
-
-    def encode(self, text: str) -> tuple[list[int], list[float]]:
-        """(ids of the best path, scores of the ``n`` best paths). An empty text has one empty path."""
-        if not text:
-            return [], [0.0]
-        marked = BLANK + text.replace(BLANK, _LITERAL).replace(" ", BLANK)
-        words = self.split(marked) if self.by_words else [marked]
-        entries = list(map(self.known.get, words))
-        if None in entries:
-            entries = [e or self._find(w) or self._search(w) for w, e in zip(words, entries, strict=True)]
+                late.append(w)
+            else:
+                have[w] = entry
+        new, fresh = [], {}
+        for w in late:
+            if (entry := self.older.get(w)) is not None:
+                fresh[w] = entry
+            elif len(w) <= _LONG_WORD:
+                new.append(w)
+            else:
+                paths = self.model.n_best(w, 2)
+                have[w] = (paths[0][0], tuple(paths[0][1]), max(0.0, paths[0][0] - paths[1][0]) if len(paths) > 1 else math.inf)
+        for k in range(0, len(new), _TOGETHER):
+            part = new[k:k + _TOGETHER]
+            fresh.update(zip(part, self.lattices.best(part), strict=True))
+        if len(self.known) + len(fresh) > _CACHE_WORDS:
+            self.older, self.known = self.known, {}
+        self.known.update(fresh)
+        have.update(fresh)
+        return have
+
+    def _further(self, word: str) -> list[float]:
+        """What the ``n`` best paths of a word cost beyond the best one, by A*."""
+        costs = self.costs.get(word)
+        if costs is None:
+            paths = self.model.n_best(word, self.n)
+            costs = [max(0.0, paths[0][0] - s) for s, _ in paths]
+            if len(self.costs) >= _CACHE_WORDS:
+                self.costs.clear()
+            self.costs[word] = costs
+        return costs
+
+    def encode_many(self, texts: Sequence[str]) -> Iterator[tuple[list[int], list[float]]]:
+        """Of each text: ids of the best path, scores of the ``n`` best paths. An empty text has one empty path."""
+        at = 0
+        while at < len(texts):
+            part, distinct = [], dict[str, None]()
+            while at < len(texts) and len(distinct) < _CACHE_WORDS // 4:
+                text = texts[at]
+                marked = BLANK + text.replace(BLANK, _LITERAL).replace(" ", BLANK) if text else ""
+                words = (self.split(marked) if self.by_words else [marked]) if text else []
+                distinct.update(dict.fromkeys(words))
+                part.append(words)
+                at += 1
+            have = self._look_up(distinct)
+            for words in part:
+                yield self._join(words, have)
+
+    def _join(self, words: list[str], have: dict[str, tuple[float, tuple[int, ...], float]]) -> tuple[list[int], list[float]]:
         ids: list[int] = []
-        score, costs = 0.0, [0.0]
-        for value, own, more in entries:
+        score, worst, near = 0.0, math.inf, []
+        for k, (value, own, gap) in enumerate(map(have.__getitem__, words)):
             ids += own
             score += value
-            # Only a path cheaper than the dearest kept so far changes the combinations.
-            if more and (len(costs) < self.n or more[0] < costs[-1]):
-                costs = cheapest(costs, (0.0, *more), self.n)
+            if gap < worst:
+                insort(near, (gap, k))
+                if len(near) >= self.n:
+                    near.pop()
+                if len(near) == self.n - 1:
+                    worst = near[-1][0]
+        costs = [0.0]
+        for _, k in near:
+            costs = cheapest(costs, self._further(words[k]), self.n)
         return ids, [score - c for c in costs]
 
+    def encode(self, text: str) -> tuple[list[int], list[float]]:
+        return next(self.encode_many([text]))
+
     def decode(self, ids: Sequence[int]) -> str:
         raw = b"".join(map(self.names.__getitem__, ids))
         return (raw[1:] if raw[:1] == b" " else raw).decode()
@@ -242,9 +385,8 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL, n: int = N_BEST)
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder = encoder(shared.value, n)
         ids, scores, same = [], [], []
-        for raw in utf8(batch.column("text")):
-            text = raw.decode()
-            own, best = coder.encode(text)
+        texts = [raw.decode() for raw in utf8(batch.column("text"))]
+        for text, (own, best) in zip(texts, coder.encode_many(texts), strict=True):
             ids.append(np.array(own, np.int32))
             scores.append(best)
             same.append(coder.decode(own) == text)
