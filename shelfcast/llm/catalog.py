@@ -17,4 +17,10 @@ QUERIES = {
     "op9_license_scan": licenses.query,
 }
 #: DuckDB statements of the queries that SQL can state in full.
-ORACLE: dict[str, str] = {"op1_dual_cover_tree": search.ORACLE_SQL, "op4_path_templates": url_templates.ORACLE_SQL}
+ORACLE: dict[str, str] = {
+    "op1_dual_cover_tree": search.ORACLE_SQL,
+    "op3_difference_cover": substrings.ORACLE_SQL,
+    "op4_path_templates": url_templates.ORACLE_SQL,
+    "op6_minmax_neardup": neardup.ORACLE_SQL,
+    "op7_capture_index": warc.ORACLE_SQL,
+}

@@ -303,3 +303,19 @@ def cut_documents(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return removed_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+),
+i AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS p FROM w WHERE len(ws) >= {WINDOW}),
+h AS (SELECT doc_id, p, md5(array_to_string(ws[p:p + {WINDOW - 1}], ' ')) AS k FROM i),
+m AS (SELECT k, min(doc_id) AS low FROM h GROUP BY k),
+c AS (SELECT DISTINCT doc_id, p + o AS place FROM (SELECT doc_id, p FROM h JOIN m USING (k) WHERE doc_id > low), range(0, {WINDOW}) t(o)),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM w),
+k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS kept FROM x ANTI JOIN c USING (doc_id, place) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""
