@@ -23,6 +23,7 @@ import math
 import re
 from bisect import insort
 from collections.abc import Iterable, Iterator, Sequence
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ BLANK = "▁"
 #: Stands for a literal U+2581 while a text is searched. A lone surrogate occurs in no UTF-8 text and no piece.
 _LITERAL = "\udc81"
 #: Words in each half of the cache; the longest one that goes through the array pass; words of one pass.
-_CACHE_WORDS, _LONG_WORD, _TOGETHER = 240_000, 200, 20_000
+_CACHE_WORDS, _LONG_WORD, _TOGETHER = 360_000, 64, 20_000
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -182,7 +183,7 @@ class Lattices:
         length = np.array([len(self.model.raw(chr(c - 1))) for c in points[rest].tolist()])
         found.append((node[rest], np.ones(len(rest), np.int64), self.model.byte_score * length, np.full(len(rest), -1)))
         start, size, score, ids = (np.concatenate(c) for c in zip(*found, strict=True))
-        order = np.argsort(start + size, kind="stable")
+        order = np.argsort((start + size) * 64 + size)  # no two arcs are alike in both
         return start[order], size[order], score[order], ids[order]
 
     def best(self, words: Sequence[str]) -> list[tuple[float, tuple[int, ...], float]]:
@@ -229,22 +230,19 @@ class Lattices:
         owner, arc = (np.concatenate(c) for c in zip(*steps, strict=True))
         order = np.lexsort((step_of, owner))
         owner, arc = owner[order], arc[order]
-        flat = ids[arc].tolist()
-        ends = np.searchsorted(owner, np.arange(n + 1)).tolist()
-        out = []
-        for k, (w, total) in enumerate(zip(words, ahead[last].tolist(), strict=True)):
-            own_ids = flat[ends[k]:ends[k + 1]]
-            if -1 in own_ids:
-                places = (start[arc[ends[k]:ends[k + 1]]] - first[k]).tolist()
-                own_ids = [i for piece, p in zip(own_ids, places, strict=True)
-                           for i in ([piece] if piece >= 0 else [self.model.byte_ids[b] for b in self.model.raw(w[p])])]
-            out.append((total, tuple(own_ids), gap[k]))
-        return out
+        flat = tuple(ids[arc].tolist())
+        ends = np.searchsorted(owner, np.arange(n + 1))
+        paths = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        for k in np.unique(owner[ids[arc] < 0]).tolist():  # bytes for characters without a piece
+            places = (start[arc[ends[k]:ends[k + 1]]] - first[k]).tolist()
+            paths[k] = tuple(i for piece, p in zip(paths[k], places, strict=True)
+                             for i in ([piece] if piece >= 0 else [self.model.byte_ids[b] for b in self.model.raw(words[k][p])]))
+        return list(zip(ahead[last].tolist(), paths, gap, strict=True))
 
 
 def _groups(values: np.ndarray) -> list[np.ndarray]:
     """Indices of equal values, ascending by value, each in the order given."""
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values.astype(np.int16), kind="stable")
     return np.split(order, np.flatnonzero(np.diff(values[order])) + 1)
 
 
@@ -270,18 +268,11 @@ class Encoder:
         self.split = re.compile(f"{BLANK}*[^{BLANK}{stop}]+|{BLANK}*[{stop}][^{BLANK}]*|{BLANK}+" if stop else f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall
 
     def _look_up(self, words: Iterable[str]) -> dict[str, tuple[float, tuple[int, ...], float]]:
-        """Score, ids and gap of each word, from the cache or found now."""
-        have, late = {}, []
+        """Score, ids and gap of words that the newer half of the cache lacks; they go there."""
+        new, have = [], {}
         for w in words:
-            entry = self.known.get(w)
-            if entry is None:
-                late.append(w)
-            else:
-                have[w] = entry
-        new, fresh = [], {}
-        for w in late:
             if (entry := self.older.get(w)) is not None:
-                fresh[w] = entry
+                have[w] = entry
             elif len(w) <= _LONG_WORD:
                 new.append(w)
             else:
@@ -289,11 +280,10 @@ class Encoder:
                 have[w] = (paths[0][0], tuple(paths[0][1]), max(0.0, paths[0][0] - paths[1][0]) if len(paths) > 1 else math.inf)
         for k in range(0, len(new), _TOGETHER):
             part = new[k:k + _TOGETHER]
-            fresh.update(zip(part, self.lattices.best(part), strict=True))
-        if len(self.known) + len(fresh) > _CACHE_WORDS:
+            have.update(zip(part, self.lattices.best(part), strict=True))
+        if len(self.known) + len(have) > _CACHE_WORDS:
             self.older, self.known = self.known, {}
-        self.known.update(fresh)
-        have.update(fresh)
+        self.known.update((w, e) for w, e in have.items() if len(w) <= _LONG_WORD)
         return have
 
     def _further(self, word: str) -> list[float]:
@@ -311,22 +301,26 @@ class Encoder:
         """Of each text: ids of the best path, scores of the ``n`` best paths. An empty text has one empty path."""
         at = 0
         while at < len(texts):
-            part, distinct = [], dict[str, None]()
-            while at < len(texts) and len(distinct) < _CACHE_WORDS // 4:
+            part, missing = [], dict[str, None]()
+            while at < len(texts) and len(missing) < _CACHE_WORDS // 4:
                 text = texts[at]
                 marked = BLANK + text.replace(BLANK, _LITERAL).replace(" ", BLANK) if text else ""
                 words = (self.split(marked) if self.by_words else [marked]) if text else []
-                distinct.update(dict.fromkeys(words))
-                part.append(words)
+                entries = list(map(self.known.get, words))
+                if None in entries:
+                    missing.update((w, None) for w, e in zip(words, entries, strict=True) if e is None)
+                part.append((words, entries))
                 at += 1
-            have = self._look_up(distinct)
-            for words in part:
-                yield self._join(words, have)
+            have = self._look_up(missing)
+            for words, entries in part:
+                if None in entries:
+                    entries = [have[w] if e is None else e for w, e in zip(words, entries, strict=True)]
+                yield self._join(words, entries)
 
-    def _join(self, words: list[str], have: dict[str, tuple[float, tuple[int, ...], float]]) -> tuple[list[int], list[float]]:
+    def _join(self, words: list[str], entries: list[tuple[float, tuple[int, ...], float]]) -> tuple[list[int], list[float]]:
         ids: list[int] = []
         score, worst, near = 0.0, math.inf, []
-        for k, (value, own, gap) in enumerate(map(have.__getitem__, words)):
+        for k, (value, own, gap) in enumerate(entries):
             ids += own
             score += value
             if gap < worst:
@@ -344,7 +338,7 @@ class Encoder:
         return next(self.encode_many([text]))
 
     def decode(self, ids: Sequence[int]) -> str:
-        raw = b"".join(map(self.names.__getitem__, ids))
+        raw = b"".join(itemgetter(*ids)(self.names)) if len(ids) > 1 else b"".join(self.names[i] for i in ids)
         return (raw[1:] if raw[:1] == b" " else raw).decode()
 
 
