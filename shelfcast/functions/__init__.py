@@ -3,7 +3,6 @@
 from shelfcast.functions.histogram import bin_edge, bin_index, outer_edges
 from shelfcast.functions.numeric import (
     NULL_TOKENS,
-    clamp_non_negative,
     guarded_double,
     is_finite,
     null_tokens_to_null,
@@ -27,7 +26,6 @@ __all__ = [
     "bin_edge",
     "bin_index",
     "outer_edges",
-    "clamp_non_negative",
     "guarded_double",
     "is_finite",
     "null_tokens_to_null",

@@ -27,31 +27,24 @@ def bin_index(v: Column, lo: Column, hi: Column, bins: int) -> Column:
     ``lo``/``hi`` must already be the outer edges. The division estimate can be
     one off near an edge, so it is corrected against the edges themselves.
     """
-    guess = F.least(F.floor((v - lo) / (hi - lo) * F.lit(float(bins))).cast("int"), F.lit(bins - 1))
-    lower = bin_edge(guess, lo, hi, bins)
-    upper = bin_edge(guess + 1, lo, hi, bins)
-    return (
-        F.when(v < lower, guess - 1)
-        .when((v >= upper) & (guess != bins - 1), guess + 1)
-        .otherwise(guess)
-    )
+    guess = _guess(v, lo, hi, bins)
+    return _settle(v, guess, bin_edge(guess, lo, hi, bins), bin_edge(guess + 1, lo, hi, bins), bins)
+
+
+def _guess(v: Column, lo: Column, hi: Column, bins: int) -> Column:
+    return F.least(F.floor((v - lo) / (hi - lo) * F.lit(float(bins))).cast("int"), F.lit(bins - 1))
+
+
+def _settle(v: Column, guess: Column, lower: Column, upper: Column, bins: int) -> Column:
+    return F.when(v < lower, guess - 1).when((v >= upper) & (guess != bins - 1), guess + 1).otherwise(guess)
 
 
 def with_bin_index(df, value: str, lo: str, hi: str, bins: int, out: str = "bin"):
     """``df`` plus column ``out`` = :func:`bin_index` of ``value`` against the outer-edge
     columns ``lo``/``hi``, computed in steps over named columns so that a bound
     that is itself a subquery is referenced once, not once per use in the formula."""
-    from pyspark.sql import functions as F
-
-    v, l, h = F.col(value), F.col(lo), F.col(hi)
-    staged = df.withColumn(
-        "_guess", F.least(F.floor((v - l) / (h - l) * F.lit(float(bins))).cast("int"), F.lit(bins - 1))
-    )
+    v, low, high = F.col(value), F.col(lo), F.col(hi)
+    staged = df.withColumn("_guess", _guess(v, low, high, bins))
     g = F.col("_guess")
-    staged = staged.withColumns({"_lower": bin_edge(g, l, h, bins), "_upper": bin_edge(g + 1, l, h, bins)})
-    fixed = (
-        F.when(v < F.col("_lower"), g - 1)
-        .when((v >= F.col("_upper")) & (g != bins - 1), g + 1)
-        .otherwise(g)
-    )
-    return staged.withColumn(out, fixed).drop("_guess", "_lower", "_upper")
+    staged = staged.withColumns({"_lower": bin_edge(g, low, high, bins), "_upper": bin_edge(g + 1, low, high, bins)})
+    return staged.withColumn(out, _settle(v, g, F.col("_lower"), F.col("_upper"), bins)).drop("_guess", "_lower", "_upper")

@@ -32,8 +32,10 @@ NULL_TOKENS = (
 # A plain decimal number with optional sign and exponent. Spark's own cast also
 # accepts suffixes such as ``1.5d`` and words such as ``Infinity``; both are
 # rejected here, as are thousands separators (``1,5``) and every null token.
-# At most 30 integer digits and a two-digit exponent: the value is always finite.
-DECIMAL_PATTERN = r"^[+-]?([0-9]{1,30}[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]{1,2})?$"
+DECIMAL_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+# Amounts and quantities end up as BIGINT; a number outside its range is no valid value.
+BIGINT_LIMIT = float(2**63)
 
 
 def null_tokens_to_null(c: Column) -> Column:
@@ -42,13 +44,15 @@ def null_tokens_to_null(c: Column) -> Column:
 
 
 def guarded_double(c: Column) -> Column:
-    """Parse text as DOUBLE; anything that is not a plain decimal becomes NULL.
+    """Parse text as DOUBLE; anything that is not a plain decimal, or not finite and
+    within the range of BIGINT, becomes NULL.
 
-    The input is read once: a non-matching field extracts as '' and casts to
-    NULL. (Written so because Catalyst inlines this expression into a later
-    null filter; every extra reference would be parsed again.)
+    The input is read once, also by the range check: a non-matching field extracts as
+    '' and casts to NULL. (Written so because Catalyst inlines this expression into a
+    later null filter; every extra reference would be parsed again.)
     """
-    return F.regexp_extract(F.trim(c.cast("string")), DECIMAL_PATTERN, 0).try_cast("double")
+    number = F.regexp_extract(F.trim(c.cast("string")), DECIMAL_PATTERN, 0).try_cast("double")
+    return F.get(F.filter(F.array(number), lambda v: F.abs(v) < F.lit(BIGINT_LIMIT)), F.lit(0))
 
 
 def is_finite(c: Column) -> Column:
@@ -57,15 +61,11 @@ def is_finite(c: Column) -> Column:
 
 
 def round_half_even_to_step(c: Column, step: int = 10) -> Column:
-    """Round to the nearest multiple of ``step``, ties to even, as BIGINT (25 -> 20, 35 -> 40)."""
-    return (F.rint(c / F.lit(float(step))) * F.lit(step)).cast("bigint")
+    """Round to the nearest multiple of ``step``, ties to even, as BIGINT (25 -> 20, 35 -> 40);
+    NULL beyond its range."""
+    return (F.rint(c / F.lit(float(step))) * F.lit(step)).try_cast("bigint")
 
 
 def truncate_to_long(c: Column) -> Column:
-    """Cast toward zero (-2.7 -> -2), as pandas ``astype('int64')`` does."""
-    return c.cast("bigint")
-
-
-def clamp_non_negative(c: Column) -> Column:
-    """max(c, 0) for finite c; NaN stays NaN (``greatest`` would pick NaN anyway)."""
-    return F.when(c < 0, F.lit(0.0)).otherwise(c)
+    """Cast toward zero (-2.7 -> -2), as pandas ``astype('int64')`` does; NULL beyond the range."""
+    return c.try_cast("bigint")

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DEFAULT_DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss")
+# ISO dates; by default a clock time may follow (see ISO_DATE).
+DEFAULT_DATE_FORMATS = ("yyyy-M-d",)
 
 # Strict clock time first, then the lenient forms a hand-typed POS export carries.
 DEFAULT_TIME_FORMATS = ("H:mm:ss", "H:mm", "h:mm a", "h:mm:ss a")
@@ -23,7 +24,8 @@ DEFAULT_MONTH_FLAGS = {
 
 # Text that cannot be a date or a clock time skips the formatters: a failed format
 # costs a caught exception inside Spark, a regex test does not.
-DATE_SHAPE = r"^[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}"
+# The date of an ISO date or date-time, with T or a blank between, seconds and their fraction optional.
+ISO_DATE = r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})([T ]([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9]([.][0-9]+)?)?)?$"
 TIME_SHAPE = r"^[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?( ?[AaPp][Mm])?$"
 
 
@@ -33,10 +35,12 @@ def _first_format(t: Column, formats: Sequence[str], shape: str | None) -> Colum
 
 
 def parse_date(c: Column, formats: Sequence[str] = DEFAULT_DATE_FORMATS) -> Column:
-    """Text to DATE trying each format in order; unparseable -> NULL."""
+    """Text to DATE trying each format in order; unparseable -> NULL. The default takes
+    ISO dates, also with a clock time behind them, which is left out."""
     t = F.trim(c.cast("string"))
-    shape = DATE_SHAPE if formats == DEFAULT_DATE_FORMATS else None
-    return _first_format(t, formats, shape).cast("date")
+    if tuple(formats) == DEFAULT_DATE_FORMATS:
+        t = F.nullif(F.regexp_extract(t, ISO_DATE, 1), F.lit(""))
+    return _first_format(t, formats, None).cast("date")
 
 
 def parse_time_of_day(c: Column, formats: Sequence[str] = DEFAULT_TIME_FORMATS) -> Column:

@@ -89,6 +89,11 @@ def unit_margin(df: DataFrame) -> DataFrame:
     return df.withColumn("unit_margin", F.col("selling_price") - F.col("buying_price"))
 
 
-def order_rows(df: DataFrame) -> DataFrame:
-    """Date, time, transaction order inside each partition (sinks only; no global sort)."""
-    return df.sortWithinPartitions("sale_date", "sold_at", "txn_id")
+def order_rows(df: DataFrame, *first: str) -> DataFrame:
+    """Date, time, transaction order inside each partition, behind the columns ``first``."""
+    return df.sortWithinPartitions(*[c for c in (*first, "sale_date", "sold_at", "txn_id") if c in df.columns])
+
+
+def order_all_rows(df: DataFrame) -> DataFrame:
+    """The whole table in date, time, transaction order (a range shuffle)."""
+    return df.orderBy(*[c for c in ("sale_date", "sold_at", "txn_id") if c in df.columns])

@@ -98,10 +98,14 @@ def top_forecast_product(stacked: DataFrame) -> DataFrame:
 
 
 def top_product_series(stacked: DataFrame) -> DataFrame:
-    """Weekly and monthly actual/predicted series of the top product (matched on id)."""
-    top_id = top_forecast_product(stacked).select("product_id").scalar()
-    return (
-        stacked.filter(F.col("product_id") == top_id)
-        .select("horizon", "date", "product_id", "product_name", "actual_quantity", "predicted_quantity")
-        .orderBy("horizon", "date")
-    )
+    """Weekly and monthly actual/predicted series of the top product (matched on id).
+
+    The totals that decide are summed over the products' rows as they lie for the
+    series itself, so the predictions are computed once: a sum per (product, name),
+    the best one by (sum, then smaller id and name), and a join back.
+    """
+    rows = stacked.select("horizon", "date", "product_id", "product_name", "actual_quantity", "predicted_quantity").repartition("product_id")
+    totals = rows.groupBy("product_id", "product_name").agg(F.sum("actual_quantity").alias("total"))
+    best = totals.orderBy(F.desc("total"), F.asc("product_id"), F.asc("product_name")).limit(1).select("product_id")
+    return rows.join(best, "product_id").select(*stacked.select("horizon", "date", "product_id", "product_name").columns,
+                                                "actual_quantity", "predicted_quantity").orderBy("horizon", "date")

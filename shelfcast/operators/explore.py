@@ -19,10 +19,10 @@ from shelfcast.functions.histogram import with_bin_index
 from shelfcast.operators.features import mean_of
 
 
-def monthly_price_trend(tx: DataFrame) -> DataFrame:
-    """Mean selling price per calendar month (line items or a product-day rollup)."""
+def monthly_price_trend(tx: DataFrame, rolled: bool = False) -> DataFrame:
+    """Mean selling price per calendar month of line items (``rolled``: of their product-day rollup)."""
     return tx.groupBy(month_start(F.col("sale_date")).alias("month")).agg(
-        mean_of(tx, "selling_price").alias("avg_selling_price")
+        mean_of("selling_price", rolled).alias("avg_selling_price")
     )
 
 
@@ -44,30 +44,26 @@ def transaction_hour_rollup(tx: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("lines"), F.sum("quantity").alias("quantity"))
 
 
-def _is_txn_hours(df: DataFrame) -> bool:
-    return "lines" in df.columns
-
-
-def basket_sizes(tx: DataFrame) -> DataFrame:
-    """Line items per transaction (items, not units); line items or their
+def basket_sizes(tx: DataFrame, rolled: bool = False) -> DataFrame:
+    """Line items per transaction (items, not units); ``rolled``: from their
     :func:`transaction_hour_rollup`."""
-    items = F.sum("lines") if _is_txn_hours(tx) else F.count(F.lit(1))
+    items = F.sum("lines") if rolled else F.count(F.lit(1))
     return tx.groupBy("txn_id").agg(items.cast("bigint").alias("items"))
 
 
+#: Numbers that one row of a generated range is spread into.
+RANGE_BLOCK = 4096
+
+
 def key_range(spark, lo: Column, hi: Column, name: str) -> DataFrame:
-    """Rows ``lo..hi`` (BIGINT) generated in ``defaultParallelism`` slices, so a wide
-    range (the largest basket may be huge) is never one task's array."""
-    slices = spark.sparkContext.defaultParallelism
+    """Rows ``lo..hi`` (BIGINT) in two levels: the starts of blocks, dealt out to tasks,
+    then the numbers of each block, so no row holds more than a block of them."""
     lo, hi = lo.cast("bigint"), hi.cast("bigint")
-    width = F.ceil((hi - lo + 1) / F.lit(slices))
-    first = lo + F.col("id") * width
-    last = F.least(first + width - 1, hi)
-    return spark.range(0, slices, 1, slices).select(
-        F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))).alias(
-            name
-        )
-    )
+    starts = spark.range(1).select(
+        F.explode(F.when(lo <= hi, F.sequence(lo, hi, F.lit(RANGE_BLOCK).cast("bigint")))).alias("_start"), hi.alias("_hi")
+    ).repartition("_start")
+    last = F.least(F.col("_start") + RANGE_BLOCK - 1, F.col("_hi"))
+    return starts.select(F.explode(F.sequence("_start", last)).alias(name))
 
 
 def _zero_fill(counts: DataFrame, key: str, value: str, lo: Column, hi: Column) -> DataFrame:
@@ -78,9 +74,9 @@ def _zero_fill(counts: DataFrame, key: str, value: str, lo: Column, hi: Column)
     return counts.unionByName(zeros).groupBy(key).agg(F.sum(value).alias(value))
 
 
-def basket_histogram(tx: DataFrame) -> DataFrame:
+def basket_histogram(tx: DataFrame, rolled: bool = False) -> DataFrame:
     """Transactions per basket size, for every size 1..largest (empty sizes count 0)."""
-    counts = basket_sizes(tx).groupBy("items").agg(F.count(F.lit(1)).alias("transactions"))
+    counts = basket_sizes(tx, rolled).groupBy("items").agg(F.count(F.lit(1)).alias("transactions"))
     largest = counts.select(F.max("items")).scalar()
     return _zero_fill(counts, "items", "transactions", F.lit(1), largest)
 
@@ -107,20 +103,20 @@ def category_revenue(tx: DataFrame) -> DataFrame:
     )
 
 
-def hourly_transactions(tx: DataFrame, approximate: bool = False) -> DataFrame:
+def hourly_transactions(tx: DataFrame, approximate: bool = False, rolled: bool = False) -> DataFrame:
     """Distinct transactions per hour of day (observed hours only).
 
     Exact distinct counting is planned as a two-level aggregate on
     (hour, transaction) then hour, so no hour's id set meets in one task.
     """
     counter = F.approx_count_distinct("txn_id") if approximate else F.count_distinct("txn_id")
-    hour = F.col("hour") if _is_txn_hours(tx) else F.hour("sold_at").alias("hour")
+    hour = F.col("hour") if rolled else F.hour("sold_at").alias("hour")
     return tx.groupBy(hour).agg(counter.alias("transactions"))
 
 
-def weekday_hour_quantity(tx: DataFrame) -> DataFrame:
+def weekday_hour_quantity(tx: DataFrame, rolled: bool = False) -> DataFrame:
     """Quantity per weekday (Monday 0) and hour of day, long form, observed cells only."""
-    if _is_txn_hours(tx):
+    if rolled:
         return tx.groupBy("weekday_index", "weekday", "hour").agg(F.sum("quantity").alias("quantity"))
     return tx.groupBy(
         F.weekday("sold_at").alias("weekday_index"),
@@ -129,10 +125,10 @@ def weekday_hour_quantity(tx: DataFrame) -> DataFrame:
     ).agg(F.sum("quantity").alias("quantity"))
 
 
-def weekday_hour_matrix(tx: DataFrame) -> DataFrame:
+def weekday_hour_matrix(tx: DataFrame, rolled: bool = False) -> DataFrame:
     """Seven rows Monday..Sunday, columns ``h00``..``h23`` of quantity; empty cells 0."""
     spark = tx.sparkSession
-    long = weekday_hour_quantity(tx)
+    long = weekday_hour_quantity(tx, rolled)
     # 2024-01-01 is a Monday: seven zero cells name every weekday.
     zeros = spark.range(7).select(
         F.col("id").cast("int").alias("weekday_index"),

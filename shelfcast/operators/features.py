@@ -87,26 +87,20 @@ def product_day_rollup(tx: DataFrame) -> DataFrame:
     )
 
 
-def is_product_days(df: DataFrame) -> bool:
-    return "selling_price_sum" in df.columns
+def mean_of(c: str, rolled: bool) -> Column:
+    """Mean of price ``c`` over line items; ``rolled``: from their product-day rollup."""
+    return F.sum(f"{c}_sum").cast("double") / F.sum(f"{c}_n") if rolled else F.avg(c)
 
 
-def mean_of(df: DataFrame, c: str) -> Column:
-    """Mean of price ``c`` over line items, from line items or from a product-day table."""
-    if is_product_days(df):
-        return F.sum(f"{c}_sum").cast("double") / F.sum(f"{c}_n")
-    return F.avg(c)
-
-
-def rollup(tx: DataFrame, grain: Grain) -> DataFrame:
+def rollup(tx: DataFrame, grain: Grain, rolled: bool = False) -> DataFrame:
     """Sum quantity and amount, average the three prices, per product and period.
 
-    Accepts line items or their :func:`product_day_rollup`. Only periods with at
-    least one sale appear (no zero rows).
+    ``tx`` holds line items or, with ``rolled``, their :func:`product_day_rollup`. Only
+    periods with at least one sale appear (no zero rows).
     """
     return tx.groupBy(*PRODUCT_KEYS, grain.period_of(F.col("sale_date")).alias(grain.period_col)).agg(
         F.sum("quantity").alias("quantity"),
-        *[mean_of(tx, c).alias(c) for c in PRICE_MEANS],
+        *[mean_of(c, rolled).alias(c) for c in PRICE_MEANS],
         F.sum("total_amount").alias("total_amount"),
     )
 
@@ -238,18 +232,19 @@ def build_features(
     *,
     narrow: bool = True,
     fill: bool = False,
+    rolled: bool = False,
     drop_incomplete: bool = True,
     flags: dict[str, int] | None = None,
 ) -> DataFrame:
-    """Cleaned transactions -> weekly or monthly feature table (T2 / T3).
+    """Cleaned transactions (``rolled``: their product-day rollup) -> weekly or monthly feature table (T2 / T3).
 
     rollup -> [gap fill] -> lags + rolling mean -> calendar columns -> drop rows
     without complete history -> log quantity -> [FLOAT/INT narrowing].
     """
-    rolled = rollup(tx, grain)
+    periods = rollup(tx, grain, rolled)
     if fill:
-        rolled = fill_gaps(rolled, grain)
-    out = add_calendar(add_history(rolled, grain), grain, flags)
+        periods = fill_gaps(periods, grain)
+    out = add_calendar(add_history(periods, grain), grain, flags)
     if drop_incomplete:
         out = out.dropna(subset=list(grain.history_cols))
     out = out.withColumn("log_quantity", F.log1p(F.greatest(F.col("quantity"), F.lit(0))))

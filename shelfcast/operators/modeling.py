@@ -5,68 +5,67 @@ quantity > 0). Stage 2 fits two L1 gradient-boosted regressors and a random
 forest on the positive rows, raw quantity as target. Scoring gates the blend
 of the three regressors by the classifier (see :func:`ensemble.gated_blend`).
 
-Each member is a ``PipelineModel`` (vector assembly + estimator) with its own
-feature and output column names, so the members are saved, loaded and applied
-independently. The training set is persisted once (memory and disk) and
-reused by all four fits; MLlib's tree learners checkpoint their state every
-``checkpoint_interval`` iterations into the session's checkpoint directory, so
-a lost executor costs a bounded recomputation.
+The features are assembled once; the training set of vectors is persisted (memory
+and disk) and read by the four fits, which run side by side. Each member is a
+``PipelineModel`` (vector assembly + fitted model) with its own output column, so
+the members are saved, loaded and applied independently. MLlib's tree learners
+checkpoint their state every ``checkpoint_interval`` iterations if the session
+names a checkpoint folder.
 """
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.operators.dataset import assembler, positive_rows, with_labels
-from shelfcast.operators.ensemble import DEFAULT_BLEND_WEIGHTS, gated_blend, resolve_weights
+from shelfcast.operators.ensemble import DEFAULT_BLEND_WEIGHTS, gated_blend, blend_shares
 
 CLASSIFIER = "classifier"
+FEATURES = "features"
 # Blend slots, in blend order. Slot names carry the weight keys of DEFAULT_BLEND_WEIGHTS.
 REGRESSOR_SLOTS = ("xgb_regressor", "lgbm_regressor", "rf_regressor")
 
 
 @dataclass(frozen=True)
 class TwoStageConfig:
-    """Model sizes. Defaults follow the reference setup: classifier 300 rounds at 0.05
-    (31 leaves ~ depth 5); regressor A 1000 rounds at 0.03, depth 8, 0.9 row and
-    feature sampling, L1 loss; regressor B the same with 63 leaves (~ depth 6);
-    forest 100 trees of depth 10."""
+    """Model sizes, one set for everyone: catalogue queries and jobs use the defaults.
 
-    classifier_iters: int = 300
-    classifier_step: float = 0.05
+    MLlib grows a tree level by level, a job each, so rounds are few and steps
+    long: 20 rounds of a classifier at 0.3, 30 rounds at 0.1 of two L1 regressors of
+    depth 6 and 5 with 0.9 row and feature sampling, a forest of 30 trees of depth 8."""
+
+    classifier_iters: int = 20
+    classifier_step: float = 0.3
     classifier_depth: int = 5
-    regressor_iters: int = 1000
-    regressor_step: float = 0.03
-    regressor_a_depth: int = 8
-    regressor_b_depth: int = 6
+    regressor_iters: int = 30
+    regressor_step: float = 0.1
+    regressor_a_depth: int = 6
+    regressor_b_depth: int = 5
     subsample: float = 0.9
     feature_fraction: str = "0.9"
-    forest_trees: int = 100
-    forest_depth: int = 10
+    forest_trees: int = 30
+    forest_depth: int = 8
     max_bins: int = 32
     checkpoint_interval: int = 10
     # Node-id caching pays off for deep trees over many rows (checkpointed with the
     # interval above into spark.checkpoint.dir).
-    cache_node_ids: bool = True
+    cache_node_ids: bool = False
     seed: int = 42
     weights: dict = field(default_factory=lambda: dict(DEFAULT_BLEND_WEIGHTS))
 
 
-def _member(estimator, feature_cols: list[str], slot: str) -> Pipeline:
-    return Pipeline(stages=[assembler(feature_cols, f"features_{slot}"), estimator])
-
-
-def build_estimators(feature_cols: list[str], cfg: TwoStageConfig) -> dict[str, Pipeline]:
+def build_estimators(cfg: TwoStageConfig) -> dict[str, Estimator]:
     common = dict(maxBins=cfg.max_bins, seed=cfg.seed, checkpointInterval=cfg.checkpoint_interval, cacheNodeIds=cfg.cache_node_ids)
     clf = GBTClassifier(
-        featuresCol=f"features_{CLASSIFIER}",
+        featuresCol=FEATURES,
         labelCol="demand",
         predictionCol="demand_class",
         maxIter=cfg.classifier_iters,
@@ -85,15 +84,15 @@ def build_estimators(feature_cols: list[str], cfg: TwoStageConfig) -> dict[str,
         **common,
     )
     reg_a = GBTRegressor(
-        featuresCol="features_xgb_regressor", predictionCol="score_xgb_regressor", maxDepth=cfg.regressor_a_depth,
+        featuresCol=FEATURES, predictionCol="score_xgb_regressor", maxDepth=cfg.regressor_a_depth,
         **boosted,
     )
     reg_b = GBTRegressor(
-        featuresCol="features_lgbm_regressor", predictionCol="score_lgbm_regressor", maxDepth=cfg.regressor_b_depth,
+        featuresCol=FEATURES, predictionCol="score_lgbm_regressor", maxDepth=cfg.regressor_b_depth,
         **boosted,
     )
     forest = RandomForestRegressor(
-        featuresCol="features_rf_regressor",
+        featuresCol=FEATURES,
         predictionCol="score_rf_regressor",
         labelCol="label",
         numTrees=cfg.forest_trees,
@@ -101,12 +100,12 @@ def build_estimators(feature_cols: list[str], cfg: TwoStageConfig) -> dict[str,
         featureSubsetStrategy="all",
         **common,
     )
-    return {
-        CLASSIFIER: _member(clf, feature_cols, CLASSIFIER),
-        "xgb_regressor": _member(reg_a, feature_cols, "xgb_regressor"),
-        "lgbm_regressor": _member(reg_b, feature_cols, "lgbm_regressor"),
-        "rf_regressor": _member(forest, feature_cols, "rf_regressor"),
-    }
+    return {CLASSIFIER: clf, "xgb_regressor": reg_a, "lgbm_regressor": reg_b, "rf_regressor": forest}
+
+
+def is_classifier(member: str) -> bool:
+    """Whether a member of that name gates the forecast rather than taking part in the blend."""
+    return "classifier" in member.lower() or member.lower() in ("clf", "class_model")
 
 
 @dataclass
@@ -120,21 +119,22 @@ class TwoStageModel:
     @property
     def regressors(self) -> list[str]:
         return [s for s in REGRESSOR_SLOTS if s in self.members] or [
-            s for s in self.members if s != CLASSIFIER and "classifier" not in s.lower()
+            s for s in self.members if not is_classifier(s)
         ]
 
     @property
     def classifier(self) -> PipelineModel | None:
-        return self.members.get(CLASSIFIER)
+        return next((m for name, m in self.members.items() if is_classifier(name)), None)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Append ``demand_class`` (when a classifier exists) and one ``score_<slot>``
         column per regressor; intermediate vectors are dropped."""
-        out = df
+        out, keep = df, list(df.columns)
         for slot, model in self.members.items():
-            out = model.transform(out)
-        drop = [c for c in out.columns if c.startswith("features_") or c in ("demand_raw", "demand_probability")]
-        return out.drop(*drop)
+            keep.append("demand_class" if is_classifier(slot) else f"score_{slot}")
+            # Members bring vectors of their own, perhaps under one name.
+            out = model.transform(out).select(*keep)
+        return out
 
     def metadata(self) -> dict:
         return {
@@ -154,16 +154,20 @@ def train_two_stage(
     target: str = "quantity",
 ) -> TwoStageModel:
     """Fit the classifier on all rows and the regressors on rows with positive target."""
-    data = with_labels(train, target).select(*feature_cols, "label", "demand").persist(StorageLevel.MEMORY_AND_DISK)
+    vector = assembler(feature_cols, FEATURES)
+    data = vector.transform(with_labels(train, target)).select(FEATURES, "label", "demand").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        est = build_estimators(feature_cols, cfg)
-        members = {CLASSIFIER: est[CLASSIFIER].fit(data)}
         positive = positive_rows(data, "label")
-        for slot in REGRESSOR_SLOTS:
-            members[slot] = est[slot].fit(positive)
+        if positive.isEmpty():
+            raise ValueError("the training rows hold no sale: nothing to fit the regressors on")
+        est = build_estimators(cfg)
+        # The fits don't depend on each other: Spark runs their jobs side by side.
+        with ThreadPoolExecutor(len(est)) as pool:
+            fits = {slot: pool.submit(e.fit, data if slot == CLASSIFIER else positive) for slot, e in est.items()}
+            members = {slot: PipelineModel([vector, f.result()]) for slot, f in fits.items()}
     finally:
         data.unpersist()
-    weights = resolve_weights(list(REGRESSOR_SLOTS), cfg.weights)
+    weights = blend_shares(list(REGRESSOR_SLOTS), cfg.weights)
     return TwoStageModel(members, list(feature_cols), weights, date_column)
 
 
@@ -187,7 +191,3 @@ def prediction_table(scored: DataFrame, period_col: str, target: str = "quantity
         F.col(target).cast("double").alias("actual_quantity"),
         "predicted_quantity",
     )
-
-
-def config_dict(cfg: TwoStageConfig) -> dict:
-    return asdict(cfg)

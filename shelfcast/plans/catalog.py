@@ -75,17 +75,21 @@ def _naive_stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spoilt_raw_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as a raw POS export: every field text, padded headers, a header
     alias, and one kind of damage per line number (bad date, ``1.5d`` price, empty
-    quantity, bad time, lenient time with an exponent price, null-token name)."""
+    quantity, bad time, lenient time with an exponent price, null-token name). First
+    lines have, by order, a price of 1e100, of 400 digits or of 1e-100, or an ISO date-time."""
     li = fixtures.read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
         "l_shipdate", "l_returnflag",
     )
     n = F.col("l_linenumber")
+    first = lambda k: (n == 1) & (F.col("l_orderkey") % 5 == k)
     as_text = lambda c: c.cast("string")
     net = F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))
     return li.select(
         as_text(F.col("l_orderkey")).alias("Transaction ID"),
-        F.when(n == 2, F.lit("bad")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias(" Date"),
+        F.when(n == 2, F.lit("bad"))
+        .when(first(3), F.concat(F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("T10:30:00.250")))
+        .otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias(" Date"),
         F.when(n == 5, F.lit("bad")).when(n == 6, F.lit("9:05 PM")).otherwise(F.lit("10:30:00")).alias("Time "),
         as_text(F.col("l_partkey")).alias("ProductID"),
         F.when(n == 7, F.lit("N/A")).otherwise(F.concat(F.lit("part "), as_text(F.col("l_partkey")))).alias(
@@ -95,7 +99,8 @@ def spoilt_raw_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n == 3, F.lit("1.5d")).otherwise(as_text(F.col("l_extendedprice") / F.col("l_quantity"))).alias(
             "UnitPrice"
         ),
-        as_text(F.col("l_extendedprice")).alias("BuyingPrice"),
+        F.when(first(0), F.lit("1e100")).when(first(1), F.lit("9" * 400)).when(first(2), F.lit("1e-100"))
+        .otherwise(as_text(F.col("l_extendedprice"))).alias("BuyingPrice"),
         F.when(n == 6, F.lit(" 1e3 ")).otherwise(as_text(net / F.col("l_quantity"))).alias("SellingPrice"),
         F.when(n == 4, F.lit("")).otherwise(as_text(F.col("l_quantity"))).alias("Quantity"),
         as_text(net).alias("Total_LKR"),
@@ -103,27 +108,23 @@ def spoilt_raw_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def spoilt_csv_export(spark: SparkSession, sf_dir: str) -> str:
-    """Write the spoilt line items as a CSV export (header line, all text) into the
-    session's shared checkpoint folder and return its path."""
-    import uuid
+def spoilt_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spoilt line items as the raw table that a CSV export of them reads back as:
+    every row a line of text, parsed into text fields. Nothing is written."""
+    from shelfcast.sources.readers import parse_pos_lines
 
-    from shelfcast.session import ensure_checkpoint_dir
-
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shelfcast/pos_exports/{uuid.uuid4().hex}"
-    spoilt_raw_lineitems(spark, sf_dir).write.option("header", "true").csv(path)
-    return path
+    rows = spoilt_raw_lineitems(spark, sf_dir)
+    lines = rows.select(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("line"))
+    return parse_pos_lines(lines, "line", rows.columns)
 
 
 @register("ingest_coercion")
 def ingest_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ingest of a dirty POS export: read the CSV as text (header trim, alias, required
+    """Ingest of a dirty POS export: CSV lines as text (header trim, alias, required
     columns), coerce, reject incomplete rows, compose the sale timestamp."""
     from shelfcast.operators.cleaning import clean_transactions
-    from shelfcast.sources.readers import read_pos_csv
 
-    raw = read_pos_csv(spark, spoilt_csv_export(spark, sf_dir))
-    return clean_transactions(raw).select(
+    return clean_transactions(spoilt_csv_lines(spark, sf_dir)).select(
         "txn_id", F.col("line").cast("int").alias("line"), "sale_date", "sold_at", "product_id", "product_name",
         "category", "unit_price", "buying_price", "selling_price", "quantity", "total_amount",
     )
@@ -133,9 +134,8 @@ def ingest_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per required column, how many rows of the dirty export fail to parse (one row)."""
     from shelfcast.operators.cleaning import coerce_raw, reject_counts
-    from shelfcast.sources.readers import read_pos_csv
 
-    return reject_counts(coerce_raw(read_pos_csv(spark, spoilt_csv_export(spark, sf_dir))))
+    return reject_counts(coerce_raw(spoilt_csv_lines(spark, sf_dir)))
 
 
 @register("price_rounding")
@@ -324,9 +324,9 @@ ENSEMBLE_MODELS = ("xgb_regressor", "lgbm_regressor", "rf_regressor")
 
 @register("weighted_ensemble")
 def weighted_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from shelfcast.operators.ensemble import DEFAULT_BLEND_WEIGHTS, resolve_weights, to_demand, weighted_score
+    from shelfcast.operators.ensemble import DEFAULT_BLEND_WEIGHTS, blend_shares, to_demand, weighted_score
 
-    weights = resolve_weights(ENSEMBLE_MODELS, DEFAULT_BLEND_WEIGHTS)
+    weights = blend_shares(ENSEMBLE_MODELS, DEFAULT_BLEND_WEIGHTS)
     s = _weekly_scores(spark, sf_dir)
     scores = dict(zip(ENSEMBLE_MODELS, (F.col("score_a"), F.col("score_b"), F.col("score_c"))))
     out = s.select(*fe.PRODUCT_KEYS, "week_ending", weighted_score(scores, weights).alias("ensemble_score"))
@@ -390,16 +390,16 @@ def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single-row requests from the daily features, spoilt on some days of the month
-    (price 0, weekday 7 or -1, month 13 or 0)."""
+    (price 0 or NaN, weekday 7 or -1, month 13 or 0, no id, no weekend flag)."""
     daily = fe.daily_features(fixtures.transactions(spark, sf_dir))
     dom = F.dayofmonth("sale_date")
     return daily.select(
-        F.col("product_id").alias("item_id"),
+        F.when(dom != 12, F.col("product_id")).alias("item_id"),
         "sale_date",
         "lag_7",
         "lag_14",
-        "is_weekend",
-        F.when(dom == 5, F.lit(0.0)).otherwise(F.col("selling_price")).alias("selling_price"),
+        F.when(dom != 18, F.col("is_weekend")).alias("is_weekend"),
+        F.when(dom == 5, F.lit(0.0)).when(dom == 8, F.lit(float("nan"))).otherwise(F.col("selling_price")).alias("selling_price"),
         F.when(dom == 10, F.lit(7)).when(dom == 20, F.lit(-1)).otherwise(F.col("day_of_week")).alias("day_of_week"),
         F.when(dom == 15, F.lit(13)).when(dom == 25, F.lit(0)).otherwise(F.col("month")).alias("month"),
     )
@@ -414,43 +414,82 @@ def validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- model fitting and scoring (rows-only checks: no SQL statement of a tree fit) ----
 
-def quick_config():
-    """Reduced tree counts for the catalogue runs; library defaults are full size."""
-    from shelfcast.operators.modeling import TwoStageConfig
 
-    return TwoStageConfig(classifier_iters=5, regressor_iters=5, forest_trees=5, regressor_a_depth=5,
-                          regressor_b_depth=4, forest_depth=6, cache_node_ids=False)
+def _filled(spark: SparkSession, sf_dir: str, grain: fe.Grain) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Gap-filled features (both demand classes occur) with their train and test rows, persisted for the fits."""
+    from pyspark import StorageLevel
+
+    from shelfcast.operators.dataset import time_split
+
+    feats = _features(spark, sf_dir, grain, fill=True).persist(StorageLevel.MEMORY_AND_DISK)
+    return feats, *time_split(feats, grain.period_col, FIXTURE_TRAIN_START, FIXTURE_TEST_START, FIXTURE_TEST_END)
 
 
-def _fit_weekly(spark: SparkSession, sf_dir: str):
-    from shelfcast.operators.dataset import feature_columns, time_split
+def _fit(spark: SparkSession, sf_dir: str, grain: fe.Grain):
+    """The two-stage model of one horizon at the library's defaults."""
+    from shelfcast.operators.dataset import feature_columns
     from shelfcast.operators.modeling import train_two_stage
+    from shelfcast.session import use_checkpoint_dir
+
+    use_checkpoint_dir(spark)
+    feats, train, test = _filled(spark, sf_dir, grain)
+    return feats, test, train_two_stage(train, feature_columns(feats), date_column=grain.period_col)
+
+
+def _model_inputs(grain: fe.Grain) -> Query:
+    from shelfcast.operators.dataset import feature_columns, positive_rows, time_split, with_labels
+
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """What the fits read: features, label and class of the training rows, and whether the regressors see a row."""
+        feats = _features(spark, sf_dir, grain, fill=True)
+        train, _ = time_split(feats, grain.period_col, FIXTURE_TRAIN_START, FIXTURE_TEST_START, FIXTURE_TEST_END)
+        keys = [*fe.PRODUCT_KEYS, grain.period_col]
+        rows = with_labels(train).select(*keys, *feature_columns(feats), "label", "demand")
+        seen = positive_rows(rows, "label").withColumn("for_regressors", F.lit(True))
+        rest = rows.where("demand = 0").withColumn("for_regressors", F.lit(False))
+        return round_doubles(seen.unionByName(rest))
+
+    return q
+
+
+for _grain in (fe.WEEKLY, fe.MONTHLY):
+    register(f"model_inputs_{_grain.name}")(_model_inputs(_grain))
 
-    from shelfcast.session import ensure_checkpoint_dir
 
-    ensure_checkpoint_dir(spark)
-    # Fitting, test scoring and latest-row scoring all read the feature table: cut its
-    # lineage once (written to the shared checkpoint folder) instead of recomputing it.
-    feats = fe.build_features(fixtures.transactions(spark, sf_dir), fe.WEEKLY, narrow=False).checkpoint()
-    train, test = time_split(feats, "week_ending", FIXTURE_TRAIN_START, FIXTURE_TEST_START, FIXTURE_TEST_END)
-    cols = feature_columns(feats)
-    model = train_two_stage(train, cols, quick_config(), date_column="week_ending")
-    return feats, test, model
+@register("prediction_keys")
+def prediction_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prediction tables of both horizons but for the prediction."""
+    from shelfcast.operators.dataset import time_split
+    from shelfcast.operators.modeling import prediction_table
 
+    parts = []
+    for grain in (fe.WEEKLY, fe.MONTHLY):
+        feats = _features(spark, sf_dir, grain, fill=True)
+        _, test = time_split(feats, grain.period_col, FIXTURE_TRAIN_START, FIXTURE_TEST_START, FIXTURE_TEST_END)
+        table = prediction_table(test.withColumn("predicted_quantity", F.lit(None).cast("int")), grain.period_col)
+        parts.append(table.drop("predicted_quantity").withColumn("horizon", F.lit(grain.name)))
+    return parts[0].unionByName(parts[1])
 
-@register("two_stage_forecast")
-def two_stage_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def _two_stage(grain: fe.Grain) -> Query:
     from shelfcast.operators.modeling import predict_two_stage, prediction_table
 
-    _, test, model = _fit_weekly(spark, sf_dir)
-    return prediction_table(predict_two_stage(model, test), "week_ending")
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _, test, model = _fit(spark, sf_dir, grain)
+        return prediction_table(predict_two_stage(model, test), grain.period_col)
+
+    return q
+
+
+register("two_stage_forecast")(_two_stage(fe.WEEKLY))
+register("two_stage_forecast_monthly")(_two_stage(fe.MONTHLY))
 
 
 @register("forecast_latest")
 def forecast_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfcast.operators.scoring import forecast_latest as score
 
-    feats, _, model = _fit_weekly(spark, sf_dir)
+    feats, _, model = _fit(spark, sf_dir, fe.WEEKLY)
     return score(model, feats, fe.WEEKLY)
 
 
@@ -459,10 +498,53 @@ def score_valid_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfcast.operators.scoring import score_requests_with_model, train_request_model, validate_requests
 
     daily = fe.daily_features(fixtures.transactions(spark, sf_dir))
-    model = train_request_model(daily, iters=5, depth=4)
+    model = train_request_model(daily)
     return score_requests_with_model(model, validate_requests(daily_requests(spark, sf_dir)))
 
 
+# The history columns of each horizon, standing in for the three regressors.
+STAND_INS = {
+    "weekly": ("lag_1_week", "lag_2_weeks", "rolling_mean_4_weeks"),
+    "monthly": ("lag_1_month", "lag_2_months", "rolling_mean_3_months"),
+}
+
+
+@register("forecast_requests")
+def forecast_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests answered with forecasts of both horizons: latest row of each product (its
+    id padded, as some exports have it), stand-in scores, gate, blend, demand, status."""
+    from shelfcast.operators import scoring
+    from shelfcast.operators.ensemble import DEFAULT_BLEND_WEIGHTS, blend_shares, to_demand, weighted_score
+
+    weights = blend_shares(ENSEMBLE_MODELS, DEFAULT_BLEND_WEIGHTS)
+    parts = []
+    for grain in (fe.WEEKLY, fe.MONTHLY):
+        padded = _features(spark, sf_dir, grain).withColumn("product_id", F.concat(F.lit(" "), "product_id", F.lit("  ")))
+        names = STAND_INS[grain.name]
+        frame = scoring.inference_frame(scoring.latest_rows(padded, grain), names, keep=("product_id", grain.period_col))
+        value = to_demand(weighted_score({m: F.col(c) for m, c in zip(ENSEMBLE_MODELS, names)}, weights))
+        parts.append(frame.select("product_id", F.lit(grain.name).alias("timeframe"), F.col(grain.period_col).alias("period"),
+                                  F.when(F.col(names[0]) > 20, value).otherwise(F.lit(0).cast("bigint")).alias("predicted_demand")))
+    out = scoring.forecast_requests(catalogue_requests(spark, sf_dir), parts[0].unionByName(parts[1]))
+    return out.select("request_id", "product_id", "timeframe", "status", "period", "predicted_demand")
+
+
+@register("inference_frame")
+def inference_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest weekly rows as a model's inputs: a number, a number with NaN, text that is
+    no number, a column that is absent, and two values of a text column as 0 / 1."""
+    from shelfcast.operators.scoring import inference_frame as frame
+    from shelfcast.operators.scoring import latest_rows
+
+    latest = latest_rows(_features(spark, sf_dir, fe.WEEKLY), fe.WEEKLY)
+    latest = latest.withColumns({
+        "lag_2_weeks": F.when(F.col("lag_2_weeks") > 30, F.lit(float("nan"))).otherwise(F.col("lag_2_weeks")),
+        "size": F.element_at(F.split("category", " "), 1),
+    })
+    columns = ["lag_1_week", "lag_2_weeks", "product_name", "not_there", "size_SMALL", "size_PROMO"]
+    return frame(latest, columns, keep=("product_id", "week_ending"))
+
+
 @register("gap_filled_monthly")
 def gap_filled_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(_features(spark, sf_dir, fe.MONTHLY, fill=True))
@@ -473,13 +555,13 @@ def latest_naive_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue-wide forecast path (latest row per product, aligned inputs,
     finite weighted mean, class gate, clamp and round) with the three history
     columns standing in for the regressors and lag 1 > 20 for the classifier."""
-    from shelfcast.operators.ensemble import DEFAULT_BLEND_WEIGHTS, resolve_weights, to_demand, weighted_score
+    from shelfcast.operators.ensemble import DEFAULT_BLEND_WEIGHTS, blend_shares, to_demand, weighted_score
     from shelfcast.operators.scoring import inference_frame, latest_rows
 
     latest = latest_rows(_features(spark, sf_dir, fe.WEEKLY), fe.WEEKLY)
     frame = inference_frame(latest, ["lag_1_week", "lag_2_weeks", "rolling_mean_4_weeks"],
                             keep=("product_id", "week_ending"))
-    weights = resolve_weights(ENSEMBLE_MODELS, DEFAULT_BLEND_WEIGHTS)
+    weights = blend_shares(ENSEMBLE_MODELS, DEFAULT_BLEND_WEIGHTS)
     scores = dict(zip(ENSEMBLE_MODELS, (F.col("lag_1_week"), F.col("lag_2_weeks"), F.col("rolling_mean_4_weeks"))))
     demand = F.when(F.col("lag_1_week") > 20, to_demand(weighted_score(scores, weights))).otherwise(
         F.lit(0).cast("bigint")
@@ -497,14 +579,14 @@ def next_period_naive_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forecast of the period after each product's last sale: next-period inputs
     (lags advanced by one), latest row per product, the three history columns as
     stand-in regressors, lag 1 > 20 as the stand-in class."""
-    from shelfcast.operators.ensemble import DEFAULT_BLEND_WEIGHTS, resolve_weights, to_demand, weighted_score
+    from shelfcast.operators.ensemble import DEFAULT_BLEND_WEIGHTS, blend_shares, to_demand, weighted_score
     from shelfcast.operators.scoring import inference_frame, latest_rows
 
     nxt = fe.next_period_features(fixtures.transactions(spark, sf_dir), fe.WEEKLY)
     latest = latest_rows(nxt, fe.WEEKLY)
     frame = inference_frame(latest, ["lag_1_week", "lag_2_weeks", "rolling_mean_4_weeks"],
                             keep=("product_id", "week_ending", "is_christmas_month", "is_payday_week"))
-    weights = resolve_weights(ENSEMBLE_MODELS, DEFAULT_BLEND_WEIGHTS)
+    weights = blend_shares(ENSEMBLE_MODELS, DEFAULT_BLEND_WEIGHTS)
     scores = dict(zip(ENSEMBLE_MODELS, (F.col("lag_1_week"), F.col("lag_2_weeks"), F.col("rolling_mean_4_weeks"))))
     demand = F.when(F.col("lag_1_week") > 20, to_demand(weighted_score(scores, weights))).otherwise(
         F.lit(0).cast("bigint")

@@ -142,7 +142,6 @@ ORACLE["monthly_features"] = _features("monthly")
 
 # --- ingest ----------------------------------------------------------------------------
 
-DECIMAL = r"^[+-]?([0-9]{1,30}[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]{1,2})?$"
 NULL_TOKENS_SQL = (
     "'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', "
     "'<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null'"
@@ -150,12 +149,9 @@ NULL_TOKENS_SQL = (
 
 
 def _num(c: str) -> str:
-    t = f"trim({c})"
-    v = f"TRY_CAST({t} AS DOUBLE)"
-    return (
-        f"CASE WHEN {t} IN ({NULL_TOKENS_SQL}) THEN NULL "
-        f"WHEN regexp_full_match({t}, '{DECIMAL}') THEN {v} END"
-    )
+    # The rule: a number is what reads as one, is finite and fits BIGINT.
+    v = f"TRY_CAST(trim({c}) AS DOUBLE)"
+    return f"CASE WHEN isfinite({v}) AND abs({v}) < 9223372036854775808.0 THEN {v} END"
 
 
 def _txt(c: str) -> str:
@@ -164,13 +160,18 @@ def _txt(c: str) -> str:
 
 INGEST_PARSED = f"""raw AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS txn_id,
-         CASE WHEN l_linenumber = 2 THEN 'bad' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS d,
+         CASE WHEN l_linenumber = 2 THEN 'bad'
+              WHEN l_linenumber = 1 AND l_orderkey % 5 = 3 THEN strftime(l_shipdate, '%Y-%m-%d') || 'T10:30:00.250'
+              ELSE strftime(l_shipdate, '%Y-%m-%d') END AS d,
          CASE WHEN l_linenumber = 5 THEN 'bad' WHEN l_linenumber = 6 THEN '9:05 PM' ELSE '10:30:00' END AS tm,
          CAST(l_partkey AS VARCHAR) AS product_id,
          CASE WHEN l_linenumber = 7 THEN 'N/A' ELSE 'part ' || CAST(l_partkey AS VARCHAR) END AS product_name,
          l_returnflag AS category,
          CASE WHEN l_linenumber = 3 THEN '1.5d' ELSE CAST(l_extendedprice / l_quantity AS VARCHAR) END AS up,
-         CAST(l_extendedprice AS VARCHAR) AS bp,
+         CASE WHEN l_linenumber = 1 AND l_orderkey % 5 = 0 THEN '1e100'
+              WHEN l_linenumber = 1 AND l_orderkey % 5 = 1 THEN repeat('9', 400)
+              WHEN l_linenumber = 1 AND l_orderkey % 5 = 2 THEN '1e-100'
+              ELSE CAST(l_extendedprice AS VARCHAR) END AS bp,
          CASE WHEN l_linenumber = 6 THEN ' 1e3 '
               ELSE CAST(l_extendedprice * (1 - l_discount) / l_quantity AS VARCHAR) END AS sp,
          CASE WHEN l_linenumber = 4 THEN '' ELSE CAST(l_quantity AS VARCHAR) END AS q,
@@ -180,7 +181,7 @@ INGEST_PARSED = f"""raw AS (
 ),
 parsed AS (
   SELECT {_txt('txn_id')} AS txn_id, CAST(line AS INTEGER) AS line,
-         CAST(TRY_STRPTIME(trim(d), '%Y-%m-%d') AS DATE) AS sale_date,
+         CAST(TRY_STRPTIME(left(trim(d), 10), '%Y-%m-%d') AS DATE) AS sale_date,
          coalesce(TRY_STRPTIME(trim(tm), '%H:%M:%S'), TRY_STRPTIME(trim(tm), '%I:%M %p')) AS t,
          {_txt('product_id')} AS product_id, {_txt('product_name')} AS product_name,
          {_txt('category')} AS category,
@@ -486,18 +487,12 @@ FROM b"""
 
 
 def _weighted_sql() -> str:
-    from shelfcast.operators.ensemble import DEFAULT_BLEND_WEIGHTS, resolve_weights
-
-    names = ("xgb_regressor", "lgbm_regressor", "rf_regressor")
-    w = resolve_weights(names, DEFAULT_BLEND_WEIGHTS)
-    num, den = "CAST(0.0 AS DOUBLE)", "CAST(0.0 AS DOUBLE)"
-    for name, col in zip(names, ("score_a", "score_b", "score_c")):
-        if w[name] <= 0:
-            continue
-        lit = f"CAST({w[name]!r} AS DOUBLE)"
-        num = f"({num} + CASE WHEN isfinite({col}) THEN {col} * {lit} ELSE 0.0 END)"
-        den = f"({den} + CASE WHEN isfinite({col}) THEN {lit} ELSE 0.0 END)"
-    return f"CASE WHEN {den} > 0 THEN {num} / {den} ELSE score_a END"
+    # Weighted mean over finite scores: 0.45 for the two boosted models, 0.10 for the forest.
+    cols, weights = ("score_a", "score_b", "score_c"), ("0.45", "0.45", "0.10")
+    lits = [f"CAST({w} AS DOUBLE)" for w in weights]
+    num = " + ".join(f"CASE WHEN isfinite({c}) THEN {c} * {w} ELSE 0.0 END" for c, w in zip(cols, lits))
+    den = " + ".join(f"CASE WHEN isfinite({c}) THEN {w} ELSE 0.0 END" for c, w in zip(cols, lits))
+    return f"CASE WHEN ({den}) > 0 THEN ({num}) / ({den}) ELSE score_a END"
 
 
 def _demand(v: str) -> str:
@@ -589,8 +584,9 @@ feat AS (
   FROM daily
 ),
 req AS (
-  SELECT product_id AS item_id, sale_date, lag_7, lag_14, is_weekend,
-         CASE WHEN day(sale_date) = 5 THEN 0.0 ELSE selling_price END AS selling_price,
+  SELECT CASE WHEN day(sale_date) <> 12 THEN product_id END AS item_id, sale_date, lag_7, lag_14,
+         CASE WHEN day(sale_date) <> 18 THEN is_weekend END AS is_weekend,
+         CASE WHEN day(sale_date) = 5 THEN 0.0 WHEN day(sale_date) = 8 THEN CAST('nan' AS DOUBLE) ELSE selling_price END AS selling_price,
          CAST(CASE WHEN day(sale_date) = 10 THEN 7 WHEN day(sale_date) = 20 THEN -1 ELSE day_of_week END AS INTEGER)
            AS day_of_week,
          CAST(CASE WHEN day(sale_date) = 15 THEN 13 WHEN day(sale_date) = 25 THEN 0 ELSE month END AS INTEGER)
@@ -599,11 +595,13 @@ req AS (
 ),
 chk AS (
   SELECT *, concat_ws(',',
-      CASE WHEN NOT (selling_price > 0) OR selling_price IS NULL THEN 'selling_price' END,
+      CASE WHEN NOT (selling_price > 0) OR selling_price IS NULL OR isnan(selling_price) THEN 'selling_price' END,
       CASE WHEN NOT (day_of_week BETWEEN 0 AND 6) OR day_of_week IS NULL THEN 'day_of_week' END,
       CASE WHEN NOT (month BETWEEN 1 AND 12) OR month IS NULL THEN 'month' END,
+      CASE WHEN item_id IS NULL THEN 'missing_item_id' END,
       CASE WHEN lag_7 IS NULL THEN 'missing_lag_7' END,
-      CASE WHEN lag_14 IS NULL THEN 'missing_lag_14' END) AS reasons
+      CASE WHEN lag_14 IS NULL THEN 'missing_lag_14' END,
+      CASE WHEN is_weekend IS NULL THEN 'missing_is_weekend' END) AS reasons
   FROM req
 )
 SELECT item_id, sale_date, lag_7, lag_14, is_weekend, round(selling_price, 6) AS selling_price,
@@ -661,3 +659,63 @@ SELECT product_id, period, is_christmas_month, is_payday_week,
        score_a AS lag_1_week, score_b AS lag_2_weeks, round(score_c, 6) AS rolling_mean_4_weeks,
        CASE WHEN score_a > 20 THEN {_demand('ensemble_score')} ELSE CAST(0 AS BIGINT) END AS predicted_demand
 FROM e"""
+
+
+# --- fit inputs, prediction keys, request answers ---------------------------------------
+
+_MODEL_FEATURES = {
+    "weekly": "unit_price, buying_price, selling_price, lag_1_week, lag_2_weeks, rolling_mean_4_weeks, price_difference, "
+              "is_avurudu_month, is_vesak_month, is_christmas_month, is_payday_week",
+    "monthly": "unit_price, buying_price, selling_price, lag_1_month, lag_2_months, rolling_mean_3_months, price_difference, "
+               "is_avurudu_month, is_vesak_month, is_christmas_month",
+}
+for _g in ("weekly", "monthly"):
+    _p = GRAINS[_g]["period"]
+    ORACLE[f"model_inputs_{_g}"] = f"""
+SELECT product_id, product_name, category, {_p}, {_MODEL_FEATURES[_g]},
+       CAST(quantity AS DOUBLE) AS label, CASE WHEN quantity > 0 THEN 1.0 ELSE 0.0 END AS demand, quantity > 0 AS for_regressors
+FROM ({_gap_filled(_g)}) g
+WHERE {_p} >= DATE '1996-01-01' AND {_p} < DATE '2001-01-01'"""
+
+ORACLE["prediction_keys"] = " UNION ALL ".join(f"""
+SELECT {GRAINS[g]["period"]} AS date, product_id, product_name, category, CAST(quantity AS DOUBLE) AS actual_quantity, '{g}' AS horizon
+FROM ({_gap_filled(g)}) {g}_rows
+WHERE {GRAINS[g]["period"]} >= DATE '2001-01-01' AND {GRAINS[g]["period"]} < DATE '2002-01-01'""" for g in ("weekly", "monthly"))
+
+
+def _latest_scores(grain: str, source: str) -> str:
+    g = GRAINS[grain]
+    return f"""
+SELECT product_id, '{grain}' AS timeframe, {g['period']} AS period,
+       CAST({g['lag1']} AS DOUBLE) AS score_a, CAST({g['lag2']} AS DOUBLE) AS score_b, CAST({g['roll']} AS DOUBLE) AS score_c
+FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY {g['period']} DESC NULLS LAST, product_name DESC, category DESC) AS rn
+      FROM {source}) WHERE rn = 1"""
+
+
+ORACLE["forecast_requests"] = f"""
+WITH {T},{features_ctes('weekly', 'fw')},{features_ctes('monthly', 'fm')},
+s AS ({_latest_scores('weekly', 'fw')} UNION ALL {_latest_scores('monthly', 'fm')}),
+e AS (SELECT *, {_weighted_sql()} AS ensemble_score FROM s),
+f AS (SELECT product_id, timeframe, period,
+             CASE WHEN score_a > 20 THEN {_demand('ensemble_score')} ELSE CAST(0 AS BIGINT) END AS predicted_demand FROM e),
+req AS (
+  SELECT p_partkey AS request_id,
+         CASE WHEN p_size >= 47 THEN 'X' ELSE '' END || CAST(p_partkey AS VARCHAR) AS product_id,
+         CASE WHEN p_size BETWEEN 41 AND 43 THEN 'daily' WHEN p_size BETWEEN 21 AND 30 THEN 'monthly' ELSE 'weekly' END AS timeframe
+  FROM part
+)
+SELECT request_id, req.product_id, req.timeframe,
+       CASE WHEN req.timeframe = 'daily' THEN 'bad_timeframe' WHEN f.product_id IS NULL THEN 'not_found' ELSE 'ok' END AS status,
+       f.period, f.predicted_demand
+FROM req LEFT JOIN f ON req.product_id = f.product_id AND req.timeframe = f.timeframe"""
+
+ORACLE["inference_frame"] = f"""
+WITH {T},{features_ctes('weekly', 'fw')},
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id
+        ORDER BY week_ending DESC NULLS LAST, product_name DESC, category DESC) AS rn FROM fw) WHERE rn = 1)
+SELECT product_id, week_ending, CAST(lag_1_week AS DOUBLE) AS lag_1_week,
+       CASE WHEN lag_2_weeks > 30 THEN 0.0 ELSE CAST(lag_2_weeks AS DOUBLE) END AS lag_2_weeks,
+       CAST(0 AS DOUBLE) AS product_name, CAST(0 AS DOUBLE) AS not_there,
+       CASE WHEN starts_with(category, 'SMALL ') OR category = 'SMALL' THEN 1.0 ELSE 0.0 END AS "size_SMALL",
+       CASE WHEN starts_with(category, 'PROMO ') OR category = 'PROMO' THEN 1.0 ELSE 0.0 END AS "size_PROMO"
+FROM l"""

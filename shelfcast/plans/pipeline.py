@@ -16,15 +16,17 @@ from __future__ import annotations
 
 import argparse
 import json
+from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.operators import evaluation as ev
 from shelfcast.operators import explore as ex
 from shelfcast.operators import features as fe
-from shelfcast.operators.cleaning import clean_transactions, price_cleaning
+from shelfcast.functions.temporal import DEFAULT_DATE_FORMATS, DEFAULT_TIME_FORMATS
+from shelfcast.operators.cleaning import REQUIRED_AFTER_PARSE, add_sold_at, coerce_raw, drop_incomplete, price_cleaning
 from shelfcast.operators.dataset import (
     DEFAULT_TEST_END,
     DEFAULT_TEST_START,
@@ -33,8 +35,9 @@ from shelfcast.operators.dataset import (
     time_split,
 )
 from shelfcast.operators.modeling import TwoStageConfig, predict_two_stage, prediction_table, train_two_stage
-from shelfcast.session import ensure_checkpoint_dir
+from shelfcast.session import use_checkpoint_dir
 from shelfcast.sources import fixtures
+from shelfcast.sources.contract import PRICE_COLUMNS, canonical_headers, strip_headers, to_our_names
 from shelfcast.sources.model_store import save_bundle
 from shelfcast.sources.readers import read_cleaned, read_features, read_pos_csv
 from shelfcast.sources.sinks import write_cleaned, write_features
@@ -55,17 +58,28 @@ EXPLORATION_FROM_DAYS = {
 }
 
 
-def ingest(spark: SparkSession, input_path: str | None, sf_dir: str | None, input_format: str = "csv") -> DataFrame:
+def ingest(
+    spark: SparkSession,
+    input_path: str | None,
+    sf_dir: str | None,
+    input_format: str = "csv",
+    date_formats: Sequence[str] = DEFAULT_DATE_FORMATS,
+    time_formats: Sequence[str] = DEFAULT_TIME_FORMATS,
+    rejects: Observation | None = None,
+) -> DataFrame:
+    """Cleaned rows of the input; ``rejects`` gets, from the same pass, how many rows fail to parse per column.
+    (A later sort of the whole table would run that pass twice, for its ranges, and count twice.)"""
     if sf_dir:
         return fixtures.transactions(spark, sf_dir)
     if input_format == "csv":
         raw = read_pos_csv(spark, input_path)
     else:
-        from shelfcast.sources.contract import align_headers, strip_headers, to_our_names
-
-        raw = to_our_names(align_headers(strip_headers(spark.read.format(input_format).load(input_path))))
+        raw = to_our_names(canonical_headers(strip_headers(spark.read.format(input_format).load(input_path))))
         raw = raw.select(*[F.col(c).cast("string").alias(c) for c in raw.columns])
-    return price_cleaning(clean_transactions(raw))
+    coerced = coerce_raw(raw, date_formats, time_formats)
+    if rejects is not None:
+        coerced = coerced.observe(rejects, *[F.count_if(F.col(c).isNull()).alias(c) for c in REQUIRED_AFTER_PARSE])
+    return price_cleaning(add_sold_at(drop_incomplete(coerced))).dropna(subset=[*PRICE_COLUMNS, "quantity"])
 
 
 def run_pipeline(
@@ -80,16 +94,24 @@ def run_pipeline(
     config: TwoStageConfig = TwoStageConfig(),
     explore: bool = True,
     fill_gaps: bool = False,
+    date_formats: Sequence[str] = DEFAULT_DATE_FORMATS,
+    time_formats: Sequence[str] = DEFAULT_TIME_FORMATS,
 ) -> dict:
     """Run the whole job; ``fill_gaps=True`` adds zero-sale periods between a
-    product's sales, which also gives the demand classifier its negative class."""
-    ensure_checkpoint_dir(spark)
+    product's sales, which also gives the demand classifier its negative class.
+
+    The summary lists, under ``rejects``, the rows that failed to parse per column
+    (an input row may fail in several)."""
+    use_checkpoint_dir(spark)
     out = output.rstrip("/")
     summary: dict = {}
 
-    summary["cleaned_rows"] = write_cleaned(ingest(spark, input_path, sf_dir, input_format), f"{out}/cleaned")
+    rejects = None if sf_dir else Observation("rejects")
+    cleaned = ingest(spark, input_path, sf_dir, input_format, date_formats, time_formats, rejects)
+    summary["cleaned_rows"] = write_cleaned(cleaned, f"{out}/cleaned")
+    summary["rejects"] = dict(rejects.get) if rejects else {}
     if summary["cleaned_rows"] == 0:
-        raise ValueError("No rows available after null and type validation.")
+        raise ValueError(f"every input row was rejected: {summary['rejects']}")
     tx = read_cleaned(spark, f"{out}/cleaned")
 
     # One pass over the line items: the product-day rollup feeds both feature grains
@@ -103,15 +125,16 @@ def run_pipeline(
         write_features(ex.transaction_hour_rollup(tx), f"{out}/transaction_hours")
         txn_hours = spark.read.parquet(f"{out}/transaction_hours")
         for name, op in EXPLORATION_FROM_TXN_HOURS.items():
-            write_features(op(txn_hours), f"{out}/exploration/{name}")
+            write_features(op(txn_hours, rolled=True), f"{out}/exploration/{name}")
         for name, op in EXPLORATION_FROM_DAYS.items():
-            write_features(op(days), f"{out}/exploration/{name}")
+            extra = {"rolled": True} if op is ex.monthly_price_trend else {}
+            write_features(op(days, **extra), f"{out}/exploration/{name}")
         write_features(ex.margin_histogram(tx), f"{out}/exploration/margin_histogram")
 
     frames = {}
     for grain in (fe.WEEKLY, fe.MONTHLY):
         path = f"{out}/features/{grain.name}"
-        summary[f"{grain.name}_rows"] = write_features(fe.build_features(days, grain, fill=fill_gaps), path)
+        summary[f"{grain.name}_rows"] = write_features(fe.build_features(days, grain, fill=fill_gaps, rolled=True), path)
         if summary[f"{grain.name}_rows"] == 0:
             raise ValueError(f"No {grain.name} feature rows: no product has enough history.")
         frames[grain.name] = read_features(spark, path, grain.period_col)
@@ -165,6 +188,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--regressor-iters", type=int)
     p.add_argument("--forest-trees", type=int)
     p.add_argument("--no-explore", action="store_true")
+    p.add_argument("--date-format", action="append", help="date pattern of the input, tried in the order given; repeatable")
+    p.add_argument("--time-format", action="append", help="clock time pattern of the input; repeatable")
     p.add_argument("--fill-gaps", action="store_true", help="zero rows for periods without a sale")
     args = p.parse_args(argv)
     cfg = TwoStageConfig()
@@ -175,7 +200,9 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("shelfcast-pipeline").getOrCreate()
     summary = run_pipeline(spark, args.output, args.input, args.sf_dir, args.input_format, args.train_start,
                            args.test_start, args.test_end, cfg, explore=not args.no_explore,
-                           fill_gaps=args.fill_gaps)
+                           fill_gaps=args.fill_gaps,
+                           date_formats=tuple(args.date_format or DEFAULT_DATE_FORMATS),
+                           time_formats=tuple(args.time_format or DEFAULT_TIME_FORMATS))
     print(json.dumps(summary, default=str, indent=2))
 
 

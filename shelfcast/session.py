@@ -6,8 +6,6 @@ On a cluster the session comes from ``spark-submit`` and its settings win;
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -22,30 +20,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app_name:
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "6g")
         # Release shuffle files of finished queries during long local runs.
         .config("spark.cleaner.periodicGC.interval", "2min")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    use_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint directory the cluster names in ``spark.checkpoint.dir``.
+def use_checkpoint_dir(spark: SparkSession) -> str | None:
+    """Tell Spark the checkpoint folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The setting is read from the session; only when it is unset (a bare local
-    test session) is a private temporary directory created and used.
+    Returns the folder, or None when the session names none; then MLlib's
+    learners skip their checkpoints and nothing is written.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        configured = tempfile.mkdtemp(prefix="shelfcast-ckpt-")
-    sc.setCheckpointDir(configured)
-    return configured
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if named and not sc.getCheckpointDir():
+        sc.setCheckpointDir(named)
+    return named

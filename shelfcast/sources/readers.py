@@ -9,7 +9,7 @@ from shelfcast.functions import guarded_double, parse_date
 from shelfcast.sources.contract import (
     CLEANED_REQUIRED,
     RAW_REQUIRED,
-    align_headers,
+    canonical_headers,
     require_columns,
     strip_headers,
     to_our_names,
@@ -25,8 +25,19 @@ def read_pos_csv(spark: SparkSession, path: str | list[str], **options: str) ->
     reader = spark.read.option("header", "true").option("inferSchema", "false").option("mode", "PERMISSIVE")
     for k, v in options.items():
         reader = reader.option(k, v)
-    df = align_headers(strip_headers(reader.csv(path)))
-    require_columns(df, RAW_REQUIRED, "raw POS file")
+    return _as_raw_table(reader.csv(path))
+
+
+def parse_pos_lines(lines: DataFrame, column: str, header: list[str]) -> DataFrame:
+    """Raw POS rows from a column of CSV lines without a header line, every field STRING;
+    the lines may come from anywhere (a topic, a table, another query)."""
+    schema = ", ".join(f"`{h}` string" for h in header)
+    return _as_raw_table(lines.select(F.from_csv(F.col(column), schema).alias("_row")).select("_row.*"))
+
+
+def _as_raw_table(df: DataFrame) -> DataFrame:
+    df = canonical_headers(strip_headers(df))
+    require_columns(df, RAW_REQUIRED, "the raw POS export")
     return to_our_names(df)
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from shelfcast.operators.cleaning import order_all_rows, order_rows
+
 
 def _write(df: DataFrame, path: str, fmt: str, mode: str, partition_by: list[str] | None) -> int:
     obs = Observation("sink_rows")
@@ -22,15 +24,17 @@ def _write(df: DataFrame, path: str, fmt: str, mode: str, partition_by: list[str
     return int(obs.get["rows"])
 
 
-def write_cleaned(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> int:
+def write_cleaned(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", total_order: bool = False) -> int:
     """Write cleaned transactions partitioned by sale year, rows ordered within files.
 
-    The year partition turns a later time split into partition pruning. Within
-    each file rows are ordered by date, time and transaction id (no global sort).
+    The year partition turns a later time split into partition pruning. Rows are
+    arranged by year first (a large year is split over tasks), so a year has a few
+    files, not one for every task. Within each file rows are in the order of
+    :func:`cleaning.order_rows`; with ``total_order`` the files are in that order too,
+    at the price of a range shuffle of all rows.
     """
     out = df.withColumn("sale_year", F.year("sale_date"))
-    order = [c for c in ("sale_year", "sale_date", "sold_at", "txn_id") if c in out.columns]
-    out = out.sortWithinPartitions(*order)
+    out = order_all_rows(out) if total_order else order_rows(out.hint("rebalance", "sale_year"), "sale_year")
     return _write(out, path, fmt, mode, ["sale_year"])
 
 

@@ -3,8 +3,8 @@
 The reference has no streaming. Its cleaning operators are lazy DataFrame
 functions, so they apply unchanged to ``readStream``: POS exports dropped into
 a folder are cleaned and appended to the year-partitioned cleaned table by
-Spark's file sink, exactly once (the sink's commit log and the checkpoint
-folder under the session's ``spark.checkpoint.dir`` track what was written).
+Spark's file sink, exactly once (the sink's commit log and the stream's own
+checkpoint folder track what was written).
 """
 
 from __future__ import annotations
@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfcast.operators.cleaning import clean_transactions, price_cleaning
-from shelfcast.session import ensure_checkpoint_dir
-from shelfcast.sources.contract import RAW_REQUIRED, align_headers, require_columns, strip_headers, to_our_names
+from shelfcast.sources.contract import RAW_REQUIRED, canonical_headers, require_columns, strip_headers, to_our_names
 
 
 def read_pos_stream(spark: SparkSession, path: str, header: Sequence[str], max_files_per_trigger: int = 100) -> DataFrame:
@@ -29,7 +28,7 @@ def read_pos_stream(spark: SparkSession, path: str, header: Sequence[str], max_f
         .schema(schema)
         .csv(path)
     )
-    df = align_headers(strip_headers(raw))
+    df = canonical_headers(strip_headers(raw))
     require_columns(df, RAW_REQUIRED, path)
     return to_our_names(df)
 
@@ -39,14 +38,15 @@ def start_cleaning_stream(
     source: str,
     header: Sequence[str],
     target: str,
-    checkpoint: str | None = None,
+    checkpoint: str,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Clean each new batch of files and append it to ``target`` (parquet by sale year)."""
+    """Clean each new batch of files and append it to ``target`` (parquet by sale year).
+
+    ``checkpoint`` is the stream's own folder on shared storage, the same one after a restart.
+    """
     cleaned = price_cleaning(clean_transactions(read_pos_stream(spark, source, header)))
     cleaned = cleaned.withColumn("sale_year", F.year("sale_date"))
-    if checkpoint is None:
-        checkpoint = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/cleaning"
     writer = (
         cleaned.writeStream.format("parquet")
         .option("path", target)

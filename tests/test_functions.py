@@ -88,3 +88,33 @@ def test_histogram_bins_match_numpy(spark, values):
     got = np.bincount([r[0] for r in df.select(bin_index(F.col("v"), lo, hi, 40)).collect()], minlength=40)
     want, _ = np.histogram(values, bins=40)
     assert got.tolist() == want.tolist()
+
+
+def test_numbers_keep_their_range(spark):
+    """Finite and within BIGINT, however it is spelt; everything else is no value, and no error."""
+    from pyspark.sql import functions as F
+
+    from shelfcast.functions import guarded_double, round_half_even_to_step, truncate_to_long
+
+    texts = ["1e-100", "1e100", "9" * 400, "1e18", "-9.3e18", "0." + "0" * 400 + "1", "12" + "0" * 15, "1E+3", "1e5000"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(guarded_double(F.col("t")).alias("v"))
+    got = [r.v for r in df.collect()]
+    assert got == [1e-100, None, None, 1e18, None, 0.0, 12e15, 1000.0, None]
+    wide = spark.createDataFrame([(1e25,), (25.0,)], "v double")
+    out = wide.select(round_half_even_to_step(F.col("v")).alias("r"), truncate_to_long(F.col("v")).alias("q")).collect()
+    assert [tuple(r) for r in out] == [(None, None), (20, 25)]
+
+
+def test_iso_date_times_are_dates(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from shelfcast.functions import parse_date
+
+    good = ["2025-01-05", " 2025-01-05T10:30:00 ", "2025-01-05 10:30", "2025-1-5 9:05:07.125"]
+    bad = ["2025-13-05", "2025-01-05T25:00", "05/01/2025", "2025-01-05x", ""]
+    df = spark.createDataFrame([(t,) for t in good + bad], "t string")
+    assert [r.d for r in df.select(parse_date(F.col("t")).alias("d")).collect()] == [dt.date(2025, 1, 5)] * 4 + [None] * 5
+    us = spark.createDataFrame([("1/5/2025",)], "t string").select(parse_date(F.col("t"), ("M/d/yyyy",)).alias("d")).first().d
+    assert us == dt.date(2025, 1, 5)

@@ -67,10 +67,15 @@ def test_missing_column_error(spark, tmp_dir):
 
 
 def test_alias_only_when_target_absent(spark, tmp_dir):
-    from shelfcast.sources.contract import align_headers
+    from shelfcast.sources.contract import canonical_headers
 
     df = spark.createDataFrame([("a", "b")], "`Transaction ID` string, TransactionID string")
-    assert align_headers(df).columns == ["Transaction ID", "TransactionID"]
+    assert canonical_headers(df).columns == ["Transaction ID", "TransactionID"]
+    df = spark.createDataFrame([("a", "b")], "`Transaction ID` string, `payment method` string")
+    assert canonical_headers(df).columns == ["TransactionID", "Payment_Method"]
+    df = spark.createDataFrame([("a", "b")], "`Transaction ID` string, `Transaction_ID` string")
+    with pytest.raises(ValueError, match="both answer"):
+        canonical_headers(df)
 
 
 def test_cleaned_sink_roundtrip(spark, raw_csv, tmp_dir):

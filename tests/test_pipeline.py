@@ -41,6 +41,36 @@ HEADER = ["TransactionID", "Date", "Time", "ProductID", "ProductName", "Category
           "SellingPrice", "Quantity", "Total_LKR"]
 
 
+def test_job_reports_rejects_and_takes_formats(spark, tmp_dir):
+    from pyspark.sql import Observation
+
+    from shelfcast.plans.pipeline import ingest
+    from shelfcast.sources.sinks import write_cleaned
+
+    path = os.path.join(tmp_dir, "us.csv")
+    rows = [["1", "1/5/2025", "10:30", "P", "n", "c", "10", "5", "12", "1", "12"],
+            ["2", "2025-01-06", "10:30", "P", "n", "c", "10", "5", "x", "1", "12"],
+            ["3", "1/7/2025", "9.15", "P", "n", "c", "1e100", "5", "12", "1", "12"]]
+    with open(path, "w") as f:
+        f.write("\n".join(",".join(r) for r in [HEADER, *rows]))
+    seen = Observation("rejects")
+    cleaned = ingest(spark, path, None, date_formats=("M/d/yyyy",), time_formats=("H:mm", "H.mm"), rejects=seen)
+    assert write_cleaned(cleaned, os.path.join(tmp_dir, "cleaned")) == 1
+    assert {k: v for k, v in seen.get.items() if v} == {"sale_date": 1, "selling_price": 1, "unit_price": 1}
+
+
+def test_cleaned_files_in_total_order(spark, tmp_dir):
+    from shelfcast.sources import fixtures
+    from shelfcast.sources.sinks import write_cleaned
+
+    path = os.path.join(tmp_dir, "ordered")
+    tx = fixtures.transactions(spark, SF_SMALL)
+    assert write_cleaned(tx, path, total_order=True) == tx.count()
+    ends = spark.read.parquet(path).groupBy("sale_year", F.input_file_name()).agg(F.min("sale_date").alias("lo"), F.max("sale_date").alias("hi"))
+    spans = sorted((r.lo, r.hi) for r in ends.collect())
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_streaming_ingest(spark, tmp_dir):
     src = os.path.join(tmp_dir, "in")
     os.makedirs(src)

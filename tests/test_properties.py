@@ -83,10 +83,10 @@ def numpy_weighted(row, weights):
 def test_random_weighted_demand(spark, rows, raw_weights):
     from pyspark.sql import functions as F
 
-    from shelfcast.operators.ensemble import resolve_weights, to_demand, weighted_score
+    from shelfcast.operators.ensemble import blend_shares, to_demand, weighted_score
 
     names = ["xgb_regressor", "lgbm_regressor", "rf_regressor"]
-    weights = resolve_weights(names, dict(zip(["xgb", "lgbm", "rf"], raw_weights)))
+    weights = blend_shares(names, dict(zip(["xgb", "lgbm", "rf"], raw_weights)))
     df = spark.createDataFrame([tuple(map(float, r)) for r in rows], "a double, b double, c double")
     expr = weighted_score(dict(zip(names, (F.col("a"), F.col("b"), F.col("c")))), weights)
     got = [r[0] for r in df.select(to_demand(expr)).collect()]
