@@ -37,8 +37,10 @@ N_BEST = 4
 BLANK = "▁"
 #: Stands for a literal U+2581 while a text is searched. A lone surrogate occurs in no UTF-8 text and no piece.
 _LITERAL = "\udc81"
-#: Words in each half of the cache; the longest one that goes through the array pass; words of one pass.
-_CACHE_WORDS, _LONG_WORD, _TOGETHER = 360_000, 64, 20_000
+#: Words in each half of the cache, and the longest one kept: longer words are many and seldom come again.
+_CACHE_WORDS, _CACHE_CHARS = 150_000, 9
+#: The longest word that goes through the array pass, words of one pass, and unknown words looked up at once.
+_LONG_WORD, _TOGETHER, _UNKNOWN = 64, 4_000, 30_000
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -141,6 +143,7 @@ class Lattices:
         by_size: dict[int, list[str]] = {}
         for p in model.ids:
             by_size.setdefault(len(p), []).append(p)
+        self.same = [*range(max([0, *model.ids.values()]) + 1), -1]  # one object for each id, -1 the last
         self.tables = {}
         for size, own in by_size.items():
             hashes = self._points("".join(own)).reshape(-1, size)
@@ -230,7 +233,7 @@ class Lattices:
         owner, arc = (np.concatenate(c) for c in zip(*steps, strict=True))
         order = np.lexsort((step_of, owner))
         owner, arc = owner[order], arc[order]
-        flat = tuple(ids[arc].tolist())
+        flat = tuple(map(self.same.__getitem__, ids[arc].tolist()))
         ends = np.searchsorted(owner, np.arange(n + 1))
         paths = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         for k in np.unique(owner[ids[arc] < 0]).tolist():  # bytes for characters without a piece
@@ -281,9 +284,9 @@ class Encoder:
         for k in range(0, len(new), _TOGETHER):
             part = new[k:k + _TOGETHER]
             have.update(zip(part, self.lattices.best(part), strict=True))
-        if len(self.known) + len(have) > _CACHE_WORDS:
+        if len(self.known) > _CACHE_WORDS:
             self.older, self.known = self.known, {}
-        self.known.update((w, e) for w, e in have.items() if len(w) <= _LONG_WORD)
+        self.known.update((w, e) for w, e in have.items() if len(w) <= _CACHE_CHARS)
         return have
 
     def _further(self, word: str) -> list[float]:
@@ -302,7 +305,7 @@ class Encoder:
         at = 0
         while at < len(texts):
             part, missing = [], dict[str, None]()
-            while at < len(texts) and len(missing) < _CACHE_WORDS // 4:
+            while at < len(texts) and len(missing) < _UNKNOWN:
                 text = texts[at]
                 marked = BLANK + text.replace(BLANK, _LITERAL).replace(" ", BLANK) if text else ""
                 words = (self.split(marked) if self.by_words else [marked]) if text else []
