@@ -38,7 +38,7 @@ BLANK = "▁"
 #: Stands for a literal U+2581 while a text is searched. A lone surrogate occurs in no UTF-8 text and no piece.
 _LITERAL = "\udc81"
 #: Words in each half of the cache, and the longest one kept: longer words are many and seldom come again.
-_CACHE_WORDS, _CACHE_CHARS = 150_000, 9
+_CACHE_WORDS, _CACHE_CHARS = 200_000, 10
 #: The longest word that goes through the array pass, words of one pass, and unknown words looked up at once.
 _LONG_WORD, _TOGETHER, _UNKNOWN = 64, 4_000, 30_000
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -311,7 +311,7 @@ class Encoder:
                 words = (self.split(marked) if self.by_words else [marked]) if text else []
                 entries = list(map(self.known.get, words))
                 if None in entries:
-                    missing.update((w, None) for w, e in zip(words, entries, strict=True) if e is None)
+                    missing.update(dict.fromkeys([w for w, e in zip(words, entries, strict=True) if e is None]))
                 part.append((words, entries))
                 at += 1
             have = self._look_up(missing)
