@@ -227,7 +227,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, words: int = WORDS) ->
     """
     signed = written(signatures(docs, words), "signatures")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"))
+    # A table of its own, so that no join takes over the partitions of this sum, where all copies of a text meet.
+    classes = written(full.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "key1", "key2"), ["doc_id", "key1", "key2"], "left_semi").dropDuplicates(["doc_id"])
     reps = written(reps, "representatives")
     loose = written(_loose_groups(reps), "loose")
