@@ -200,7 +200,8 @@ def cuts(docs: DataFrame, top: DataFrame) -> DataFrame:
     ``heads``. For copies, which lose all, n_removed and removed are null.
     """
     wide = top.where((F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull())
-    least = wide.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"))
+    # A table of its own, so that the join can split the copies of a text over tasks.
+    least = written(wide.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")), "classes")
     ranked = wide.join(least, ["key1", "key2"])
     copies = ranked.where("doc_id > rep").select("doc_id", "text_hash").distinct()
     reps = ranked.where("doc_id = rep").select("doc_id", "text_hash").distinct()
