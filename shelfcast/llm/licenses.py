@@ -4,7 +4,9 @@ The automaton holds every run of consecutive words of every template. A text is
 streamed through it once: after each word it holds the longest run of template
 words that ends there. Long maximal runs are chained, in the order of text and
 template, into the template span that they cover; a template covered widely
-enough gives its label. Places of base phrases fall out of the same pass, since
+enough gives its label, if the span has the words that tell its licence from the
+nearest others and none of theirs, and no wider covered template claims the same
+words for another label. Places of base phrases fall out of the same pass, since
 a phrase ends wherever its state is a suffix of the state reached.
 """
 
@@ -31,16 +33,38 @@ NOTICES = (
             "and associated documentation files the software to deal in the software without restriction"),
     ("apache-2", "licensed under the apache license version 2 0 the license "
                  "you may not use this file except in compliance with the license"),
+    ("cc-by", "creative commons attribution 4 0 international license"),
     ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-nc-sa", "creative commons attribution noncommercial sharealike 4 0 international license"),
     ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("gpl-2", "this work is licensed under the gnu general public license version 2"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the "
             "gnu general public license as published by the free software foundation"),
     ("lgpl", "gnu lesser general public license"),
+    ("agpl", "gnu affero general public license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted "
             "provided that the following conditions are met"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
+_NC, _SA = ("noncommercial", "non commercial"), ("sharealike", "share alike")
+_ND = ("noderivatives", "noderivs", "no derivatives", "no derivs")
+_LESSER, _AFFERO = ("lesser", "library"), ("affero",)
+#: What tells a licence from its nearest: (needed, foreign), each of lists of spellings. A chain has one
+#: spelling of every needed list, up to a gap behind its end too, and none of a foreign list within.
+TELLING = {
+    "apache-2": ((("apache",), ("version 2", "v 2", "v2")), ()),
+    "cc-by": ((), (_NC, _SA, _ND)),
+    "cc-by-nc": ((_NC,), (_SA, _ND)),
+    "cc-by-nc-sa": ((_NC, _SA), (_ND,)),
+    "cc-by-sa": ((_SA,), (_NC, _ND)),
+    "gpl": ((("general public",),), (_LESSER, _AFFERO)),
+    "gpl-2": ((("version 2", "v 2", "v2"),), (_LESSER, _AFFERO)),
+    "gpl-3": ((("version 3", "v 3", "v3"),), (_LESSER, _AFFERO)),
+    "lgpl": ((_LESSER,), (_AFFERO,)),
+    "agpl": ((_AFFERO,), (_LESSER,)),
+    "mpl-2": ((("mozilla",), ("v 2", "v2", "version 2")), ()),
+}
 #: Bytes that are no part of a word become blanks; A-Z becomes a-z. Other bytes stay.
 _WORDS = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -56,14 +80,19 @@ class LicenseAutomaton:
 
     ``min_run``: words of a run that takes part in a chain (or the whole template,
     if shorter). ``cover``: share of a template's words that gives its label.
+    ``telling``: by label, what a chain must and must not have besides, see TELLING.
     """
 
     def __init__(self, phrases: Mapping[str, str] = PHRASES, notices: Sequence[tuple[str, str]] = NOTICES,
-                 min_run: int = 3, cover: float = 0.8):
+                 min_run: int = 3, cover: float = 0.8, telling: Mapping[str, tuple] = TELLING):
         self.min_run, self.cover = min_run, cover
         self.base_labels = list(phrases.values())
         tokens = [words(p.encode()) for p in phrases] + [words(t.encode()) for _, t in notices]
         self.labels = [*phrases.values(), *(label for label, _ in notices)]
+        self.telling = {
+            label: tuple([[b" %b " % b" ".join(words(x.encode())) for x in group] for group in side] for side in sides)
+            for label, sides in telling.items()
+        }
         self.ids: dict[bytes, int] = {}
         self.templates = [[self.ids.setdefault(w, len(self.ids)) for w in t] for t in tokens]
         self.next: list[dict[int, int]] = [{}]
@@ -155,24 +184,54 @@ class LicenseAutomaton:
             runs.append((before + 1, length, state))
         base = [(at, k) for at, k in hits if k < len(self.base_labels)]
         labels = {self.base_labels[k] for _, k in base}
-        best = {s[0]: s for s in self._chains(runs)}
-        best |= {k: (k, at, at + len(self.templates[k]), 1.0) for at, k in reversed(hits)}
-        spans = sorted(best.values(), key=lambda s: s[1:3])
-        score = max((s[3] for s in spans), default=0.0)
-        chosen = [(self.labels[k], a, b, c) for k, a, b, c in spans if c >= self.cover]
+        chains = self._chains(runs)
+        score = 1.0 if hits else max((c[3] for c in chains), default=0.0)
+        chosen = self._chosen(found, chains, hits) if score >= self.cover else []
         starts = [s for s, _ in base]
         return (len(found), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)),
                 ",".join(sorted(labels | {s[0] for s in chosen})), score, chosen)
 
-    def _chains(self, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """Best chain of each template: (template, first word, end word, share of its words covered).
+    def _gap(self, k: int) -> int:
+        """Words that may lie between two runs of a template's chain."""
+        return max(2, len(self.templates[k]) // 4)
 
-        Runs are in text order. A run continues a template's open chain when it
-        lies behind it in the text, by no more than the template's length, and
-        in the template; else it opens a new chain.
+    def _chosen(self, found: list[bytes], chains: list[tuple], hits: list[tuple[int, int]]) -> list[tuple[str, int, int, float]]:
+        """(label, first word, end word, share covered) of each template's best chain that stands.
+
+        Whole templates stand by themselves; other chains need the words that
+        tell their licence. Where chains share covered words under two labels, the
+        wider covered one stands, of equals the longer, then the earlier.
         """
+        able = [(k, at, at + (n := len(self.templates[k])), 1.0, ((at, at + n), None)) for at, k in hits]
+        able += [c for c in chains if c[3] >= self.cover and self._told(found, *c[:3])]
+        owner: dict[int, str] = {}
         best: dict[int, tuple[int, int, int, float]] = {}
-        open_: dict[int, tuple[int, int, int, int]] = {}  # template: text start, text end, template end, words
+        for k, first, end, share, pieces in sorted(able, key=lambda c: (-c[3], -c[3] * len(self.templates[c[0]]), *c[1:3], c[0])):
+            label, own = self.labels[k], []
+            while pieces:
+                own += range(*pieces[0])
+                pieces = pieces[1]
+            if all(owner.get(w, label) == label for w in own):
+                owner.update(dict.fromkeys(own, label))
+                best.setdefault(k, (k, first, end, share))
+        return [(self.labels[k], *span) for k, *span in sorted(best.values(), key=lambda s: s[1:3])]
+
+    def _told(self, found: list[bytes], k: int, first: int, end: int) -> bool:
+        """Whether the words of a chain tell its licence from the nearest others."""
+        needed, foreign = self.telling.get(self.labels[k], ((), ()))
+        inside, near = (b" %b " % b" ".join(found[first:e]) for e in (end, end + self._gap(k)))
+        return all(any(x in near for x in group) for group in needed) and not any(x in inside for group in foreign for x in group)
+
+    def _chains(self, runs: list[tuple[int, int, int]]) -> list[tuple]:
+        """All chains: (template, first word, end word, share of its words covered, covered words).
+
+        Runs are in text order. A run continues a template's open chain when it
+        lies behind it in the text, by no more than the template's gap, and
+        in the template; else it opens a new chain. Covered words are linked
+        (first, end) pairs, the last first.
+        """
+        done: dict[tuple[int, int], tuple] = {}
+        open_: dict[int, tuple] = {}  # template: text start, text end, template end, words, covered words
         for end, length, state in runs:
             places: dict[int, tuple[int, int]] = {}  # the longest suffix of the run in each template
             while state > 0:
@@ -181,21 +240,21 @@ class LicenseAutomaton:
                 state = self.link[state]
                 length = self.size[state]
             for k, (at, run) in places.items():
-                n = len(self.templates[k])
+                n, gap = len(self.templates[k]), self._gap(k)
                 if run < min(self.min_run, n):
                     continue
                 start, t0 = end - run, at - run
                 was = open_.get(k)
-                if was and was[2] <= t0 and was[1] <= start <= was[1] + n:
-                    chain = (was[0], end, at, was[3] + run)
-                elif was and was[2] < at and was[1] < end and start < was[1] + n and at - was[2] <= end - was[1]:
-                    chain = (was[0], end, at, was[3] + at - was[2])  # overlapping runs count once
+                if was and was[2] <= t0 and was[1] <= start <= was[1] + gap:
+                    chain = (was[0], end, at, was[3] + run, ((start, end), was[4]))
+                elif was and was[2] < at and was[1] < end and at - was[2] <= end - was[1] <= at - was[2] + gap:
+                    fresh = at - was[2]  # overlapping runs count once
+                    chain = (was[0], end, at, was[3] + fresh, ((end - fresh, end), was[4]))
                 else:
-                    chain = (start, end, at, run)
+                    chain = (start, end, at, run, ((start, end), None))
                 open_[k] = chain
-                if k not in best or chain[3] / n > best[k][3]:
-                    best[k] = (k, chain[0], chain[1], chain[3] / n)
-        return list(best.values())
+                done[k, chain[0]] = (k, chain[0], end, chain[3] / n, chain[4])
+        return list(done.values())
 
 
 SCHEMA = T.StructType([
@@ -223,7 +282,8 @@ def scan_licenses(docs: DataFrame, automaton: LicenseAutomaton | None = None) ->
     Null and empty texts have no words: counts 0, places null, labels empty,
     score 0, no spans. Repeated rows give repeated results; columns other than
     doc_id and text take no part. ``score`` is the widest cover of any template,
-    1 when a phrase occurs.
+    1 when a phrase occurs; a wide cover without the words that tell the licence
+    gives a score and no label.
     """
     auto = automaton or LicenseAutomaton()
 

@@ -98,6 +98,35 @@ def test_notices_are_found_with_gaps_and_not_by_fragments():
     assert auto.scan(b"licensed under the terms of use")[5] == ""
 
 
+@pytest.mark.parametrize(("text", "labels"), [
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+    ("This work is licensed under a Creative Commons Attribution-Non-Commercial 4.0 International License.", "cc-by-nc"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", ""),
+    ("This work is licensed under the GNU General Public License version 2.", "gpl-2"),
+    ("This work is licensed under the GNU General Public License version 3.", "gpl-3"),
+    ("This work is licensed under a GNU General Public License version 3.", "gpl-3"),
+    ("This work is licensed under the GNU General Public License version 1.", ""),
+    ("This work is licensed under the GNU Lesser General Public License version 3.", "lgpl"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+     "General Public License as published by the Free Software Foundation", "lgpl"),
+    ("Licensed under the Apache License, Version 1.1 (the License); you may not use this file except in compliance with the License", ""),
+    ("This work is licensed under the GNU General Public License version 2. This work is licensed under the GNU "
+     "General Public License version 3.", "gpl-2,gpl-3"),
+    ("This work is licensed under the GNU Lesser General Public License version 3. This work is licensed under the GNU "
+     "General Public License version 3.", "gpl-3,lgpl"),
+])
+def test_near_licences_are_told_apart(text, labels):
+    assert licenses.LicenseAutomaton().scan(f"x y {text} z".encode())[5] == labels
+
+
+def test_far_runs_are_no_chain():
+    text = "this work is licensed under the gnu" + " x" * 6 + " general public license version 3"
+    assert licenses.LicenseAutomaton().scan(text.encode())[5] == ""
+
+
 def test_matching_statistics_equal_brute_force():
     """The automaton knows exactly the runs of consecutive template words."""
     auto = licenses.LicenseAutomaton({"a b a b c": "x", "b c a": "y"}, (("z", "c a b"),))
