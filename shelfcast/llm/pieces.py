@@ -10,7 +10,8 @@ apart into those of its words, exactly, and words recur. Words not in a bounded
 are run through the Viterbi recursion together, many words in one array pass,
 forward and backward: that gives a word's best path, and what its second best
 path costs. Only the n - 1 words of a text whose second paths cost least can
-change its n best paths; those are searched by A*.
+change its n best paths; those are searched by A*. The second to nth path of a text
+are given as what they put in place of runs of the best path's ids.
 
 Blanks are written as U+2581 and one is put before the text, as the model's own
 tokenizer does. Characters without a piece, and U+2581 itself, are written as byte
@@ -41,6 +42,8 @@ _LITERAL = "\udc81"
 _CACHE_WORDS, _CACHE_CHARS = 150_000, 9
 #: The longest word that goes through the array pass, words of one pass, and unknown words looked up at once.
 _LONG_WORD, _TOGETHER, _UNKNOWN = 64, 4_000, 30_000
+#: What a further path has in place of the best path's ids from one place up to another: (place, end, ids).
+Change = tuple[int, int, tuple[int, ...]]
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -256,7 +259,7 @@ class Encoder:
         self.model, self.n, self.lattices = model, n, Lattices(model)
         self.known: dict[str, tuple[float, tuple[int, ...], float]] = {}
         self.older: dict[str, tuple[float, tuple[int, ...], float]] = {}
-        self.costs: dict[str, list[float]] = {}
+        self.others: dict[str, list[tuple[float, tuple[int, ...] | None]]] = {}
         self.names = {i: p.replace(BLANK, " ").encode() for p, i in model.ids.items()} | {
             i: bytes([b]) for b, i in model.byte_ids.items()
         }
@@ -289,19 +292,25 @@ class Encoder:
         self.known.update((w, e) for w, e in have.items() if len(w) <= _CACHE_CHARS)
         return have
 
-    def _further(self, word: str) -> list[float]:
-        """What the ``n`` best paths of a word cost beyond the best one, by A*."""
-        costs = self.costs.get(word)
-        if costs is None:
-            paths = self.model.n_best(word, self.n)
-            costs = [max(0.0, paths[0][0] - s) for s, _ in paths]
-            if len(self.costs) >= _CACHE_WORDS:
-                self.costs.clear()
-            self.costs[word] = costs
-        return costs
-
-    def encode_many(self, texts: Sequence[str]) -> Iterator[tuple[list[int], list[float]]]:
-        """Of each text: ids of the best path, scores of the ``n`` best paths. An empty text has one empty path."""
+    def _further(self, word: str, own: tuple[int, ...]) -> list[tuple[float, tuple[int, ...] | None]]:
+        """(cost beyond the best path, ids) of the ``n`` best paths of a word, by A*; None stands for its best path, ``own``."""
+        paths = self.others.get(word)
+        if paths is None:
+            found = self.model.n_best(word, self.n)
+            other = [(max(0.0, found[0][0] - s), ids) for s, ids in ((s, tuple(ids)) for s, ids in found) if ids != own]
+            # Of many equal paths, own may be none of those found.
+            paths = [(0.0, None), *other][: len(found)]
+            if len(word) <= _LONG_WORD:
+                if len(self.others) >= _CACHE_WORDS:
+                    self.others.clear()
+                self.others[word] = paths
+        return paths
+
+    def encode_many(self, texts: Sequence[str]) -> Iterator[tuple[list[int], list[float], list[list[Change]]]]:
+        """Of each text: ids of the best path, scores of the ``n`` best paths, changes to the best path that make each further one.
+
+        An empty text has one empty path. Changes of a path ascend and do not overlap.
+        """
         at = 0
         while at < len(texts):
             part, missing = [], dict[str, None]()
@@ -320,34 +329,58 @@ class Encoder:
                     entries = [have[w] if e is None else e for w, e in zip(words, entries, strict=True)]
                 yield self._join(words, entries)
 
-    def _join(self, words: list[str], entries: list[tuple[float, tuple[int, ...], float]]) -> tuple[list[int], list[float]]:
+    def _join(self, words: list[str], entries: list[tuple[float, tuple[int, ...], float]]) -> tuple[list[int], list[float], list[list[Change]]]:
         ids: list[int] = []
         score, worst, near = 0.0, math.inf, []
         for k, (value, own, gap) in enumerate(entries):
-            ids += own
-            score += value
             if gap < worst:
-                insort(near, (gap, k))
+                insort(near, (gap, k, len(ids)))
                 if len(near) >= self.n:
                     near.pop()
                 if len(near) == self.n - 1:
                     worst = near[-1][0]
-        costs = [0.0]
-        for _, k in near:
-            costs = cheapest(costs, self._further(words[k]), self.n)
-        return ids, [score - c for c in costs]
+            ids += own
+            score += value
+        paths: list[tuple[float, tuple[Change, ...]]] = [(0.0, ())]
+        for _, k, at in near:
+            own = entries[k][1]
+            end = at + len(own)
+            paths = cheapest(paths, [(c, other and (at, end, other)) for c, other in self._further(words[k], own)], self.n)
+        return ids, [score - c for c, _ in paths], [sorted(changes) for _, changes in paths[1:]]
 
     def encode(self, text: str) -> tuple[list[int], list[float]]:
-        return next(self.encode_many([text]))
+        return next(self.encode_many([text]))[:2]
+
+    def n_best(self, text: str) -> list[tuple[float, list[int]]]:
+        """(score, ids) of the ``n`` best segmentations of a text, best first; fewer, if there are fewer."""
+        ids, scores, further = next(self.encode_many([text]))
+        return list(zip(scores, segmentations(ids, further), strict=True))
+
+    def same_text(self, ids: Sequence[int], further: Iterable[Iterable[Change]]) -> bool:
+        """Whether all further paths decode to the bytes that the best one decodes to."""
+        raw = lambda part: b"".join(map(self.names.__getitem__, part))
+        return all(raw(ids[at:end]) == raw(other) for changes in further for at, end, other in changes)
 
     def decode(self, ids: Sequence[int]) -> str:
         raw = b"".join(itemgetter(*ids)(self.names)) if len(ids) > 1 else b"".join(self.names[i] for i in ids)
         return (raw[1:] if raw[:1] == b" " else raw).decode()
 
 
-def cheapest(a: Sequence[float], b: Sequence[float], n: int) -> list[float]:
-    """The ``n`` smallest sums of one cost of each; both ascend and begin with 0."""
-    return sorted(x + y for i, x in enumerate(a) for y in b[: n // (i + 1) or 1])[:n]
+def cheapest(a: Sequence[tuple], b: Sequence[tuple], n: int) -> list[tuple[float, tuple[Change, ...]]]:
+    """The ``n`` cheapest pairs of a path of each, as (cost, changes); both ascend and begin with (0, no change)."""
+    pairs = [(x + y, own if change is None else (*own, change)) for i, (x, own) in enumerate(a) for y, change in b[: n // (i + 1) or 1]]
+    return sorted(pairs, key=itemgetter(0))[:n]
+
+
+def segmentations(ids: Sequence[int], further: Iterable[Iterable[Change]]) -> list[list[int]]:
+    """Ids of all paths, from those of the best and the changes that make the further ones (rows of ``further_paths`` will do)."""
+    out = [list(ids)]
+    for changes in further:
+        path = list(ids)
+        for at, end, other in reversed(list(changes)):
+            path[at:end] = other
+        out.append(path)
+    return out
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -364,16 +397,22 @@ def encoder(model: PieceModel, n: int) -> Encoder:
 
 SCHEMA = [
     T.StructField("n_pieces", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("n_best_scores", T.ArrayType(T.DoubleType())),
-    T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType()),
+    T.StructField("piece_ids", T.ArrayType(T.IntegerType())),
+    T.StructField("further_paths", T.ArrayType(T.ArrayType(T.StructType([
+        T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
+    ])))),
+    T.StructField("round_trip", T.BooleanType()),
 ]
 
 
 def encode_documents(docs: DataFrame, model_path: str = MODEL, n: int = N_BEST) -> DataFrame:
-    """One row per document: doc_id, n_pieces, score, n_best_scores, piece_ids, round_trip.
+    """One row per document: doc_id, n_pieces, score, n_best_scores, piece_ids, further_paths, round_trip.
 
     ``score`` is that of the best segmentation, whose ids are ``piece_ids``;
     ``n_best_scores`` has the scores of the ``n`` best (fewer, if there are fewer).
-    ``round_trip`` says whether the ids decode to the text. Null and empty texts
+    ``further_paths`` has the second to the last of them, each as the ids that take the
+    place of ``piece_ids`` from ``first`` up to ``end``; ``segmentations`` writes them out.
+    ``round_trip`` says whether the ids of every path decode to the text. Null and empty texts
     have no pieces, score 0 and one empty path. Repeated rows give repeated
     results; columns other than doc_id and text take no part.
     """
@@ -381,21 +420,38 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL, n: int = N_BEST)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder = encoder(shared.value, n)
-        ids, scores, same = [], [], []
+        ids, scores, same, further = [], [], [], []
         texts = [raw.decode() for raw in utf8(batch.column("text"))]
-        for text, (own, best) in zip(texts, coder.encode_many(texts), strict=True):
+        for text, (own, best, others) in zip(texts, coder.encode_many(texts), strict=True):
             ids.append(np.array(own, np.int32))
             scores.append(best)
-            same.append(coder.decode(own) == text)
-        ends = np.concatenate(([0], np.cumsum([len(i) for i in ids])))
+            further.append(others)
+            same.append(coder.decode(own) == text and coder.same_text(own, others))
+        paths = [changes for others in further for changes in others]
+        changes = [c for path in paths for c in path]
+        replaced = [np.array(c[2], np.int32) for c in changes]
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array([s[0] for s in scores], pa.float64()),
-             pa.array(scores, pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids))),
+             pa.array(scores, pa.list_(pa.float64())), _lists(ids, pa.array(_flat(ids))),
+             _lists(further, _lists(paths, pa.StructArray.from_arrays(
+                 [pa.array([c[0] for c in changes], pa.int32()), pa.array([c[1] for c in changes], pa.int32()),
+                  _lists(replaced, pa.array(_flat(replaced)))], names=["first", "end", "ids"]))),
              pa.array(same)], names=["doc_id", *(f.name for f in SCHEMA)],
         )
 
     return map_batches(docs.select("doc_id", "text"), run, T.StructType([docs.schema["doc_id"], *SCHEMA]))
 
 
+def _flat(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int32), *arrays])
+
+
+def _lists(parts: Sequence, values: pa.Array) -> pa.ListArray:
+    """Lists as long as ``parts`` of the values, one after another."""
+    ends = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(p) for p in parts], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), values)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -292,6 +292,37 @@ def test_n_best_equals_all_paths(model, text):
     assert coder.decode(ids) == text
 
 
+@pytest.mark.parametrize("text", ["hello", "ab", "a cat", "über 1", "a▁b", "日本", "  x", "aaaaa", " ", "\U0001f600!", ""])
+def test_n_best_segmentations_are_the_best_paths(model, text):
+    coder = pieces.Encoder(model, 6)
+    got = coder.n_best(text)
+    marked = pieces.BLANK + text.replace(pieces.BLANK, pieces._LITERAL).replace(" ", pieces.BLANK) if text else ""
+    paths = {tuple(ids): s for s, ids in every_path(model, marked)}
+    assert [s for s, _ in got] == pytest.approx(sorted(paths.values(), reverse=True)[:6])
+    assert len({tuple(ids) for _, ids in got}) == len(got)
+    assert all(paths[tuple(ids)] == pytest.approx(s) and coder.decode(ids) == text for s, ids in got)
+
+
+def test_tied_segmentations_are_all_different():
+    flat = pieces.PieceModel([("a", -1.0), ("aa", -2.0), ("aaa", -3.0), (pieces.BLANK, -1.0)], {b: 10 + b for b in range(256)})
+    for text in ("aaa", "aaa aaa aa", "a a a", "a" * 300):
+        got = pieces.Encoder(flat, 4).n_best(text)
+        assert len({tuple(ids) for _, ids in got}) == len(got) == (1 if text == "a a a" else 4)
+        assert all(pieces.Encoder(flat, 4).decode(ids) == text for _, ids in got)
+
+
+def test_documents_have_all_their_segmentations(spark, model):
+    docs = documents(spark, EDGE)
+    coder = pieces.Encoder(model)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in pieces.encode_documents(docs).collect():
+        paths = pieces.segmentations(r.piece_ids, r.further_paths)
+        assert len({tuple(p) for p in paths}) == len(paths) == len(r.n_best_scores)
+        assert all(coder.decode(p) == texts[r.doc_id] for p in paths)
+        assert paths == [ids for _, ids in coder.n_best(texts[r.doc_id])]
+    assert not coder.same_text([model.ids["a"]], [[(0, 1, (model.ids["b"],))]])
+
+
 def test_ties_and_long_chunks_stay_cheap():
     flat = pieces.PieceModel([("a", -1.0), ("aa", -2.0), ("aaa", -3.0), (pieces.BLANK, -1.0)], {b: 10 + b for b in range(256)})
     coder = pieces.Encoder(flat, 4)
