@@ -36,23 +36,23 @@ REGRESSOR_SLOTS = ("xgb_regressor", "lgbm_regressor", "rf_regressor")
 
 @dataclass(frozen=True)
 class TwoStageConfig:
-    """Model sizes, one set for everyone: catalogue queries and jobs use the defaults.
+    """Model sizes, one set for everyone: catalogue queries and jobs use the defaults, the reference's sizes.
 
-    MLlib grows a tree level by level, a job each, so rounds are few and steps
-    long: 20 rounds of a classifier at 0.3, 30 rounds at 0.1 of two L1 regressors of
-    depth 6 and 5 with 0.9 row and feature sampling, a forest of 30 trees of depth 8."""
+    300 rounds of a classifier at 0.05, 1000 rounds at 0.03 of two L1 regressors of
+    depth 8 and 6 with 0.9 row and feature sampling, a forest of 100 trees of depth 10.
+    MLlib grows a tree level by level, a job each, so a fit takes long (README)."""
 
-    classifier_iters: int = 20
-    classifier_step: float = 0.3
+    classifier_iters: int = 300
+    classifier_step: float = 0.05
     classifier_depth: int = 5
-    regressor_iters: int = 30
-    regressor_step: float = 0.1
-    regressor_a_depth: int = 6
-    regressor_b_depth: int = 5
+    regressor_iters: int = 1000
+    regressor_step: float = 0.03
+    regressor_a_depth: int = 8
+    regressor_b_depth: int = 6
     subsample: float = 0.9
     feature_fraction: str = "0.9"
-    forest_trees: int = 30
-    forest_depth: int = 8
+    forest_trees: int = 100
+    forest_depth: int = 10
     max_bins: int = 32
     checkpoint_interval: int = 10
     # Node-id caching pays off for deep trees over many rows (checkpointed with the

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import os
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from shelfcast.operators import features as fe
 from shelfcast.operators.dataset import feature_columns, time_split
 from shelfcast.operators.modeling import TwoStageConfig, predict_two_stage, train_two_stage
-from shelfcast.operators.scoring import forecast_latest
+from shelfcast.operators.scoring import forecast_latest, train_request_model
 from shelfcast.sources import fixtures
 from shelfcast.sources.model_store import load_bundle, save_bundle
 from tests.conftest import SF_CHECK, SF_SMALL
@@ -19,6 +20,15 @@ CFG = TwoStageConfig(classifier_iters=3, regressor_iters=4, forest_trees=4, regr
                      regressor_b_depth=3, forest_depth=4)
 
 
+def test_defaults_are_the_reference_sizes():
+    cfg = TwoStageConfig()
+    assert (cfg.classifier_iters, cfg.classifier_step) == (300, 0.05)
+    assert (cfg.regressor_iters, cfg.regressor_step, cfg.regressor_a_depth, cfg.regressor_b_depth) == (1000, 0.03, 8, 6)
+    assert (cfg.forest_trees, cfg.forest_depth) == (100, 10)
+    request = {k: p.default for k, p in inspect.signature(train_request_model).parameters.items()}
+    assert (request["iters"], request["depth"], request["step"]) == (1000, 8, 0.03)
+
+
 @pytest.fixture(scope="module")
 def weekly(spark):
     feats = fe.build_features(fixtures.transactions(spark, SF_SMALL), fe.WEEKLY, narrow=False, fill=True)
