@@ -14,7 +14,9 @@ template of their URL:
    without labels has a share of one half and passes.
 
 Pages are counted by host and shape before anything else is done, so the tree
-is built on counts. Only the verdicts come back to the pages, by host and shape.
+is built on counts. A level's segments and branches are grouped sums, joined back to the
+shapes, so no task must hold all shapes of a host; the shapes are written after each
+level. Only the verdicts come back to the pages, by host and shape.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: (rule, verdict). A rule is a host and the beginning of a path; the longest that fits wins.
 RULES = (
     ("com/", "allow"),
@@ -64,14 +68,17 @@ def path_shape(path: Column) -> Column:
 
 def templates(shapes: DataFrame) -> DataFrame:
     """host, shape and ``rejected``, from the counts (host, shape, n, labelled, blocked)."""
-    out = shapes.withColumn("prefix", F.lit(""))
+    out = written(shapes.withColumn("prefix", F.lit("")), "shapes")
+    columns = out.columns
     for level in range(DEPTH + 1):
-        here = F.get("shape", F.lit(level))
-        branch = Window.partitionBy("host", "prefix")
-        value = Window.partitionBy("host", "prefix", here)
-        common = F.sum("n").over(value) >= F.lit(MIN_SHARE) * F.sum("n").over(branch)
-        step = F.when(here.isNull(), "").otherwise(F.concat(F.lit("/"), F.when(common, here).otherwise("*")))
-        out = out.withColumn("_step", step).withColumn("prefix", F.concat("prefix", "_step"))
+        out = out.withColumn("_here", F.get("shape", F.lit(level)))
+        segments = out.groupBy("host", "prefix", "_here").agg(F.sum("n").alias("_n"))
+        branches = segments.groupBy("host", "prefix").agg(F.sum("_n").alias("_all"))
+        literal = segments.join(branches, ["host", "prefix"]).where(F.col("_n") >= F.lit(MIN_SHARE) * F.col("_all"))
+        literal = literal.select("host", "prefix", "_here", F.lit(True).alias("_common"))
+        step = F.when(F.col("_here").isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("_common"), F.col("_here")).otherwise("*")))
+        out = out.join(literal, ["host", "prefix", "_here"], "left").withColumn("prefix", F.concat("prefix", step))
+        out = written(out.select(columns), f"shapes-{level}")
     out = out.withColumn("parent", F.regexp_replace("prefix", "/[^/]*$", ""))
     leaves = out.groupBy("host", "parent", "prefix").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     share = (F.col("blocked") + 1) / (F.col("labelled") + 2)

@@ -68,6 +68,23 @@ def test_rare_segments_become_wildcards_and_siblings_merge(spark):
     assert (got["v", "a"], got["v", "b"], got["v", "c"]) == (False, False, True)
 
 
+def test_levels_of_a_hot_host_need_no_window(spark, monkeypatch):
+    """A host with thousands of shapes: rows as the oracle's, and no level sorts all its shapes in one task."""
+    rows = [(k, f"http://hot.net/{'es' if k % 3 else 'de'}/slug-{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100 % 10]}/x", "") for k in range(1000)]
+    rows += [(2000 + k, f"http://hot.net/{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}", "") for k in range(100)]
+    df, plans = pages(spark, rows), []
+    save = url_templates.written
+
+    def watched(table, what):
+        plans.append(table._jdf.queryExecution().executedPlan().toString())
+        return save(table, what)
+
+    monkeypatch.setattr(url_templates, "written", watched)
+    got = sorted(map(tuple, url_templates.judge(df).collect()))
+    assert len(plans) == url_templates.DEPTH + 2 and not any("Window" in p for p in plans)
+    assert got == sorted(oracle(url_templates.ORACLE_SQL, pages=df.select("page_id", "url").toPandas()))
+
+
 def test_no_python_on_the_main_path(spark):
     plan = url_templates.query(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
