@@ -177,6 +177,8 @@ def fold(doc_id: Column) -> Column:
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS) -> DataFrame:
     """(doc_id, text, toxic, weight) of at most ``per_class`` labelled rows of each class outside the held-out fold.
 
+    Ids are taken in the order of a seeded hash; one whose texts would bring the total above
+    ``TRAIN_BYTES`` is left out. Only ids and lengths reach the driver for that.
     ``weight`` restores the classes' shares among all labelled rows of the other folds.
     """
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(
@@ -187,7 +189,23 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_D
     picked = rows.where("toxic = 1").orderBy(*order).limit(per_class).unionByName(
         rows.where("toxic = 0").orderBy(*order).limit(per_class)
     )
-    weight = F.create_map(*[F.lit(x) for k in (0, 1) for x in (k, max(1.0, sizes.get(k, 0) / per_class))])[F.col("toxic")]
+    length = F.octet_length(F.coalesce("text", F.lit("")))
+    lengths = docs.select("doc_id", length.alias("size")).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(
+        F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic"))
+    size, found, kept, left_out = 0, [0, 0], [0, 0], []
+    for r in lengths.orderBy(*order[:2]).collect():
+        fits = size + r["size"] <= TRAIN_BYTES
+        if fits:
+            size += r["size"]
+        else:
+            left_out.append(r["doc_id"])
+        for k, n in enumerate((r["n"] - r["toxic"], r["toxic"])):
+            found[k] += n
+            kept[k] += n * fits
+    if left_out:
+        picked = picked.where(~F.col("doc_id").isin(left_out))
+    shares = [max(1.0, sizes.get(k, 0) / per_class) * (found[k] / kept[k] if kept[k] else 1.0) for k in (0, 1)]
+    weight = F.create_map(*[F.lit(x) for k in (0, 1) for x in (k, shares[k])])[F.col("toxic")]
     return docs.select("doc_id", "text").join(F.broadcast(picked.withColumn("weight", weight)), "doc_id")
 
 
@@ -195,13 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Train on the bounded sample; rows in the order of (doc_id, text), so that reruns agree."""
     rows = sorted((r["doc_id"], (r["text"] or "").encode(), r["toxic"], r["weight"])
                   for r in training_sample(docs, labels).toLocalIterator())
-    kept, size = [], 0
-    for _, text, toxic, weight in rows:
-        if size + len(text) <= TRAIN_BYTES:
-            size += len(text)
-            kept.append((text, toxic, weight))
-    mean = sum(w for *_, w in kept) / len(kept) if kept else 1.0
-    return train([t for t, *_ in kept], [y for _, y, _ in kept], [w / mean for *_, w in kept])
+    mean = sum(w for *_, w in rows) / len(rows) if rows else 1.0
+    return train([t for _, t, *_ in rows], [y for *_, y, _ in rows], [w / mean for *_, w in rows])
 
 
 def _with_score(df: DataFrame, model: ToxicityModel, name: str) -> DataFrame:

@@ -53,6 +53,21 @@ def test_folds_follow_crc32(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
 
 
+def test_sample_is_bounded_by_bytes_before_it_is_collected(spark, monkeypatch):
+    """Long toxic texts are left out, by no order of ids, and the classes keep their shares."""
+    texts = [("t " * 500 if k % 2 else "c " * 5) for k in range(200)] + ["long " * 4000] * 2
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(r.doc_id, 1, int(len(r.text) > 10)) for r in docs.collect()], "doc_id long, quality int, toxic int")
+    whole = toxicity.training_sample(docs, labels).collect()
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 20_000)
+    rows = toxicity.training_sample(docs, labels).collect()
+    assert sum(len(r.text) for r in rows) <= 20_000 < sum(len(r.text) for r in whole)
+    for k in (0, 1):
+        assert sum(r.weight for r in rows if r.toxic == k) == pytest.approx(sum(r.weight for r in whole if r.toxic == k))
+    ids = sorted(r.doc_id for r in rows if r.toxic)
+    assert 0 < len(ids) and ids != sorted(r.doc_id for r in whole if r.toxic)[:len(ids)]
+
+
 def test_toxicity_edges(spark):
     docs = documents(spark, EDGE)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
