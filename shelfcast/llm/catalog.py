@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, neardup, phrases, pieces, search, substrings, toxicity, url_templates, warc
+from . import collocations, licenses, mixing, neardup, negatives, phrases, pieces, search, substrings, toxicity, url_templates, warc
 
 QUERIES = {
     "op1_dual_cover_tree": search.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op6_minmax_neardup": neardup.query,
     "op8_source_mix": mixing.query,
     "op9_license_scan": licenses.query,
+    "op11_collocations": collocations.query,
+    "op13_hard_negatives": negatives.query,
 }
 #: DuckDB statements of the queries that SQL can state in full.
 ORACLE: dict[str, str] = {
@@ -23,4 +25,6 @@ ORACLE: dict[str, str] = {
     "op4_path_templates": url_templates.ORACLE_SQL,
     "op6_minmax_neardup": neardup.ORACLE_SQL,
     "op7_capture_index": warc.ORACLE_SQL,
+    "op11_collocations": collocations.ORACLE_SQL,
+    "op13_hard_negatives": negatives.ORACLE_SQL,
 }
