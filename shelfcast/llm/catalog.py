@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, licenses, mixing, neardup, negatives, phrases, pieces, search, substrings, toxicity, url_templates, warc
+from . import collocations, licenses, mixing, neardup, negatives, ngram_join, phrases, pieces, search, substrings, toxicity, url_templates, warc
 
 QUERIES = {
     "op1_dual_cover_tree": search.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_source_mix": mixing.query,
     "op9_license_scan": licenses.query,
     "op11_collocations": collocations.query,
+    "op12_signature_tree_join": ngram_join.query,
     "op13_hard_negatives": negatives.query,
 }
 #: DuckDB statements of the queries that SQL can state in full.
@@ -26,5 +27,6 @@ ORACLE: dict[str, str] = {
     "op6_minmax_neardup": neardup.ORACLE_SQL,
     "op7_capture_index": warc.ORACLE_SQL,
     "op11_collocations": collocations.ORACLE_SQL,
+    "op12_signature_tree_join": ngram_join.ORACLE_SQL,
     "op13_hard_negatives": negatives.ORACLE_SQL,
 }

@@ -37,11 +37,21 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends there and lost executors cost nothing."""
+def stored(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared folder, and where it is: lineage ends there and lost executors cost nothing."""
     path = fresh_path(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    return stored(df, what)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table that no plan reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def free_name(df: DataFrame, wish: str) -> str:

@@ -8,31 +8,26 @@ pair meets in none of the 40 bands with a chance below 1e-10 (0.8: 1.3e-7).
 1. Documents with equal shingle sets form one class; only its smallest id goes on.
 2. Band buckets link their members to the bucket's smallest id: loose groups,
    which contain every link.
-3. Within a loose group all full shingle sets are compared exactly, in blocks of
-   ``BLOCK`` documents in order of set size; a pair of blocks whose sizes cannot
-   reach the threshold is left out. A task holds two blocks. It returns a
-   spanning forest of its links, not all pairs.
-4. Connected components of the forests by alternating star contraction.
+3. Within a loose group full shingle sets are compared exactly: first all with a few
+   leaders, then what these have not joined, in pairs of blocks (:mod:`links`).
+4. Connected components of the links by alternating star contraction.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Rolling, WordHashes, map_batches, mix64, utf8, written
+from .links import Forest, components, linked_components
 
 WORDS = 5
 PERMUTATIONS, BAND = 100, 5
 BANDS = 2 * PERMUTATIONS // BAND
-BLOCK = 128
 
 _FACTORS = mix64(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _SPLIT = 1 << 14  # shingles of one array pass
@@ -97,8 +92,8 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, SIGNATURES)
 
 
-def linked(sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with 100 * intersection >= threshold * union.
+def linked(sets: list[np.ndarray], threshold: int, across: int = 0) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs with 100 * intersection >= threshold * union; with ``across``, of the first so many sets with the others only.
 
     Intersections of all pairs are counted at once over the shingles that at
     least two sets hold. Shingles held by the same sets count as one with a weight.
@@ -122,45 +117,20 @@ def linked(sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
         m[row[part], column[part] - lo] = 1
         common += m @ m.T
     common = np.rint(common).astype(np.int64)
-    hit = np.argwhere(np.triu(100 * common >= threshold * (size[:, None] + size - common), 1))
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    forest = []
-    for a, b in hit.tolist():
-        x, y = root(a), root(b)
-        if x != y:
-            parent[x] = y
-            forest.append((a, b))
-    return forest
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable over ``edges`` (u, v), for every node of an edge.
-
-    Alternates two contractions, each a join of edges with the smallest
-    neighbour of a node, until every edge leads from a node to its root.
-    """
-    now = written(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
-    )
-    mark = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = seen
+    hit = np.triu(100 * common >= threshold * (size[:, None] + size - common), 1)
+    if across:
+        hit[:across, :across] = hit[across:, across:] = False
+    hit = np.argwhere(hit)
+    forest = Forest(n)
+    return [(a, b) for a, b in hit.tolist() if forest.join(a, b)]
+
+
+def linked_sets(sets: list[np.ndarray], others: list[np.ndarray] | None, threshold: int) -> list[tuple[int, int]]:
+    """The same within one list, or between two."""
+    if others is None:
+        return linked(sets, threshold)
+    n = len(sets)
+    return [(a, b - n) for a, b in linked([*sets, *others], threshold, n)]
 
 
 def _loose_groups(signed: DataFrame) -> DataFrame:
@@ -170,51 +140,6 @@ def _loose_groups(signed: DataFrame) -> DataFrame:
     return components(bands.join(low, "band").select(F.col("doc_id").alias("u"), "v"))
 
 
-def _forests(docs: DataFrame, members: DataFrame, threshold: int, words: int) -> DataFrame:
-    """Links (u, v) within loose groups, a spanning forest for each pair of blocks."""
-    # Blocks by set size, then id. The order within a group comes from counts per size, so that
-    # no window has to see a whole group: a slice is the documents of one size, cut by a hash.
-    per = members.groupBy("root", "n_shingles").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("root").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("n").over(Window.partitionBy("root"))
-    first = F.floor(F.coalesce(before, F.lit(0)) / BLOCK)
-    last = F.floor((F.coalesce(before, F.lit(0)) + F.col("n") - 1) / BLOCK)
-    placed = per.select("root", "n_shingles", first.alias("_first"), last.alias("_last"), F.ceil(total / BLOCK).alias("_blocks"))
-    block = F.col("_first") + F.pmod(F.xxhash64("doc_id"), F.col("_last") - F.col("_first") + 1)
-    blocked = written(members.join(placed, ["root", "n_shingles"]).select("doc_id", "root", "n_shingles", block.alias("block")), "blocks")
-    span = blocked.groupBy("root", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    a, b = span.alias("a"), span.alias("b")
-    # Pairs of blocks, not of documents: a group of g documents has g / BLOCK of them.
-    near = a.join(b, F.col("a.root") == F.col("b.root")).where(
-        (F.col("a.block") <= F.col("b.block")) & (F.col("b.low") * threshold <= F.col("a.high") * 100)
-        & (F.col("a.low") * threshold <= F.col("b.high") * 100)
-    ).select(F.col("a.root").alias("root"), F.col("a.block").alias("i"), F.col("b.block").alias("j"))
-    tasks = near.select("root", "i", "j", F.col("i").alias("block")).unionByName(
-        near.where("i < j").select("root", "i", "j", F.col("j").alias("block"))
-    ).groupBy("root", "block").agg(F.collect_list(F.struct("i", "j")).alias("pairs"))
-    wanted = blocked.join(tasks, ["root", "block"]).select("doc_id", "root", "pairs")
-    shingler = Shingler(words)
-
-    def to_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingler(t).tobytes() for t in utf8(batch.column("text"))]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "root", "pairs")), pa.array(sets, pa.binary())],
-                                          names=["doc_id", "root", "pairs", "shingles"])
-
-    schema = T.StructType([*wanted.schema.fields, T.StructField("shingles", T.BinaryType())])
-    sets = map_batches(docs.select("doc_id", "text").join(wanted, "doc_id"), to_sets, schema)
-    dealt = sets.select("doc_id", "root", "shingles", F.explode("pairs").alias("p")).select(
-        "doc_id", "shingles", "root", F.col("p.i").alias("i"), F.col("p.j").alias("j")
-    )
-
-    def forest(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("doc_id")
-        ids = frame["doc_id"].tolist()
-        pairs = linked([np.frombuffer(s, np.uint64) for s in frame["shingles"]], threshold)
-        return pd.DataFrame({"u": [ids[x] for x, _ in pairs], "v": [ids[y] for _, y in pairs]}, dtype="int64")
-
-    return dealt.groupBy("root", "i", "j").applyInPandas(forest, "u long, v long")
-
-
 def near_duplicates(docs: DataFrame, threshold: int = 85, words: int = WORDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -229,12 +154,12 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, words: int = WORDS) ->
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # A table of its own, so that no join takes over the partitions of this sum, where all copies of a text meet.
     classes = written(full.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = full.join(classes.select(F.col("rep").alias("doc_id"), "key1", "key2"), ["doc_id", "key1", "key2"], "left_semi").dropDuplicates(["doc_id"])
+    reps = full.join(classes.select(F.col("rep").alias("doc_id"), "key1", "key2"), ["doc_id", "key1", "key2"], "left_semi").dropDuplicates(["doc_id", "key1", "key2"])
     reps = written(reps, "representatives")
     loose = written(_loose_groups(reps), "loose")
     roots = loose.select("root").distinct().select(F.col("root").alias("node"), "root")
-    members = loose.unionByName(roots).withColumnRenamed("node", "doc_id").join(reps.select("doc_id", "n_shingles"), "doc_id")
-    parts = components(_forests(docs, members, threshold, words))
+    members = loose.unionByName(roots).withColumnRenamed("node", "doc_id").join(reps.drop("bands"), "doc_id")
+    parts = linked_components(docs, members, threshold, Shingler(words), linked_sets)
     of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key1", "key2", F.coalesce("root", "rep").alias("_component")
     )
