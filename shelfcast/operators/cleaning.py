@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.functions import (
@@ -17,7 +17,7 @@ from shelfcast.functions import (
     truncate_to_long,
 )
 from shelfcast.functions.temporal import DEFAULT_DATE_FORMATS, DEFAULT_TIME_FORMATS
-from shelfcast.sources.contract import KEY_TEXT_COLUMNS, NUMERIC_COLUMNS, PRICE_COLUMNS
+from shelfcast.sources.contract import KEY_TEXT_COLUMNS, MALFORMED, NUMERIC_COLUMNS, PRICE_COLUMNS
 
 REQUIRED_AFTER_PARSE = (*KEY_TEXT_COLUMNS, "sale_date", "sale_seconds", *NUMERIC_COLUMNS)
 
@@ -42,16 +42,22 @@ def coerce_raw(
     return df.withColumns({**text, **parsed, **numbers})
 
 
+def reject_columns(df: DataFrame, columns: Sequence[str] = REQUIRED_AFTER_PARSE) -> dict[str, Column]:
+    """Per required column, how many rows are NULL after coercion; malformed lines are counted apart, as ``malformed``."""
+    whole = F.col(MALFORMED).isNull() if MALFORMED in df.columns else F.lit(True)
+    counts = {c: F.count_if(F.col(c).isNull() & whole) for c in columns}
+    return counts | ({MALFORMED: F.count_if(~whole)} if MALFORMED in df.columns else {})
+
+
 def reject_counts(df: DataFrame, columns: Sequence[str] = REQUIRED_AFTER_PARSE) -> DataFrame:
-    """One row: per required column, how many rows are NULL after coercion, plus the total."""
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns],
-    )
+    """One row: :func:`reject_columns` under ``null_<column>``, and ``malformed``, plus the total."""
+    counts = {c if c == MALFORMED else f"null_{c}": n for c, n in reject_columns(df, columns).items()}
+    return df.agg(F.count(F.lit(1)).alias("rows"), *[n.alias(c) for c, n in counts.items()])
 
 
 def drop_incomplete(df: DataFrame, columns: Sequence[str] = REQUIRED_AFTER_PARSE) -> DataFrame:
-    return df.dropna(subset=list(columns))
+    """Rows with all required values; malformed lines have none."""
+    return df.dropna(subset=list(columns)).drop(MALFORMED)
 
 
 def add_sold_at(df: DataFrame) -> DataFrame:

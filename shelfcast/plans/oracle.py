@@ -176,11 +176,11 @@ INGEST_PARSED = f"""raw AS (
               ELSE CAST(l_extendedprice * (1 - l_discount) / l_quantity AS VARCHAR) END AS sp,
          CASE WHEN l_linenumber = 4 THEN '' ELSE CAST(l_quantity AS VARCHAR) END AS q,
          CAST(l_extendedprice * (1 - l_discount) AS VARCHAR) AS ta,
-         l_linenumber AS line
+         l_linenumber AS line, l_linenumber = 1 AND l_orderkey % 15 IN (4, 9, 14) AS malformed
   FROM lineitem
 ),
 parsed AS (
-  SELECT {_txt('txn_id')} AS txn_id, CAST(line AS INTEGER) AS line,
+  SELECT malformed, {_txt('txn_id')} AS txn_id, CAST(line AS INTEGER) AS line,
          CAST(TRY_STRPTIME(left(trim(d), 10), '%Y-%m-%d') AS DATE) AS sale_date,
          coalesce(TRY_STRPTIME(trim(tm), '%H:%M:%S'), TRY_STRPTIME(trim(tm), '%I:%M %p')) AS t,
          {_txt('product_id')} AS product_id, {_txt('product_name')} AS product_name,
@@ -196,7 +196,7 @@ SELECT txn_id, line, sale_date,
        CAST(sale_date AS TIMESTAMP) + (t - date_trunc('day', t)) AS sold_at,
        product_id, product_name, category, unit_price, buying_price, selling_price, quantity, total_amount
 FROM parsed
-WHERE txn_id IS NOT NULL AND sale_date IS NOT NULL AND t IS NOT NULL AND product_id IS NOT NULL
+WHERE NOT malformed AND txn_id IS NOT NULL AND sale_date IS NOT NULL AND t IS NOT NULL AND product_id IS NOT NULL
   AND product_name IS NOT NULL AND category IS NOT NULL AND unit_price IS NOT NULL
   AND buying_price IS NOT NULL AND selling_price IS NOT NULL AND quantity IS NOT NULL
   AND total_amount IS NOT NULL"""
@@ -204,11 +204,11 @@ WHERE txn_id IS NOT NULL AND sale_date IS NOT NULL AND t IS NOT NULL AND product
 _REQUIRED_PARSED = ("txn_id", "product_id", "product_name", "category", "sale_date", "t", "unit_price",
                     "buying_price", "selling_price", "quantity", "total_amount")
 _reject_cols = ",\n       ".join(
-    f"CAST(count_if({c} IS NULL) AS BIGINT) AS null_{'sale_seconds' if c == 't' else c}" for c in _REQUIRED_PARSED
+    f"CAST(count_if({c} IS NULL AND NOT malformed) AS BIGINT) AS null_{'sale_seconds' if c == 't' else c}" for c in _REQUIRED_PARSED
 )
 ORACLE["ingest_rejects"] = f"""
 WITH {INGEST_PARSED}
-SELECT count(*) AS rows,
+SELECT count(*) AS rows, CAST(count_if(malformed) AS BIGINT) AS malformed,
        {_reject_cols}
 FROM parsed"""
 

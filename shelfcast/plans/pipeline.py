@@ -26,7 +26,7 @@ from shelfcast.operators import evaluation as ev
 from shelfcast.operators import explore as ex
 from shelfcast.operators import features as fe
 from shelfcast.functions.temporal import DEFAULT_DATE_FORMATS, DEFAULT_TIME_FORMATS
-from shelfcast.operators.cleaning import REQUIRED_AFTER_PARSE, add_sold_at, coerce_raw, drop_incomplete, price_cleaning
+from shelfcast.operators.cleaning import add_sold_at, coerce_raw, drop_incomplete, price_cleaning, reject_columns
 from shelfcast.operators.dataset import (
     DEFAULT_TEST_END,
     DEFAULT_TEST_START,
@@ -40,7 +40,7 @@ from shelfcast.sources import fixtures
 from shelfcast.sources.contract import PRICE_COLUMNS, canonical_headers, strip_headers, to_our_names
 from shelfcast.sources.model_store import save_bundle
 from shelfcast.sources.readers import read_cleaned, read_features, read_pos_csv
-from shelfcast.sources.sinks import write_cleaned, write_features
+from shelfcast.sources.sinks import write_cleaned, write_counted, write_features
 
 # Tables that follow from the per-transaction-hour rollup ...
 EXPLORATION_FROM_TXN_HOURS = {
@@ -78,7 +78,7 @@ def ingest(
         raw = raw.select(*[F.col(c).cast("string").alias(c) for c in raw.columns])
     coerced = coerce_raw(raw, date_formats, time_formats)
     if rejects is not None:
-        coerced = coerced.observe(rejects, *[F.count_if(F.col(c).isNull()).alias(c) for c in REQUIRED_AFTER_PARSE])
+        coerced = coerced.observe(rejects, *[n.alias(c) for c, n in reject_columns(coerced).items()])
     return price_cleaning(add_sold_at(drop_incomplete(coerced))).dropna(subset=[*PRICE_COLUMNS, "quantity"])
 
 
@@ -134,9 +134,13 @@ def run_pipeline(
     frames = {}
     for grain in (fe.WEEKLY, fe.MONTHLY):
         path = f"{out}/features/{grain.name}"
-        summary[f"{grain.name}_rows"] = write_features(fe.build_features(days, grain, fill=fill_gaps, rolled=True), path)
+        period = F.col(grain.period_col)
+        split = {"train": period.between(train_start, test_start) & (period != F.lit(test_start).cast("date")),
+                 "test": period.between(test_start, test_end) & (period != F.lit(test_end).cast("date"))}
+        counts = write_counted(fe.build_features(days, grain, fill=fill_gaps, rolled=True), path, split)
+        summary[f"{grain.name}_rows"], summary[f"{grain.name}_split"] = counts.pop("rows"), counts
         if summary[f"{grain.name}_rows"] == 0:
-            raise ValueError(f"No {grain.name} feature rows: no product has enough history.")
+            raise ValueError(f"the {grain.name} feature table is empty: every product's history is too short")
         frames[grain.name] = read_features(spark, path, grain.period_col)
 
     models, predictions = {}, {}
@@ -144,14 +148,14 @@ def run_pipeline(
         feats = frames[grain.name]
         cols = feature_columns(feats)
         if not cols:
-            raise ValueError(f"No numeric {grain.name} feature columns found.")
+            raise ValueError(f"the {grain.name} feature table has no number to learn from")
         train, test = time_split(feats, grain.period_col, train_start, test_start, test_end)
-        if train.isEmpty():
-            raise ValueError(f"Training split is empty for {train_start}..{test_start} ({grain.name}).")
-        if test.isEmpty():
-            raise ValueError(f"Test split is empty for {test_start}..{test_end} ({grain.name}).")
+        for name, n in summary[f"{grain.name}_split"].items():
+            if not n:
+                raise ValueError(f"no {grain.name} {name} row between {train_start}, {test_start} and {test_end}")
         model = train_two_stage(train, cols, config, date_column=grain.period_col)
         models[grain.name] = model
+        summary[f"{grain.name}_rounds"] = model.rounds
         pred_path = f"{out}/predictions/{grain.name}"
         write_features(prediction_table(predict_two_stage(model, test), grain.period_col), pred_path)
         predictions[grain.name] = spark.read.parquet(pred_path)

@@ -6,6 +6,8 @@ On a cluster the session comes from ``spark-submit`` and its settings win;
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -41,3 +43,13 @@ def use_checkpoint_dir(spark: SparkSession) -> str | None:
     if named and not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A folder that all executors share: the one ``spark.checkpoint.dir`` names, and only for a local master without it a private one."""
+    named = use_checkpoint_dir(spark)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="shelfcast-")
+    return named.rstrip("/")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfcast.functions import guarded_double, parse_date
 from shelfcast.sources.contract import (
     CLEANED_REQUIRED,
+    MALFORMED,
     RAW_REQUIRED,
     canonical_headers,
     require_columns,
@@ -20,22 +22,37 @@ def read_pos_csv(spark: SparkSession, path: str | list[str], **options: str) ->
     """Read a raw POS export with a header line; every column stays STRING.
 
     No schema inference: it costs a full pass and makes column types depend on
-    content. Parsing happens in :func:`shelfcast.operators.cleaning.coerce_raw`.
+    content. Parsing happens in :func:`shelfcast.operators.cleaning.coerce_raw`. A line with more or fewer fields than the
+    header, or with a quote that is never closed, is in the column ``malformed`` and has no other value.
     """
-    reader = spark.read.option("header", "true").option("inferSchema", "false").option("mode", "PERMISSIVE")
-    for k, v in options.items():
-        reader = reader.option(k, v)
-    return _as_raw_table(reader.csv(path))
+
+    def reader():
+        r = spark.read.option("header", "true").option("inferSchema", "false").option("mode", "PERMISSIVE")
+        for k, v in options.items():
+            r = r.option(k, v)
+        return r
+
+    header = reader().csv(path).columns
+    # Only a parser that reads all fields of a line notices a wrong number of them.
+    whole = reader().schema(_raw_schema(header)).option("columnNameOfCorruptRecord", MALFORMED).option("columnPruning", "false")
+    return _as_raw_table(whole.csv(path))
 
 
 def parse_pos_lines(lines: DataFrame, column: str, header: list[str]) -> DataFrame:
     """Raw POS rows from a column of CSV lines without a header line, every field STRING;
-    the lines may come from anywhere (a topic, a table, another query)."""
-    schema = ", ".join(f"`{h}` string" for h in header)
-    return _as_raw_table(lines.select(F.from_csv(F.col(column), schema).alias("_row")).select("_row.*"))
+    the lines may come from anywhere (a topic, a table, another query). Malformed ones as in :func:`read_pos_csv`."""
+    schema = ", ".join(f"`{f.name}` string" for f in _raw_schema(header))
+    row = F.from_csv(F.col(column), schema, {"columnNameOfCorruptRecord": MALFORMED, "mode": "PERMISSIVE"})
+    return _as_raw_table(lines.select(row.alias("_row")).select("_row.*"))
+
+
+def _raw_schema(header: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(h, T.StringType()) for h in (*header, MALFORMED)])
 
 
 def _as_raw_table(df: DataFrame) -> DataFrame:
+    # What a malformed line's fields hold is anyone's guess.
+    df = df.select(*[F.when(F.col(MALFORMED).isNull(), F.col(f"`{c}`")).alias(c) for c in df.columns if c != MALFORMED], MALFORMED)
     df = canonical_headers(strip_headers(df))
     require_columns(df, RAW_REQUIRED, "the raw POS export")
     return to_our_names(df)
@@ -77,6 +94,7 @@ def read_features(
         (period_col, "product_id", "product_name", "category", "quantity"),
         path,
     )
+    df = df.drop("period_year")  # of the folders, see sinks.write_features
     types = dict(df.dtypes)
     casts = {}
     if types[period_col] != "date":

@@ -111,3 +111,55 @@ def test_cleaned_csv_roundtrip(spark, raw_csv, tmp_dir):
     types = dict(back.dtypes)
     assert types["sale_date"] == "date" and types["sold_at"] == "timestamp_ntz" and types["quantity"] == "double"
     assert sorted(r.sold_at for r in back.collect()) == [dt.datetime(2025, 1, 5, 9, 5), dt.datetime(2025, 1, 8, 23, 59, 59)]
+
+
+def test_malformed_lines_are_noticed_and_counted(spark, tmp_dir):
+    from shelfcast.operators.cleaning import clean_transactions, coerce_raw, reject_counts
+    from shelfcast.sources.contract import RAW_REQUIRED
+    from shelfcast.sources.readers import parse_pos_lines, read_pos_csv
+
+    header = list(RAW_REQUIRED)
+    good = {"Date": "2024-01-02", "Time": "10:30:00"}
+    line = ",".join(good.get(h, "7") for h in header)
+    lines = [line, line.rpartition(",")[0], line + ",surplus", '"' + line, line.replace("2024-01-02", "bad")]
+    os.makedirs(f"{tmp_dir}/pos")
+    with open(f"{tmp_dir}/pos/a.csv", "w") as f:
+        f.write("\n".join([",".join(header), *lines]) + "\n")
+    for raw in (read_pos_csv(spark, f"{tmp_dir}/pos"), parse_pos_lines(spark.createDataFrame([(x,) for x in lines], "l string"), "l", header)):
+        counts = reject_counts(coerce_raw(raw)).first()
+        assert (counts["rows"], counts["malformed"], counts["null_sale_date"], counts["null_quantity"]) == (5, 3, 1, 0)
+        clean = clean_transactions(raw)
+        assert clean.count() == 1 and "malformed" not in clean.columns
+    assert {r.malformed for r in raw.where("malformed IS NOT NULL").collect()} == set(lines[1:4])
+
+
+def test_headers_that_differ_in_punctuation_clash_only_where_needed():
+    from shelfcast.sources.contract import resolve_columns
+
+    both = ["Payment-Method", "PAYMENT  METHOD", "Date"]
+    wanted = {"Payment Method": ("Payment Method",), "Date": ("Date",)}
+    assert resolve_columns(both, wanted, needed=("Date",)) == {"Date": "Date"}
+    with pytest.raises(ValueError, match="both answer"):
+        resolve_columns(both, wanted)
+    assert resolve_columns(["payment method", "Payment-Method"], wanted, needed=()) == {"Payment Method": "payment method"}
+
+
+def test_only_the_years_of_a_late_file_are_replaced(spark, tmp_dir):
+    from shelfcast.sources.sinks import write_cleaned, write_features
+
+    tx = spark.createDataFrame([(f"t{k}", k) for k in range(40)], "txn_id string, k int").selectExpr("*", "make_date(2020 + k % 3, 1 + k % 12, 1) AS sale_date")
+    path = f"{tmp_dir}/cleaned"
+    write_cleaned(tx, path)
+    files = lambda p: {d: {(f, os.stat(f"{p}/{d}/{f}").st_mtime_ns) for f in os.listdir(f"{p}/{d}")} for d in os.listdir(p) if "=" in d}
+    before = files(path)
+    late = tx.where("year(sale_date) = 2021").limit(5)
+    for _ in range(2):  # a rerun gives the same
+        assert write_cleaned(late, path, touched_only=True) == 5
+        after = files(path)
+        assert {d for d in before if before[d] != after[d]} == {"sale_year=2021"} and before.keys() == after.keys()
+        assert spark.read.parquet(path).where("sale_year = 2021").count() == 5
+    assert spark.read.parquet(path).count() == tx.where("year(sale_date) <> 2021").count() + 5
+    features = f"{tmp_dir}/features"
+    write_features(tx, features, period_col="sale_date")
+    write_features(late, features, period_col="sale_date")
+    assert spark.read.parquet(features).groupBy("period_year").count().where("period_year = 2021").first()[1] == 5

@@ -144,6 +144,83 @@ def test_undeclared_features_are_taken_from_the_table(spark, fitted, weekly):
     assert {r.predicted_demand for r in forecast_latest(model, weekly, fe.WEEKLY).collect()} == {3}
 
 
+def test_rounds_used_are_known_and_saved(spark, fitted, tmp_dir):
+    from shelfcast.sources.model_store import read_metadata
+
+    model, *_ = fitted
+    assert set(model.rounds) == set(model.members)
+    assert 1 <= model.rounds["classifier"] <= CFG.classifier_iters and 1 <= model.rounds["xgb_regressor"] <= CFG.regressor_iters
+    path = os.path.join(tmp_dir, "rounds")
+    save_bundle(spark, {"weekly": model}, path)
+    assert read_metadata(spark, path)["horizons"]["weekly"]["rounds"] == model.rounds
+    assert load_bundle(spark, path, "weekly").rounds == model.rounds
+
+
+def test_a_save_that_stops_half_way_changes_nothing(spark, fitted, tmp_dir):
+    from dataclasses import replace
+
+    from shelfcast.sources.model_store import read_metadata
+
+    model, *_ = fitted
+    path = os.path.join(tmp_dir, "versions")
+    first = save_bundle(spark, {"weekly": model}, path, note="first")
+
+    class Broken:
+        def write(self):
+            raise RuntimeError("executor lost")
+
+    half = replace(model, members={"classifier": model.members["classifier"], "xgb_regressor": Broken()})
+    with pytest.raises(RuntimeError, match="lost"):
+        save_bundle(spark, {"weekly": half}, path, note="second")
+    assert len(os.listdir(f"{path}/versions")) == 2  # the members written are there, and nobody reads them
+    assert read_metadata(spark, path)["version"] == first and read_metadata(spark, path)["note"] == "first"
+    assert list(load_bundle(spark, path, "weekly").members) == list(model.members)
+    third = save_bundle(spark, {"weekly": replace(model, members={k: model.members[k] for k in ("classifier", "rf_regressor")})}, path, note="third")
+    assert read_metadata(spark, path)["version"] == third
+    assert load_bundle(spark, path, "weekly").regressors == ["rf_regressor"]
+
+
+def test_inputs_come_from_nested_assemblers(spark):
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    from shelfcast.operators.modeling import model_inputs
+    from shelfcast.operators.scoring import score_requests_with_model
+
+    rows = spark.createDataFrame([(float(k), float(k % 3), 2.0 * k + 1, f"i{k}", True) for k in range(20)], "b double, a double, label double, item_id string, is_valid boolean")
+    inner = Pipeline(stages=[VectorAssembler(inputCols=["b"], outputCol="v"), StandardScaler(inputCol="v", outputCol="scaled")])
+    both = VectorAssembler(inputCols=["scaled", "a"], outputCol="features")
+    model = Pipeline(stages=[inner, both, LinearRegression(predictionCol="predicted_quantity")]).fit(rows)
+    assert isinstance(model.stages[0], PipelineModel) and model_inputs(model) == ["b", "a"]
+    scored = score_requests_with_model(model, rows, keep=("item_id",))
+    assert abs(scored.where("item_id = 'i7'").first().predicted_quantity - 15) < 1e-3
+    with pytest.raises(KeyError, match="features a"):
+        score_requests_with_model(model, rows.drop("a"), keep=("item_id",))
+
+
+def test_forecast_job_serves_the_saved_bundle(spark, fitted, weekly, tmp_dir, capsys):
+    from shelfcast.plans.forecast import main
+
+    model, *_ = fitted
+    save_bundle(spark, {"weekly": model, "monthly": model}, f"{tmp_dir}/models")
+    monthly = weekly.where("dayofmonth(week_ending) <= 7").withColumn("month_start", F.trunc("week_ending", "month"))
+    weekly.withColumnRenamed("product_id", "SKU").write.parquet(f"{tmp_dir}/features/weekly")  # a table written elsewhere
+    monthly.write.parquet(f"{tmp_dir}/features/monthly")
+    known = weekly.select("product_id").first()[0]
+    asked = [(1, known, "weekly"), (2, f" {known}", "MONTHLY"), (3, "absent", "weekly"), (4, known, "daily")]
+    spark.createDataFrame(asked, "request_id int, product_id string, timeframe string").write.parquet(f"{tmp_dir}/requests")
+    main(["--models", f"{tmp_dir}/models", "--features", f"{tmp_dir}/features", "--requests", f"{tmp_dir}/requests", "--output", f"{tmp_dir}/out/"])
+    forecasts = spark.read.parquet(f"{tmp_dir}/out/forecasts")
+    products = weekly.select("product_id").distinct().count()
+    assert forecasts.where("timeframe = 'weekly'").count() == products
+    assert '"answers": 4' in capsys.readouterr().out
+    answers = {r.request_id: r for r in spark.read.parquet(f"{tmp_dir}/out/answers").collect()}
+    want = {r.timeframe: r.predicted_demand for r in forecasts.where(F.col("product_id") == known).collect()}
+    assert answers[1].predicted_demand == want["weekly"] and answers[2].predicted_demand == want["monthly"]
+    assert [answers[k].status for k in (3, 4)] == ["not_found", "bad_timeframe"]
+
+
 def test_no_sale_to_learn_from(weekly):
     with pytest.raises(ValueError, match="no sale"):
         train_two_stage(weekly.withColumn("quantity", F.lit(0)), feature_columns(weekly), CFG)
