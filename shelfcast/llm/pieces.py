@@ -263,15 +263,20 @@ class Encoder:
         self.names = {i: p.replace(BLANK, " ").encode() for p, i in model.ids.items()} | {
             i: bytes([b]) for b, i in model.byte_ids.items()
         }
-        # Pairs of characters that some piece holds side by side. A text may be cut before a blank, or
-        # a character of ``stop``, wherever another character stands before it.
-        inside = {p[k:k + 2] for p in model.ids for k in range(len(p) - 1)}
+        # Pairs of characters that some piece holds side by side. A text may be cut between any other two; here it
+        # is before blanks, and before a mark (an ASCII character that is no letter or digit) that no piece holds behind the character before it.
         behind: dict[str, set[str]] = {}
-        for a, b in inside:
-            behind.setdefault(b, set()).add(a)
+        for p in model.ids:
+            for a, b in zip(p, p[1:], strict=False):
+                behind.setdefault(b, set()).add(a)
         self.by_words = behind.get(BLANK, set()) <= {BLANK}
-        stop = re.escape("".join(c for c in map(chr, range(1, 128)) if not c.isalnum() and c != " " and behind.get(c, set()) <= {c, BLANK}))
-        self.split = re.compile(f"{BLANK}*[^{BLANK}{stop}]+|{BLANK}*[{stop}][^{BLANK}]*|{BLANK}+" if stop else f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall
+        marks = [c for c in map(chr, range(1, 128)) if not c.isalnum() and c != " "]
+        joined = [c for c in marks if behind.get(c)]
+        one_of = "".join(map(re.escape, joined))
+        held = "|".join(f"(?<=[{re.escape(''.join(sorted(behind[c])))}]){re.escape(c)}" for c in sorted(joined, key=".,".find, reverse=True))
+        rest = f"[^{BLANK}{''.join(map(re.escape, marks))}]*+"
+        further = f"(?:(?=[{one_of}])(?:{held}){rest})*+" if joined else ""
+        self.split = re.compile(f"{BLANK}*+[^{BLANK}]{rest}{further}|{BLANK}+").findall
 
     def _look_up(self, words: Iterable[str]) -> dict[str, tuple[float, tuple[int, ...], float]]:
         """Score, ids and gap of words that the newer half of the cache lacks; they go there."""
@@ -405,6 +410,28 @@ SCHEMA = [
 ]
 
 
+def encode_batch(coder: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows of :func:`encode_documents` for doc_id and text of some documents."""
+    ids, scores, same, further = [], [], [], []
+    texts = [raw.decode() for raw in utf8(batch.column("text"))]
+    for text, (own, best, others) in zip(texts, coder.encode_many(texts), strict=True):
+        ids.append(np.array(own, np.int32))
+        scores.append(best)
+        further.append(others)
+        same.append(coder.decode(own) == text and coder.same_text(own, others))
+    paths = [changes for others in further for changes in others]
+    changes = [c for path in paths for c in path]
+    replaced = [np.array(c[2], np.int32) for c in changes]
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array([s[0] for s in scores], pa.float64()),
+         pa.array(scores, pa.list_(pa.float64())), _lists(ids, pa.array(_flat(ids))),
+         _lists(further, _lists(paths, pa.StructArray.from_arrays(
+             [pa.array([c[0] for c in changes], pa.int32()), pa.array([c[1] for c in changes], pa.int32()),
+              _lists(replaced, pa.array(_flat(replaced)))], names=["first", "end", "ids"]))),
+         pa.array(same)], names=["doc_id", *(f.name for f in SCHEMA)],
+    )
+
+
 def encode_documents(docs: DataFrame, model_path: str = MODEL, n: int = N_BEST) -> DataFrame:
     """One row per document: doc_id, n_pieces, score, n_best_scores, piece_ids, further_paths, round_trip.
 
@@ -419,25 +446,7 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL, n: int = N_BEST)
     shared = docs.sparkSession.sparkContext.broadcast(PieceModel.load(model_path))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        coder = encoder(shared.value, n)
-        ids, scores, same, further = [], [], [], []
-        texts = [raw.decode() for raw in utf8(batch.column("text"))]
-        for text, (own, best, others) in zip(texts, coder.encode_many(texts), strict=True):
-            ids.append(np.array(own, np.int32))
-            scores.append(best)
-            further.append(others)
-            same.append(coder.decode(own) == text and coder.same_text(own, others))
-        paths = [changes for others in further for changes in others]
-        changes = [c for path in paths for c in path]
-        replaced = [np.array(c[2], np.int32) for c in changes]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array([s[0] for s in scores], pa.float64()),
-             pa.array(scores, pa.list_(pa.float64())), _lists(ids, pa.array(_flat(ids))),
-             _lists(further, _lists(paths, pa.StructArray.from_arrays(
-                 [pa.array([c[0] for c in changes], pa.int32()), pa.array([c[1] for c in changes], pa.int32()),
-                  _lists(replaced, pa.array(_flat(replaced)))], names=["first", "end", "ids"]))),
-             pa.array(same)], names=["doc_id", *(f.name for f in SCHEMA)],
-        )
+        return encode_batch(encoder(shared.value, n), batch)
 
     return map_batches(docs.select("doc_id", "text"), run, T.StructType([docs.schema["doc_id"], *SCHEMA]))
 
