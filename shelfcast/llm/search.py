@@ -172,7 +172,7 @@ def _wide(tree: CoverTree, width: int) -> CoverTree:
 def scaled(embeddings: DataFrame) -> DataFrame:
     """vec_id and the vector floor(256 * x) as packed doubles; one row per vec_id."""
     good = F.col("embedding").isNotNull() & F.forall(
-        "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
+        "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * SCALE) < float("inf"))
     )
     rows = embeddings.where(good & F.col("vec_id").isNotNull()).groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(
         F.min(F.col("embedding").cast("array<double>")).alias("embedding")
@@ -258,7 +258,7 @@ def top_k(embeddings: DataFrame, asked: Column, k: int = K) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` best other vectors of every row that ``asked`` (of vec_id) picks.
 
     Scores are inner products of the vectors floor(256 * x); ties go to the smaller
-    vec_id. Null vectors, vectors that hold a null or a non-finite number, and
+    vec_id. Null vectors, vectors that hold a null or a number that is not finite, or not when times 256, and
     rows without vec_id take no part. Rows that repeat a vec_id count once, with
     the smallest vector. Of vectors of different length the shorter is filled up
     with zeros. Scores beyond the range of a long are held at its ends
