@@ -37,7 +37,7 @@ class L1Boosting:
     subsample: float = 0.9
     feature_fraction: float = 0.9
     max_bins: int = 32
-    patience: int = 10
+    patience: int = 5
     tol: float = 0.01
     seed: int = 42
     checkpoint_interval: int = 10
@@ -125,16 +125,18 @@ class _Forge:
 
     def tree(self, fitted, values: Sequence[float], features: Sequence[int]):
         left_to_right = iter(values)  # as leaves are numbered
+        root = fitted._java_obj.rootNode()
+        leaf, inner, cut, stats = self.ml.tree.LeafNode, self.ml.tree.InternalNode, self.ml.tree.ContinuousSplit, root.impurityStats()
 
         def rebuilt(node):
+            # As few calls to the JVM as can be: a deep tree has hundreds of nodes.
             if node.subtreeDepth() == 0:
-                return self.ml.tree.LeafNode(float(next(left_to_right)), 0.0, node.impurityStats())
+                return leaf(float(next(left_to_right)), 0.0, stats)
             split = node.split()
-            split = self.ml.tree.ContinuousSplit(features[split.featureIndex()], split.threshold())
-            left, right = rebuilt(node.leftChild()), rebuilt(node.rightChild())
-            return self.ml.tree.InternalNode(0.0, node.impurity(), node.gain(), left, right, split, node.impurityStats())
+            split = cut(features[split.featureIndex()], split.threshold())
+            return inner(0.0, 0.0, node.gain(), rebuilt(node.leftChild()), rebuilt(node.rightChild()), split, node.impurityStats())
 
-        return self._wrapped(rebuilt(fitted._java_obj.rootNode()))
+        return self._wrapped(rebuilt(root))
 
     def constant(self, value: float, like):
         return self._wrapped(self.ml.tree.LeafNode(float(value), 0.0, like.rootNode().impurityStats()))

@@ -50,8 +50,8 @@ class TwoStageConfig:
     depth 8 and 6 with 0.9 of the rows and features per tree, a forest of 100 trees of depth 10.
 
     ``holdout`` is the share of the training rows, the latest by period, that boosting is stopped by (0: all rounds, on all rows).
-    The classifier stops at the first round that lowers the hold-out's loss by less than the share ``validation_tol``, as
-    MLlib has it; a regressor when ``patience`` rounds together lower its mean absolute error by less."""
+    The classifier stops at the first round that lowers the hold-out's loss by less than the share ``classifier_tol``, as
+    MLlib has it; a regressor when ``patience`` rounds together lower its mean absolute error by less than the share ``validation_tol``."""
 
     classifier_iters: int = 300
     classifier_step: float = 0.05
@@ -66,8 +66,9 @@ class TwoStageConfig:
     forest_depth: int = 10
     max_bins: int = 32
     holdout: float = 0.1
+    classifier_tol: float = 0.001
     validation_tol: float = 0.01
-    patience: int = 10
+    patience: int = 5
     checkpoint_interval: int = 10
     # Node-id caching pays off for deep trees over many rows (checkpointed with the
     # interval above into spark.checkpoint.dir).
@@ -85,7 +86,7 @@ def build_estimators(cfg: TwoStageConfig) -> dict[str, Estimator | L1Boosting]:
         maxIter=cfg.classifier_iters,
         stepSize=cfg.classifier_step,
         maxDepth=cfg.classifier_depth,
-        validationTol=cfg.validation_tol,
+        validationTol=cfg.classifier_tol,
         **common,
     )
     clf.setRawPredictionCol("demand_raw").setProbabilityCol("demand_probability")
