@@ -4,8 +4,10 @@ Tasks write pages as WARC records, each its own gzip member, to archive files in
 the shared folder. A payload seen before is written as a revisit of the record with the
 smallest id. The index has two levels: lines of captures, sorted by the URL's key
 with the host's labels reversed, in compressed blocks; and a sparse directory that
-holds each block's first key and place. A lookup searches the directory by bisection,
-reads one block (more, if a key fills several), and reads the record's range.
+holds each block's first key and place. Index files cover ranges of keys, each with its
+own directory beside it; a list of the files, one row for ``INDEX_ROWS`` captures, says which file to ask.
+A lookup finds the file and then the block by bisection, reads one block (more, if a key
+fills several), and reads the record's range. Pages are read back by looking up their URLs this way.
 
 File names hold a random part, and only files that a finished task reports are
 in the index; a task that runs again leaves nothing behind that a reader sees.
@@ -21,6 +23,7 @@ import uuid
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from operator import itemgetter
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -36,15 +39,20 @@ BLOCK_LINES = 1000
 DATE = "2000-01-01T00:00:00Z"
 GZIP_LEVEL = 4
 INDEX_ROWS = 500_000  # captures of one index file
+DIRECTORY = ".directory.z"  # ending of the file that holds an index file's directory
+FENCE = 64  # characters of a file's first and last key that the list of files keeps
+READ_BYTES = 64 << 20  # archive bytes that a task reads back
+STRETCH = 4 << 20  # neighbouring records are read by one task in runs of this size
 
 _CAPTURE = T.StructType([
     T.StructField("key", T.StringType()), T.StructField("page_id", T.LongType()), T.StructField("archive", T.StringType()),
     T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("kind", T.StringType()),
 ])
-_BLOCK = T.StructType([
-    T.StructField("first_key", T.StringType()), T.StructField("index", T.StringType()),
-    T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("captures", T.LongType()),
+_FILE = T.StructType([
+    T.StructField("index", T.StringType()), T.StructField("first", T.StringType()), T.StructField("last", T.StringType()),
+    T.StructField("blocks", T.LongType()), T.StructField("captures", T.LongType()), T.StructField("bytes", T.LongType()),
 ])
+_ASKED = T.StructType([T.StructField("index", T.StringType()), T.StructField("key", T.StringType())])
 _RECORD = T.StructType([
     T.StructField("page_id", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()),
     T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()),
@@ -150,39 +158,95 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
 
 
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Write the sorted lines in compressed blocks; returns the directory, one row for each block in key order."""
+    """Write the sorted lines in compressed blocks, each file with its directory; returns the written list of files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)
         store.create_dir(root, recursive=True)
         out, name, at = None, f"{uuid.uuid4().hex}.cdx.z", 0
         lines: list[tuple] = []
-        blocks: list[tuple] = []
+        directory: list[str] = []
+        first, last, captures, stored = None, "", 0, 0
 
         def close_block() -> None:
             nonlocal at
             if lines:
                 data = zlib.compress("\n".join("\t".join(map(str, x)) for x in lines).encode())
                 out.write(data)
-                blocks.append((lines[0][0], name, at, len(data), len(lines)))
+                directory.append(f"{lines[0][0]}\t{at}\t{len(data)}")
                 at += len(data)
                 lines.clear()
 
         for batch in batches:
             out = out or store.open_output_stream(posixpath.join(root, name), compression=None)
             for line in zip(*(batch.column(c).to_pylist() for c in _CAPTURE.names), strict=True):
+                first, last = line[0] if first is None else first, line[0]
+                captures, stored = captures + 1, stored + line[4]
                 lines.append(line)
                 if len(lines) == BLOCK_LINES:
                     close_block()
         close_block()
         if out is not None:
             out.close()
-        if blocks:
-            yield _batch(blocks, _BLOCK)
+        if captures:
+            with store.open_output_stream(posixpath.join(root, name + DIRECTORY), compression=None) as f:
+                f.write(zlib.compress("\n".join(directory).encode()))
+            yield _batch([(name, first[:FENCE], last[:FENCE], len(directory), captures, stored)], _FILE)
 
     parts = spread(captures, INDEX_ROWS)
     ordered = captures.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id")
-    return written(ordered.mapInArrow(run, _BLOCK), "directory")
+    return written(ordered.mapInArrow(run, _FILE), "index-files")
+
+
+class IndexFile:
+    """One file of the index: its directory, searched by bisection, and its blocks, read by range.
+
+    The block read last is kept, so keys asked in their order read each block once.
+    """
+
+    def __init__(self, store: pafs.FileSystem, root: str, name: str):
+        path = posixpath.join(root, name)
+        with store.open_input_stream(path + DIRECTORY, compression=None) as f:
+            entries = [line.split("\t") for line in zlib.decompress(f.read()).decode().split("\n")]
+        self.keys = [key for key, _, _ in entries]
+        self.places = [(int(offset), int(length)) for _, offset, length in entries]
+        self.file = store.open_input_file(path)
+        self.held, self.lines = -1, []
+
+    def block(self, k: int) -> list[tuple]:
+        if k != self.held:
+            offset, length = self.places[k]
+            self.held, self.lines = k, list(_lines(self.file.read_at(length, offset)))
+        return self.lines
+
+    def captures(self, key: str) -> Iterator[tuple]:
+        """The lines of a key, in the order of the index."""
+        # The block before the first one that begins at or behind the key can end with it.
+        for k in range(max(0, bisect_left(self.keys, key) - 1), len(self.keys)):
+            if self.keys[k] > key:
+                return
+            lines = self.block(k)
+            for n in range(bisect_left(lines, key, key=itemgetter(0)), len(lines)):
+                if lines[n][0] != key:
+                    return
+                yield lines[n]
+
+
+class FileList:
+    """The index files in key order. It keeps ``FENCE`` characters of each file's first and last key."""
+
+    def __init__(self, files: DataFrame):
+        self.files = sorted((r["first"], r["last"], r["index"]) for r in files.select("first", "last", "index").collect())
+        self.last = [last for _, last, _ in self.files]
+
+    def holding(self, key: str) -> Iterator[str]:
+        """Names of the files that can hold a key: one, more if the key fills several or they begin alike."""
+        fence = key[:FENCE]
+        for k in range(bisect_left(self.last, fence), len(self.files)):
+            first, _, name = self.files[k]
+            if first > fence:
+                return
+            yield name
 
 
 def _lines(data: bytes) -> Iterator[tuple]:
@@ -197,39 +261,61 @@ def _range(store: pafs.FileSystem, path: str, offset: int, length: int) -> bytes
 
 
 class CaptureIndex:
-    """Lookups of single URLs. ``directory`` has one small entry for each block of ``BLOCK_LINES`` captures."""
+    """Lookups of single URLs."""
 
-    def __init__(self, directory: DataFrame, folder: str):
-        self.blocks = sorted((r["first_key"], r["index"], r["offset"], r["length"]) for r in directory.toLocalIterator())
-        self.keys = [b[0] for b in self.blocks]
+    def __init__(self, files: DataFrame, folder: str):
+        self.files = FileList(files)
         self.store, self.root = open_store(folder)
 
     def lookup(self, url: str) -> list[tuple[dict[str, str], dict[str, str], bytes]]:
         """All captures of a URL: (WARC header, HTTP header, payload), in the order of the index."""
-        key, found = url_key(_header(url)), []
-        # Blocks before the first one that begins at or behind the key can end with it.
-        for first, name, offset, length in self.blocks[max(0, bisect_left(self.keys, key) - 1):]:
-            if first > key:
-                break
-            for line in _lines(_range(self.store, posixpath.join(self.root, name), offset, length)):
-                if line[0] == key:
-                    found.append(read_record(_range(self.store, posixpath.join(self.root, line[2]), line[3], line[4])))
-        return found
-
-
-def read_back(directory: DataFrame, folder: str) -> DataFrame:
-    """Every record that the index knows, parsed: page_id, payload_bytes, payload_digest, record_type, refers_to.
-
-    Blocks are read in parallel; their captures are then dealt out by archive and
-    read in the order of their offsets. A response's payload is hashed anew and
-    must match its header.
+        key = url_key(_header(url))
+        lines = [x for name in self.files.holding(key) for x in IndexFile(self.store, self.root, name).captures(key)]
+        return [read_record(_range(self.store, posixpath.join(self.root, x[2]), x[3], x[4])) for x in lines]
+
+
+def look_up(urls: DataFrame, files: DataFrame, folder: str) -> DataFrame:
+    """The captures of every different key in the column ``url``, found in the index.
+
+    Keys are sent to the files that can hold them and asked there in their order. A key that
+    fills several files is asked of each by itself, so its captures come from several tasks.
     """
+    ranges = FileList(files)
 
-    def captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = {url_key(_header(u or "")) for u in set(batch.column("url").to_pylist())}
+            rows = [(name, key) for key in keys for name in ranges.holding(key)]
+            if rows:
+                yield _batch(rows, _ASKED)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)
+        name, index, rows = None, None, []
         for batch in batches:
-            for name, offset, length in zip(*(batch.column(c).to_pylist() for c in ("index", "offset", "length")), strict=True):
-                yield _batch(list(_lines(_range(store, posixpath.join(root, name), offset, length))), _CAPTURE)
+            for file, key in zip(*(batch.column(c).to_pylist() for c in _ASKED.names), strict=True):
+                if file != name:
+                    name, index = file, IndexFile(store, root, file)
+                for line in index.captures(key):
+                    rows.append(line)
+                    if len(rows) == BLOCK_LINES:
+                        yield _batch(rows, _CAPTURE)
+                        rows = []
+        if rows:
+            yield _batch(rows, _CAPTURE)
+
+    keys = urls.select("url").mapInArrow(asked, _ASKED).distinct()
+    parts = spread(files, 1)
+    return keys.repartitionByRange(parts, "index", "key").sortWithinPartitions("index", "key").mapInArrow(found, _CAPTURE)
+
+
+def read_back(pages: DataFrame, files: DataFrame, folder: str) -> DataFrame:
+    """The records of every page's URL, parsed: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    The URLs are looked up in the index; the places found are dealt out by stretches of
+    the archives and read in the order of their offsets. A response's payload is hashed anew and
+    must match its header.
+    """
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)
@@ -250,9 +336,10 @@ def read_back(directory: DataFrame, folder: str) -> DataFrame:
             if rows:
                 yield _batch(rows, _RECORD)
 
-    lines = directory.repartition(spread(directory, INDEX_ROWS // BLOCK_LINES)).mapInArrow(captures, _CAPTURE)
-    places = lines.select("archive", "offset", "length", (F.col("offset") / (16 << 20)).cast("long").alias("stretch"))
-    return places.repartition("archive", "stretch").sortWithinPartitions("archive", "offset").mapInArrow(records, _RECORD)
+    places = look_up(pages, files, folder).select("archive", "offset", "length", F.floor(F.col("offset") / STRETCH).alias("stretch"))
+    stored = files.agg(F.sum("bytes")).first()[0] or 0
+    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-stored // READ_BYTES))
+    return places.repartition(parts, "archive", "stretch").sortWithinPartitions("archive", "offset").mapInArrow(records, _RECORD)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:
@@ -264,8 +351,8 @@ def archive_pages(pages: DataFrame, folder: str | None = None, least: int = 0) -
     gives no archive and no rows.
     """
     folder = folder or fresh_path(pages.sparkSession, "warc")
-    directory = write_index(write_archives(pages, folder, least), folder)
-    return read_back(directory, folder)
+    files = write_index(write_archives(pages, folder, least), folder)
+    return read_back(pages, files, folder)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

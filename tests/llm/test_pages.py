@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 
 import duckdb
 import numpy as np
@@ -112,13 +113,38 @@ def test_lookup_reads_one_url(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 16)
     rows = [(k, f"http://h{k % 5}.org/p{k // 2}", f"body {k}") for k in range(400)] + [(900 + k, "http://same.org/x", f"s{k}") for k in range(60)]
     folder = fresh_path(spark, "test-warc")
-    index = warc.CaptureIndex(warc.write_index(warc.write_archives(pages(spark, rows), folder), folder), folder)
-    assert len(index.blocks) > 20
+    files = warc.write_index(warc.write_archives(pages(spark, rows), folder), folder)
+    index = warc.CaptureIndex(files, folder)
+    assert warc.IndexFile(index.store, index.root, index.files.files[0][2]).places and files.agg(F.sum("blocks")).first()[0] > 20
     for url in ("http://h0.org/p0", "http://h4.org/p199", "http://same.org/x"):
         assert sorted(p.decode() for *_, p in index.lookup(url)) == sorted(h for _, u, h in rows if u == url)
     assert index.lookup("http://absent.org/") == []
 
 
+def test_read_back_goes_through_the_index(spark, monkeypatch):
+    """Only captures of the URLs asked for come back, a key that fills files comes back whole, and a directory out of order is noticed."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 8)
+    long = "http://long.org/" + "p" * 100
+    rows = [(k, "http://hot.org/", f"h{k}") for k in range(300)] + [(300 + k, f"http://h{k % 9}.org/{k}", f"b{k}") for k in range(600)]
+    rows += [(1000 + k, f"{long}{k // 3}", f"l{k}") for k in range(90)] + [(2000, None, None)]
+    df, folder = pages(spark, rows), fresh_path(spark, "test-warc")
+    files = warc.write_index(warc.write_archives(df, folder), folder)
+    ids = lambda got: sorted(r.page_id for r in got.collect())
+    assert len(list(warc.FileList(files).holding(warc.url_key("http://hot.org/")))) > 1
+    assert ids(warc.read_back(df, files, folder)) == sorted(r[0] for r in rows)
+    some = df.where("page_id in (0, 301, 1001, 2000)")
+    assert ids(warc.read_back(some, files, folder)) == [*range(300), 301, 1000, 1001, 1002, 2000]
+    assert ids(warc.read_back(pages(spark, [(0, "http://absent.org/", "")]), files, folder)) == []
+    store, root = warc.open_store(folder)
+    for _, _, name in warc.FileList(files).files:
+        path = f"{root}/{name}{warc.DIRECTORY}"
+        with store.open_input_stream(path, compression=None) as f:
+            entries = zlib.decompress(f.read()).split(b"\n")
+        with store.open_output_stream(path, compression=None) as f:
+            f.write(zlib.compress(b"\n".join(reversed(entries))))
+    assert len(ids(warc.read_back(df, files, folder))) < len(rows)
+
+
 def test_small_payloads_may_stay_responses(spark):
     rows = [(1, "u", ""), (2, "u", ""), (3, "u", "long enough"), (4, "u", "long enough")]
     kinds = {r.page_id: r.record_type for r in warc.archive_pages(pages(spark, rows), least=5).collect()}
