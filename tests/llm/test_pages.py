@@ -69,6 +69,81 @@ def test_rare_segments_become_wildcards_and_siblings_merge(spark):
     assert (got["v", "a"], got["v", "b"], got["v", "c"]) == (False, False, True)
 
 
+COUNTS = "host string, shape array<string>, n long, labelled long, blocked long"
+
+
+def merged_by_hand(leaves):
+    """The rule in plain Python: {(host, template): rejected}."""
+    label, at = {k: k for k in leaves}, max(len(p) for _, p in leaves)
+    total = lambda group: tuple(sum(leaves[k][i] for k in group) for i in (0, 1))
+    share = lambda n, b: (b + 1) / (n + 2)
+
+    def gap(x, y):
+        (n, b), (m, c) = x[:2], y[:2]
+        p = share(n + m, b + c)
+        return abs(share(m, c) - share(n, b)) / (p * (1 - p) * (1 / n + 1 / m)) ** 0.5
+
+    for j in reversed(range(at)):
+        families = {}
+        for k, (host, p) in label.items():
+            if len(p) > j:
+                families.setdefault((host, p[:j], p[j + 1:]), {}).setdefault(p[j], []).append(k)
+        for family in families.values():
+            line = [(*total(ks), [name], ks) for name, ks in family.items() if total(ks)[0]]
+            line.sort(key=lambda x: (share(*x[:2]), x[2]))
+            while len(line) > 1:
+                near = min(range(len(line) - 1), key=lambda i: gap(line[i], line[i + 1]))
+                if gap(line[near], line[near + 1]) > url_templates.Z:
+                    break
+                x, y = line[near:near + 2]
+                line[near:near + 2] = [(x[0] + y[0], x[1] + y[1], x[2] + y[2], x[3] + y[3])]
+            for _, _, names, ks in line:
+                for k in ks:
+                    label[k] = (k[0], (*label[k][1][:j], min(names), *label[k][1][j + 1:]))
+    groups = {}
+    for k, to in label.items():
+        groups.setdefault(to, []).append(k)
+    return {k: share(*total(groups[to])) >= url_templates.REJECT for k, to in label.items()}
+
+
+def test_branches_do_not_drift(spark):
+    """Twenty siblings with 0, 5, ... 95 of 100 pages blocked: each is tested against the pooled branch, so the worst are rejected."""
+    rows = [("h", ["u", f"{chr(97 + k)}"], 100, 100, 5 * k) for k in range(20)]
+    got = {r.shape[1]: r.rejected for r in url_templates.templates(spark.createDataFrame(rows, COUNTS)).collect()}
+    want = merged_by_hand({("h", tuple(s)): (n, b) for _, s, _, n, b in rows})
+    assert got == {p[1]: v for (_, p), v in want.items()}
+    assert got["t"] and not got["a"] and not got["m"]
+
+
+def test_branches_with_like_templates_merge(spark):
+    """/en/shop is rejected by the labels of /de/shop and /fr/shop; /en/news stays; random tables as by hand."""
+    rows = [("h", [lang, "shop"], 100, n, n) for lang, n in (("de", 3), ("fr", 30), ("en", 2))]
+    rows += [("h", [lang, "news"], 100, 20, 0) for lang in ("de", "fr", "en")]
+    got = {tuple(r.shape): r.rejected for r in url_templates.templates(spark.createDataFrame(rows, COUNTS)).collect()}
+    assert got == {(lang, kind): kind == "shop" for lang in ("de", "fr", "en") for kind in ("shop", "news")}
+    rng = np.random.default_rng(4)
+    rows = []
+    for host in ("g", "h"):
+        for a in "abcd":
+            for b in "pqrs":
+                for tail in ([], ["x"], ["y"], ["x", "z"]):
+                    labelled = int(rng.integers(0, 40))
+                    rows.append((host, [a, b, *tail], 100, labelled, int(rng.binomial(labelled, rng.choice([0.1, 0.5, 0.95])))))
+    got = {(r.host, tuple(r.shape)): r.rejected for r in url_templates.templates(spark.createDataFrame(rows, COUNTS)).collect()}
+    assert got == merged_by_hand({(h, tuple(s)): (n, b) for h, s, _, n, b in rows}) and len(set(got.values())) == 2
+
+
+def test_every_segment_can_be_a_level(spark):
+    """Paths that differ behind DEPTH segments only share a wildcard there, and have templates of their own without a bound."""
+    rules = [("h.org/a/b/c/d/bad/a", "block"), ("h.org/a/b/c/d/good/a", "allow")]
+    slugs = [x + y + z for x in "abcde" for y in "fghij" for z in "klmn"]
+    rows = [(1000 * g + k, f"http://h.org/a/b/c/d/{name}/{slug}/x", "") for g, name in enumerate(("bad", "good")) for k, slug in enumerate(slugs)]
+    df = pages(spark, rows)
+    for depth, want in ((url_templates.DEPTH, "allow"), (None, "block")):
+        got = {r.page_id: r.verdict for r in url_templates.judge(df, rules, depth).collect()}
+        assert got[0] == "block" and got[99] == want and got[1099] == "allow"
+
+
 def test_levels_of_a_hot_host_need_no_window(spark, monkeypatch):
     """A host with thousands of shapes: rows as the oracle's, and no level sorts all its shapes in one task."""
     rows = [(k, f"http://hot.net/{'es' if k % 3 else 'de'}/slug-{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100 % 10]}/x", "") for k in range(1000)]
@@ -82,7 +157,7 @@ def test_levels_of_a_hot_host_need_no_window(spark, monkeypatch):
 
     monkeypatch.setattr(url_templates, "written", watched)
     got = sorted(map(tuple, url_templates.judge(df).collect()))
-    assert len(plans) == url_templates.DEPTH + 2 and not any("Window" in p for p in plans)
+    assert len(plans) == 2 * url_templates.DEPTH + 4 and not any("Window" in p for p in plans)
     assert got == sorted(oracle(url_templates.ORACLE_SQL, pages=df.select("page_id", "url").toPandas()))
 
 
