@@ -4,7 +4,9 @@
    cell of its nearest pivot. A cell is cut into blocks of about ``BLOCK`` vectors,
    by a hash of the id, so equal vectors in any number fill many blocks.
 2. A task builds the cover tree of a block: a node has a centre, the radius that covers
-   its vectors, and children around centres far from each other. Queries are vectors
+   its vectors, and children whose centres lie further than half that radius from each other and
+   cover the node's vectors within half of it; the first child has the node's own centre. So the
+   radius halves at least with every level. Queries are vectors
    of the blocks too and get a tree of their own in each; a first search in
    their own block gives every query a worst kth score.
 3. The roots of query trees are compared with the roots of data blocks. For centres
@@ -35,7 +37,7 @@ K = 5
 SCALE = 256
 BLOCK = 2048  # vectors
 LEAF = 64
-FAN_OUT = 8
+TOGETHER = 256  # leaves below one node that are scored at once
 #: Bounds of the sample: pivots, and their numbers in all.
 PIVOTS, PIVOT_NUMBERS = 4096, 1 << 20
 GROUPS = 1024  # query trees that a task holds at once
@@ -43,52 +45,66 @@ _EXACT = float(1 << 53)
 
 
 class CoverTree:
-    """Cover tree of the rows of ``points``; ``order`` puts each node's rows side by side."""
+    """Cover tree of the rows of ``points``; ``order`` puts each node's rows side by side.
+
+    Node i has its centre at row ``middle[i]``, the vectors ``order[begin[i]:end[i]]`` within ``radius[i]`` of it, and
+    the children ``kids(i)``, none if it is a leaf. Centres are read from the points, so a stored tree holds row numbers.
+    """
 
     def __init__(self, points: np.ndarray):
         self.order = np.arange(len(points))
-        self.centre: list[np.ndarray] = []
-        self.radius: list[float] = []
-        self.begin: list[int] = []
-        self.end: list[int] = []
-        self.children: list[list[int]] = []
-        norms = np.sqrt((points**2).sum(1))
-        self.norm: list[float] = []
-        todo = [(0, len(points), -1)]
-        while todo:
-            lo, hi, parent = todo.pop()
-            rows = self.order[lo:hi]
-            here = points[rows]
-            k = int(np.argmin(((here - here.mean(0)) ** 2).sum(1)))
-            far = np.sqrt(((here - here[k]) ** 2).sum(1))
-            node = len(self.centre)
-            self.centre.append(here[k])
-            self.radius.append(float(far.max()))
-            self.norm.append(float(norms[rows].max()))
-            self.begin.append(lo)
-            self.end.append(hi)
-            self.children.append([])
-            if parent >= 0:
-                self.children[parent].append(node)
-            if hi - lo <= LEAF or self.radius[node] == 0:
-                continue
-            nearest, dist = np.zeros(hi - lo, np.int64), far
-            for c in range(1, FAN_OUT):
-                if dist.max() <= self.radius[node] / 2:
-                    break
-                d = np.sqrt(((here - here[int(dist.argmax())]) ** 2).sum(1))
-                closer = d < dist
-                nearest[closer], dist = c, np.minimum(d, dist)
-            by_child = np.argsort(nearest, kind="stable")
-            self.order[lo:hi] = rows[by_child]
-            at = lo
-            for n in np.bincount(nearest).tolist():
-                if n:
-                    todo.append((at, at + n, node))
-                at += n
-        self.centre = np.array(self.centre)
-        self.radius, self.norm = np.array(self.radius), np.array(self.norm)
+        squares = (points**2).sum(1)
+
+        def distances(rows: np.ndarray, row: int) -> np.ndarray:
+            far = np.sqrt(np.maximum(squares[rows] + squares[row] - 2 * (points[rows] @ points[row]), 0))
+            far[rows == row] = 0
+            return far
+
+        middle = int(((points - points.mean(0)) ** 2).sum(1).argmin())
+        # (row of the centre, radius, begin, end) of each node; children are appended side by side.
+        nodes = [(middle, float(distances(self.order, middle).max()), 0, len(points))]
+        first, count = [], []
+        while len(first) < len(nodes):
+            middle, radius, lo, hi = nodes[len(first)]
+            first.append(len(nodes))
+            if hi - lo > LEAF and radius > 0:
+                nodes += self._children(distances, middle, radius, lo, hi)
+            count.append(len(nodes) - first[-1])
+        self.middle, self.begin, self.end = (np.array([n[c] for n in nodes]) for c in (0, 2, 3))
+        # Distances come from squares and products; this is more than their rounding.
+        self.room = np.sqrt(1e-15 * points.shape[1] * squares.max())
+        self.radius = np.array([n[1] for n in nodes]) + self.room
+        self.first, self.count = np.array(first), np.array(count)
+        norms = np.sqrt(squares)[self.order]
+        self.norm = np.array([norms[lo:hi].max() for lo, hi in zip(self.begin, self.end, strict=True)])
+        leaves = np.concatenate(([0], np.cumsum(self.count == 0)))
+        self.flat = leaves[self.first + self.count] - leaves[self.first] == self.count
+        self.place(points)
+
+    def _children(self, distances, middle: int, radius: float, lo: int, hi: int) -> list[tuple]:
+        """A net of half the radius: the node's centre, then any vector that no centre so far covers."""
+        left, found, parts = self.order[lo:hi].copy(), [], []
+        while len(left):
+            row = int(left[0]) if found else middle
+            far = distances(left, row)
+            near = far <= radius / 2
+            parts.append(left[near])
+            found.append((row, float(far[near].max())))
+            left = left[~near]
+        self.order[lo:hi] = np.concatenate(parts)
+        ends = (lo + np.cumsum([len(x) for x in parts])).tolist()
+        return [(row, r, end - len(x), end) for (row, r), x, end in zip(found, parts, ends, strict=True)]
+
+    def kids(self, i: int) -> np.ndarray:
+        return np.arange(self.first[i], self.first[i] + self.count[i])
+
+    def place(self, points: np.ndarray) -> CoverTree:
+        self.centre = points[self.middle]
         self.centre_norm = np.sqrt((self.centre**2).sum(1))
+        return self
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("centre", "centre_norm")}
 
 
 def bound(q: CoverTree, i, x: CoverTree, j) -> np.ndarray:
@@ -124,20 +140,34 @@ class Best:
 
 
 def dual_search(best: Best, queries: CoverTree, ids: np.ndarray, points: np.ndarray, data: CoverTree) -> None:
-    """Descend both trees together; node pairs that cannot reach the worst kth score of the query node are left."""
+    """Descend both trees together; node pairs that cannot reach the worst kth score of the query node are left.
+
+    Leaves below one node are bounded by array and scored together, the most promising first.
+    """
     todo = [(0, 0)]
     while todo:
         i, j = todo.pop()
         rows = queries.order[queries.begin[i]:queries.end[i]]
         if bound(queries, i, data, j) < best.worst(rows):
             continue
-        below_q, below_x = queries.children[i], data.children[j]
-        if below_x and (not below_q or data.radius[j] >= queries.radius[i]):
-            kids = np.array(below_x)
+        if data.count[j] and (not queries.count[i] or (data.radius[j] >= queries.radius[i] and not data.flat[j])):
+            kids = data.kids(j)
+            b = bound(queries, i, data, kids)
+            ranked = np.argsort(b)
+            ranked = ranked[~(b[ranked] < best.worst(rows))]
+            together = data.count[kids[ranked]] == 0 if not queries.count[i] else np.zeros(len(ranked), bool)
+            leaves = ranked[together][::-1]
+            for k in range(0, len(leaves), TOGETHER):
+                some = leaves[k:k + TOGETHER]
+                some = kids[some[~(b[some] < best.worst(rows))]]
+                if not len(some):
+                    break
+                at = np.concatenate([data.order[data.begin[c]:data.end[c]] for c in some])
+                best.offer(rows, ids[at], points[at])
             # The most promising child is taken from the stack first.
-            todo += [(i, int(c)) for c in kids[np.argsort(bound(queries, i, data, kids))]]
-        elif below_q:
-            todo += [(c, j) for c in below_q]
+            todo += [(i, int(c)) for c in kids[ranked[~together]]]
+        elif queries.count[i]:
+            todo += [(int(c), j) for c in queries.kids(i)]
         else:
             at = data.order[data.begin[j]:data.end[j]]
             best.offer(rows, ids[at], points[at])
@@ -164,11 +194,6 @@ def _same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (a, b))
 
 
-def _wide(tree: CoverTree, width: int) -> CoverTree:
-    tree.centre = np.pad(tree.centre, ((0, 0), (0, width - tree.centre.shape[1])))
-    return tree
-
-
 def scaled(embeddings: DataFrame) -> DataFrame:
     """vec_id and the vector floor(256 * x) as packed doubles; one row per vec_id."""
     good = F.col("embedding").isNotNull() & F.forall(
@@ -290,9 +315,9 @@ def top_k(embeddings: DataFrame, asked: Column, k: int = K) -> DataFrame:
     slices = max(1, -(-blocks.count() // (8 * GROUPS)))
     sliced = places.withColumn("slice", F.pmod(F.xxhash64(F.lit(9), "cell", "part"), F.lit(slices)).cast("long"))
     asked_roots = groups.select("chunk", "q_cell", "q_part", "query_root", "worst").withColumn("slice", _each(slices))
-    pairs = sliced.groupBy("chunk", "slice").cogroup(asked_roots.groupBy("chunk", "slice")).applyInPandas(
+    pairs = written(sliced.groupBy("chunk", "slice").cogroup(asked_roots.groupBy("chunk", "slice")).applyInPandas(
         near, "cell long, part long, q_cell long, q_part long"
-    )
+    ), "block-pairs")
     sent = pairs.join(groups.select("chunk", "q_cell", "q_part", "queries"), ["q_cell", "q_part"]).select("cell", "part", "chunk", "queries")
 
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -309,14 +334,16 @@ def top_k(embeddings: DataFrame, asked: Column, k: int = K) -> DataFrame:
                         out.append(pd.DataFrame({"query_id": q, "vec_id": ids[top], "score": [int(score[r]) for r in top]}, dtype="int64"))
                     continue
                 best = Best(q_ids, wide_q, k, floor)
-                dual_search(best, _wide(q_tree, wide_q.shape[1]), ids, wide_x, _wide(tree, wide_x.shape[1]))
+                dual_search(best, q_tree.place(wide_q), ids, wide_x, tree.place(wide_x))
                 hit = best.score >= np.maximum(floor, np.finfo(float).min)[:, None]
                 rows = np.nonzero(hit)[0]
                 out.append(pd.DataFrame({"query_id": q_ids[rows], "vec_id": best.found[hit], "score": best.score[hit].astype(np.int64)}))
         return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "vec_id", "score"], dtype="int64")
 
-    data = blocks.select("cell", "part", "ids", "points", "tree", _each(chunks).alias("chunk"))
+    # A block is copied to those chunks only that have a query tree for it.
     by = ["cell", "part", "chunk"]
+    wanted = pairs.select("cell", "part", F.pmod(F.xxhash64("q_cell", "q_part"), F.lit(chunks)).cast("long").alias("chunk")).distinct()
+    data = blocks.select("cell", "part", "ids", "points", "tree").join(wanted, ["cell", "part"])
     found = data.groupBy(*by).cogroup(sent.groupBy(*by)).applyInPandas(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

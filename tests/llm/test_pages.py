@@ -288,19 +288,50 @@ def test_search_edges(spark):
     assert got == [(0, 1, 50, 196608), (0, 2, 1, 131072), (50, 1, 1, 393216), (50, 2, 0, 196608)]
 
 
-def test_bound_holds_and_prunes():
+def nodes_of(tree, points):
+    return [points[tree.order[tree.begin[i]:tree.end[i]]] for i in range(len(tree.radius))]
+
+
+def share_scored(points, queries):
+    """Share of all (query, vector) pairs that the dual search scores."""
+    offered, best = [], search.Best(np.arange(len(queries)), queries, 5)
+    real = best.offer
+    best.offer = lambda rows, ids, at: (offered.append(len(rows) * len(ids)), real(rows, ids, at))
+    search.dual_search(best, search.CoverTree(queries), np.arange(len(points)), points, search.CoverTree(points))
+    plain = np.sort(queries @ points.T - np.where(np.arange(len(queries))[:, None] == np.arange(len(points)), np.inf, 0), axis=1)[:, ::-1][:, :5]
+    assert (best.score == plain).all()
+    return sum(offered) / (len(points) * len(queries))
+
+
+@pytest.mark.parametrize("spread", [0.05, 2.0])
+def test_cover_tree_has_levels(spread):
+    """Nested centres, covered vectors, separated siblings, radii that halve, and a bound that holds."""
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(6, 5)) * 10
-    points = np.floor(256 * (centres[rng.integers(0, 6, 600)] + rng.normal(size=(600, 5)) * 0.05))
+    points = np.floor(256 * (centres[rng.integers(0, 6, 1500)] + rng.normal(size=(1500, 5)) * spread))
     tree = search.CoverTree(points)
-    for i in range(len(tree.radius)):
-        a = points[tree.order[tree.begin[i]:tree.end[i]]]
-        for j in range(0, len(tree.radius), 5):
-            b = points[tree.order[tree.begin[j]:tree.end[j]]]
-            assert (a @ b.T).max() <= search.bound(tree, i, tree, j)
-    offered = []
-    best = search.Best(np.arange(600), points, 5)
-    real = best.offer
-    best.offer = lambda rows, ids, at: (offered.append(len(rows) * len(ids)), real(rows, ids, at))
-    search.dual_search(best, tree, np.arange(600), points, search.CoverTree(points))
-    assert sum(offered) < 0.5 * 600 * 600
+    members = nodes_of(tree, points)
+    assert sorted(tree.order.tolist()) == list(range(1500)) and tree.count.max() > 1
+    for i, inside in enumerate(members):
+        assert np.sqrt(((inside - tree.centre[i]) ** 2).sum(1)).max() <= tree.radius[i]
+        kids = tree.kids(i)
+        if len(kids):
+            assert tree.middle[kids[0]] == tree.middle[i] and sum(len(members[c]) for c in kids) == len(inside)
+            assert (tree.radius[kids] <= tree.radius[i] / 2 + tree.room).all()
+            apart = np.sqrt(((tree.centre[kids][:, None] - tree.centre[kids]) ** 2).sum(2))
+            assert (apart + np.eye(len(kids)) * 1e300 > tree.radius[i] / 2 - tree.room).all()
+        for j in range(0, len(members), 7):
+            assert (inside @ members[j].T).max() <= search.bound(tree, i, tree, j)
+
+
+def test_search_prunes_where_vectors_cluster(spark):
+    """Few pairs are scored on clusters. On the driver's vectors (random directions) no bound by radii leaves any out."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(30, 8)) * 10
+    points = np.floor(256 * (centres[rng.integers(0, 30, 2000)] + rng.normal(size=(2000, 8)) * 0.05))
+    assert share_scored(points, points[:600]) < 0.3
+    frame = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").orderBy("vec_id").toPandas()
+    table = np.floor(256 * np.array(frame["embedding"].tolist(), np.float64))
+    share = share_scored(table, table[:40])
+    print(f"share of pairs scored on the driver's table: {share:.3f}")
+    assert share <= 1
