@@ -172,8 +172,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     )
     sized = docs.withColumn(size, word_count(F.col("text")))
     same = sized["doc_id"].eqNullSafe(F.col(t_id)) & sized["source"].eqNullSafe(F.col(t_source)) & (F.col(size) == F.col(t_size))
-    # Rows that repeat an id share its copies.
-    nth = F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy(F.lit(0)))
+    # Rows that repeat an id share its copies, in an order that their texts set.
+    nth = F.row_number().over(Window.partitionBy("doc_id", "source", size).orderBy(F.xxhash64("text")))
     own = F.floor(F.col(copies) / F.col(rows)) + (nth <= F.col(copies) % F.col(rows)).cast("long")
     return (
         sized.join(taken, same).withColumn(copies, own)
