@@ -2,16 +2,17 @@
 
 The automaton holds every run of consecutive words of every template. A text is
 streamed through it once: after each word it holds the longest run of template
-words that ends there. Long maximal runs are chained, in the order of text and
-template, into the template span that they cover; a template covered widely
-enough gives its label, if the span has the words that tell its licence from the
-nearest others and none of theirs, and no wider covered template claims the same
-words for another label. Places of base phrases fall out of the same pass, since
+words that ends there. Runs that a template can't continue are chained, in the order of text and
+template, into the span that covers most of the template's words; a template covered widely
+enough gives its label, if the span tells its licence from the nearest others: the words that
+set them apart come from the differences of the templates themselves. Where spans share covered words,
+the one that covers more stands. Places of base phrases fall out of the same pass, since
 a phrase ends wherever its state is a suffix of the state reached.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import map_batches, utf8
+from .license_texts import notices as all_notices
 
 #: Phrases whose places are counted, with their labels.
 PHRASES = {
@@ -26,45 +28,6 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: Notices that the method looks for besides the phrases: (label, text).
-NOTICES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software "
-            "and associated documentation files the software to deal in the software without restriction"),
-    ("apache-2", "licensed under the apache license version 2 0 the license "
-                 "you may not use this file except in compliance with the license"),
-    ("cc-by", "creative commons attribution 4 0 international license"),
-    ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by-nc-sa", "creative commons attribution noncommercial sharealike 4 0 international license"),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("gpl-2", "this work is licensed under the gnu general public license version 2"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the "
-            "gnu general public license as published by the free software foundation"),
-    ("lgpl", "gnu lesser general public license"),
-    ("agpl", "gnu affero general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted "
-            "provided that the following conditions are met"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-)
-_NC, _SA = ("noncommercial", "non commercial"), ("sharealike", "share alike")
-_ND = ("noderivatives", "noderivs", "no derivatives", "no derivs")
-_LESSER, _AFFERO = ("lesser", "library"), ("affero",)
-#: What tells a licence from its nearest: (needed, foreign), each of lists of spellings. A chain has one
-#: spelling of every needed list, up to a gap behind its end too, and none of a foreign list within.
-TELLING = {
-    "apache-2": ((("apache",), ("version 2", "v 2", "v2")), ()),
-    "cc-by": ((), (_NC, _SA, _ND)),
-    "cc-by-nc": ((_NC,), (_SA, _ND)),
-    "cc-by-nc-sa": ((_NC, _SA), (_ND,)),
-    "cc-by-sa": ((_SA,), (_NC, _ND)),
-    "gpl": ((("general public",),), (_LESSER, _AFFERO)),
-    "gpl-2": ((("version 2", "v 2", "v2"),), (_LESSER, _AFFERO)),
-    "gpl-3": ((("version 3", "v 3", "v3"),), (_LESSER, _AFFERO)),
-    "lgpl": ((_LESSER,), (_AFFERO,)),
-    "agpl": ((_AFFERO,), (_LESSER,)),
-    "mpl-2": ((("mozilla",), ("v 2", "v2", "version 2")), ()),
-}
 #: Bytes that are no part of a word become blanks; A-Z becomes a-z. Other bytes stay.
 _WORDS = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -75,32 +38,52 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_WORDS).split()
 
 
+def unaligned(a: Sequence[int], b: Sequence[int]) -> tuple[list[int], list[int]]:
+    """Positions of ``a`` and of ``b`` outside a longest common subsequence of the two."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        row, below = best[i], best[i + 1]
+        for j in range(len(b) - 1, -1, -1):
+            row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
+    i = j = 0
+    only_a, only_b = [], []
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            only_a.append(i)
+            i += 1
+        else:
+            only_b.append(j)
+            j += 1
+    return [*only_a, *range(i, len(a))], [*only_b, *range(j, len(b))]
+
+
 class LicenseAutomaton:
     """Generalised suffix automaton over template words, with chaining of its matches.
 
     ``min_run``: words of a run that takes part in a chain (or the whole template,
     if shorter). ``cover``: share of a template's words that gives its label.
-    ``telling``: by label, what a chain must and must not have besides, see TELLING.
+    ``notices``: pairs of label and text, by default those of ``license_texts``.
     """
 
-    def __init__(self, phrases: Mapping[str, str] = PHRASES, notices: Sequence[tuple[str, str]] = NOTICES,
-                 min_run: int = 3, cover: float = 0.8, telling: Mapping[str, tuple] = TELLING):
+    def __init__(self, phrases: Mapping[str, str] = PHRASES, notices: Sequence[tuple[str, str]] | None = None,
+                 min_run: int = 3, cover: float = 0.8):
         self.min_run, self.cover = min_run, cover
         self.base_labels = list(phrases.values())
+        notices = all_notices() if notices is None else notices
         tokens = [words(p.encode()) for p in phrases] + [words(t.encode()) for _, t in notices]
         self.labels = [*phrases.values(), *(label for label, _ in notices)]
-        self.telling = {
-            label: tuple([[b" %b " % b" ".join(words(x.encode())) for x in group] for group in side] for side in sides)
-            for label, sides in telling.items()
-        }
         self.ids: dict[bytes, int] = {}
         self.templates = [[self.ids.setdefault(w, len(self.ids)) for w in t] for t in tokens]
+        self.shortest = min([min_run, *map(len, tokens)])  # words of the shortest run that can take part in a chain
+        self.rivals = self._rivals()
         self.next: list[dict[int, int]] = [{}]
         self.link, self.size = [-1], [0]
         for t in self.templates:
             self._add(t)
         self.at: list[list[tuple[int, int]]] = [[] for _ in self.next]  # (template, end) of runs that end in a state
-        self.whole: list[list[tuple[int, int]]] = [[] for _ in self.next]  # (template, its words) that end in a state
+        self.whole: list[list[tuple[int, int]]] = [[] for _ in self.next]  # (phrase, its words) that end in a state
         for k, t in enumerate(self.templates):
             state = 0
             for end, w in enumerate(t, 1):
@@ -109,6 +92,8 @@ class LicenseAutomaton:
                 while up > 0:  # every suffix of a prefix is a run of the template
                     self.at[up].append((k, end))
                     up = self.link[up]
+            if k >= len(self.base_labels):
+                continue
             for s in range(1, len(self.next)):
                 up = s
                 while up > 0 and up != state:
@@ -116,6 +101,22 @@ class LicenseAutomaton:
                 if up == state:
                     self.whole[s].append((k, len(t)))
 
+    def _rivals(self) -> list[list[tuple[set[int], Counter]]]:
+        """By template, its differences to each near template of another label: (own positions, other's words).
+
+        Near are templates that share at least half of the longer one's words.
+        """
+        bags = [Counter(t) for t in self.templates]
+        rivals: list[list[tuple[set[int], Counter]]] = [[] for _ in self.templates]
+        for k, a in enumerate(self.templates):
+            for j, b in enumerate(self.templates[:k]):
+                if self.labels[j] == self.labels[k] or 2 * (bags[k] & bags[j]).total() < max(len(a), len(b)):
+                    continue
+                only_a, only_b = unaligned(a, b)
+                rivals[k].append((set(only_a), Counter(b[p] for p in only_b)))
+                rivals[j].append((set(only_b), Counter(a[p] for p in only_a)))
+        return rivals
+
     def _add(self, template: list[int]) -> None:
         last = 0
         for w in template:
@@ -154,107 +155,127 @@ class LicenseAutomaton:
 
         ``spans``: (label, first word, end word, share covered) of each labelled chain.
         """
-        ids = list(map(self.ids.get, found := words(text)))
-        step, link, size, whole = self.next, self.link, self.size, self.whole
-        hits: list[tuple[int, int]] = []  # (first word, template) of whole templates
-        runs: list[tuple[int, int, int]] = []  # (end, length, state) of maximal runs
+        ids = list(map(self.ids.get, words(text)))
+        step, link, size, whole, shortest = self.next, self.link, self.size, self.whole, self.shortest
+        base: list[tuple[int, int]] = []  # (first word, phrase)
+        reached: list[tuple[int, int, int]] = []  # (end, length, state) after each word that a run may end with
         state = length = 0
         before = -1
         for i in [i for i, t in enumerate(ids) if t is not None]:
             t = ids[i]
-            if i != before + 1 and length:
-                if length > 1:
-                    runs.append((before + 1, length, state))
+            if i != before + 1:
                 state = length = 0
             if t in step[state]:
                 state = step[state][t]
                 length += 1
             else:
-                if length > 1:
-                    runs.append((i, length, state))
                 while state > 0 and t not in step[state]:
                     state = link[state]
                 length = size[state] + 1
                 state = step[state][t]
             for k, n in whole[state]:
                 if length >= n:
-                    hits.append((i + 1 - n, k))
+                    base.append((i + 1 - n, k))
+            if length >= shortest:
+                reached.append((i + 1, length, state))
             before = i
-        if length > 1:
-            runs.append((before + 1, length, state))
-        base = [(at, k) for at, k in hits if k < len(self.base_labels)]
         labels = {self.base_labels[k] for _, k in base}
-        chains = self._chains(runs)
-        score = 1.0 if hits else max((c[3] for c in chains), default=0.0)
-        chosen = self._chosen(found, chains, hits) if score >= self.cover else []
+        chains = self.chains(ids, reached) if reached else []
+        chosen, widest = self._chosen(ids, chains)
+        score = 1.0 if base else widest
         starts = [s for s, _ in base]
-        return (len(found), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)),
+        return (len(ids), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)),
                 ",".join(sorted(labels | {s[0] for s in chosen})), score, chosen)
 
     def _gap(self, k: int) -> int:
         """Words that may lie between two runs of a template's chain."""
         return max(2, len(self.templates[k]) // 4)
 
-    def _chosen(self, found: list[bytes], chains: list[tuple], hits: list[tuple[int, int]]) -> list[tuple[str, int, int, float]]:
-        """(label, first word, end word, share covered) of each template's best chain that stands.
+    def runs(self, ids: Sequence[int | None], reached: Sequence[tuple[int, int, int]]) -> dict[int, list[tuple[int, int, int]]]:
+        """By template, the runs (end in the text, end in the template, length) that can't be continued, in text order.
+
+        A run has ``min_run`` words, or the whole template if that is shorter.
+        """
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for end, length, state in reached:
+            follows = ids[end] if end < len(ids) else None
+            seen: set[tuple[int, int]] = set()
+            while state > 0 and length >= self.shortest:
+                for k, at in self.at[state]:  # the longest suffix at a place comes first
+                    t = self.templates[k]
+                    if (k, at) in seen:
+                        continue
+                    seen.add((k, at))
+                    if length >= min(self.min_run, len(t)) and (at == len(t) or t[at] != follows):
+                        found.setdefault(k, []).append((end, at, length))
+                state = self.link[state]
+                length = self.size[state]
+        return found
 
-        Whole templates stand by themselves; other chains need the words that
-        tell their licence. Where chains share covered words under two labels, the
-        wider covered one stands, of equals the longer, then the earlier.
+    def chains(self, ids: Sequence[int | None], reached: Sequence[tuple[int, int, int]]) -> list[tuple]:
+        """The widest chain that ends with each run: (words covered, template, first word, end word, pieces).
+
+        A run follows another one of its template when it ends behind it in text and template; the part
+        that lies behind in both counts, and at most the template's gap lies between the two in the text.
+        Of equally wide chains the one that begins later stands. ``pieces`` are linked
+        (end in the text, end in the template, length), the last first.
+        """
+        out = []
+        for k, runs in self.runs(ids, reached).items():
+            gap, ends = self._gap(k), []
+            for end, at, length in runs:
+                best = (length, end - length, ((end, at, length), None))
+                for was_end, was_at, chain in reversed(ends):
+                    if was_end < end - length - gap:
+                        break  # runs are in text order
+                    fresh = min(length, end - was_end, at - was_at)
+                    if fresh > 0 and end - fresh - was_end <= gap and (chain[0] + fresh, chain[1]) > best[:2]:
+                        best = (chain[0] + fresh, chain[1], ((end, at, fresh), chain[2]))
+                ends.append((end, at, best))
+                out.append((best[0], k, best[1], end, best[2]))
+        return out
+
+    def _chosen(self, ids: Sequence[int | None], chains: list[tuple]) -> tuple[list[tuple[str, int, int, float]], float]:
+        """((label, first word, end word, share covered) of each template's best chain that stands, the widest share).
+
+        Where chains share covered words under two labels, the one that covers more words stands, of equals
+        the wider, then the earlier. A chain that doesn't tell its licence counts by ``cover`` of its share in the second result.
         """
-        able = [(k, at, at + (n := len(self.templates[k])), 1.0, ((at, at + n), None)) for at, k in hits]
-        able += [c for c in chains if c[3] >= self.cover and self._told(found, *c[:3])]
+        able, widest = [], 0.0
+        for covered, k, first, end, pieces in chains:
+            share = covered / len(self.templates[k])
+            if share < self.cover:
+                widest = max(widest, share)
+            elif self._told(ids, k, first, end, pieces):
+                widest = max(widest, share)
+                able.append((-covered, -share, first, end, k, pieces))
+            else:
+                widest = max(widest, share * self.cover)
         owner: dict[int, str] = {}
-        best: dict[int, tuple[int, int, int, float]] = {}
-        for k, first, end, share, pieces in sorted(able, key=lambda c: (-c[3], -c[3] * len(self.templates[c[0]]), *c[1:3], c[0])):
+        best: dict[int, tuple[int, int, float]] = {}
+        for _, share, first, end, k, pieces in sorted(able, key=lambda c: c[:5]):
             label, own = self.labels[k], []
             while pieces:
-                own += range(*pieces[0])
-                pieces = pieces[1]
+                (stop, _, length), pieces = pieces
+                own += range(stop - length, stop)
             if all(owner.get(w, label) == label for w in own):
                 owner.update(dict.fromkeys(own, label))
-                best.setdefault(k, (k, first, end, share))
-        return [(self.labels[k], *span) for k, *span in sorted(best.values(), key=lambda s: s[1:3])]
-
-    def _told(self, found: list[bytes], k: int, first: int, end: int) -> bool:
-        """Whether the words of a chain tell its licence from the nearest others."""
-        needed, foreign = self.telling.get(self.labels[k], ((), ()))
-        inside, near = (b" %b " % b" ".join(found[first:e]) for e in (end, end + self._gap(k)))
-        return all(any(x in near for x in group) for group in needed) and not any(x in inside for group in foreign for x in group)
-
-    def _chains(self, runs: list[tuple[int, int, int]]) -> list[tuple]:
-        """All chains: (template, first word, end word, share of its words covered, covered words).
-
-        Runs are in text order. A run continues a template's open chain when it
-        lies behind it in the text, by no more than the template's gap, and
-        in the template; else it opens a new chain. Covered words are linked
-        (first, end) pairs, the last first.
-        """
-        done: dict[tuple[int, int], tuple] = {}
-        open_: dict[int, tuple] = {}  # template: text start, text end, template end, words, covered words
-        for end, length, state in runs:
-            places: dict[int, tuple[int, int]] = {}  # the longest suffix of the run in each template
-            while state > 0:
-                for k, at in self.at[state]:
-                    places.setdefault(k, (at, length))
-                state = self.link[state]
-                length = self.size[state]
-            for k, (at, run) in places.items():
-                n, gap = len(self.templates[k]), self._gap(k)
-                if run < min(self.min_run, n):
-                    continue
-                start, t0 = end - run, at - run
-                was = open_.get(k)
-                if was and was[2] <= t0 and was[1] <= start <= was[1] + gap:
-                    chain = (was[0], end, at, was[3] + run, ((start, end), was[4]))
-                elif was and was[2] < at and was[1] < end and at - was[2] <= end - was[1] <= at - was[2] + gap:
-                    fresh = at - was[2]  # overlapping runs count once
-                    chain = (was[0], end, at, was[3] + fresh, ((end - fresh, end), was[4]))
-                else:
-                    chain = (start, end, at, run, ((start, end), None))
-                open_[k] = chain
-                done[k, chain[0]] = (k, chain[0], end, chain[3] / n, chain[4])
-        return list(done.values())
+                best.setdefault(k, (first, end, -share))
+        return [(self.labels[k], *span) for k, span in sorted(best.items(), key=lambda b: (*b[1][:2], b[0]))], widest
+
+    def _told(self, ids: Sequence[int | None], k: int, first: int, end: int, pieces: tuple | None) -> bool:
+        """Whether a chain tells its licence from each rival: ``cover`` of its own words that the rival lacks are
+        covered, and not as many of the rival's words that it lacks itself lie between its runs."""
+        between, places = Counter(ids[first:end]), set()
+        while pieces:
+            (_, at, length), pieces = pieces
+            places.update(range(at - length, at))
+        between.subtract(self.templates[k][p] for p in places)
+        between = +between
+        return all(
+            len(own & places) >= self.cover * len(own) and not (theirs and (theirs & between).total() >= self.cover * theirs.total())
+            for own, theirs in self.rivals[k]
+        )
 
 
 SCHEMA = T.StructType([
@@ -283,7 +304,7 @@ def scan_licenses(docs: DataFrame, automaton: LicenseAutomaton | None = None) ->
     score 0, no spans. Repeated rows give repeated results; columns other than
     doc_id and text take no part. ``score`` is the widest cover of any template,
     1 when a phrase occurs; a wide cover without the words that tell the licence
-    gives a score and no label.
+    gives a lower score and no label.
     """
     auto = automaton or LicenseAutomaton()
 

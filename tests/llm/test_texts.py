@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfcast.llm import licenses, mixing, phrases, pieces, toxicity
+from shelfcast.llm import license_texts, licenses, mixing, phrases, pieces, toxicity
 from tests.conftest import SF_CHECK
 from tests.llm.tables import documents, words
 
@@ -104,39 +104,140 @@ def test_base_places_equal_brute_force(spark):
 
 def test_notices_are_found_with_gaps_and_not_by_fragments():
     auto = licenses.LicenseAutomaton()
-    notice = dict((v, k) for v, k in reversed(licenses.NOTICES))["gpl"]
+    notice = next(text for label, text in license_texts.notices() if label == "gpl")
+    w = [x.decode() for x in licenses.words(notice.encode())]
     whole = auto.scan(f"x {notice} y".encode())
-    assert whole[5] == "gpl" and whole[6] == 1.0 and whole[7][0][1:3] == (1, 1 + len(notice.split()))
-    w = notice.split()
+    assert whole[5] == "gpl" and whole[6] == 1.0 and whole[7][0][1:3] == (1, 1 + len(w))
     assert auto.scan(" ".join(w[:9] + ["typo"] + w[10:]).encode())[5] == "gpl"
     assert auto.scan(" ".join(w[:8]).encode())[5] == ""
     assert auto.scan(b"licensed under the terms of use")[5] == ""
 
 
+PROGRAM = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, "
+
+
 @pytest.mark.parametrize(("text", "labels"), [
-    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
-    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
-    ("This work is licensed under a Creative Commons Attribution-Non-Commercial 4.0 International License.", "cc-by-nc"),
-    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
-    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa"),
-    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", ""),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by-4.0"),
+    ("This work is licensed under a Creative Commons Attribution 3.0 Unported License.", "cc-by-3.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-Non-Commercial 4.0 International License.", "cc-by-nc-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "cc-by-nd-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 2.5 License.", "cc-by-nc-nd-2.5"),
+    ("This work is licensed under a Creative Commons Attribution 9.9 License.", ""),
+    ("CC BY 4.0", "cc-by-4.0"),
+    ("https://creativecommons.org/licenses/by-sa/3.0/", "cc-by-sa-3.0"),
     ("This work is licensed under the GNU General Public License version 2.", "gpl-2"),
     ("This work is licensed under the GNU General Public License version 3.", "gpl-3"),
     ("This work is licensed under a GNU General Public License version 3.", "gpl-3"),
-    ("This work is licensed under the GNU General Public License version 1.", ""),
-    ("This work is licensed under the GNU Lesser General Public License version 3.", "lgpl"),
-    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
-     "General Public License as published by the Free Software Foundation", "lgpl"),
-    ("Licensed under the Apache License, Version 1.1 (the License); you may not use this file except in compliance with the License", ""),
+    ("This work is licensed under the GNU General Public License version 1.", "gpl-1"),
+    ("This work is licensed under the GNU General Public License version 9.", ""),
+    ("This work is licensed under the GNU Lesser General Public License version 3.", "lgpl-3"),
+    (PROGRAM.format("General Public License") + "either version 2 of the License, or (at your option) any later version", "gpl-2"),
+    (PROGRAM.format("General Public License") + "either version 3 of the License, or (at your option) any later version", "gpl-3"),
+    (PROGRAM.format("Lesser General Public License") + "either version 2.1 of the License", "lgpl-2.1"),
+    (PROGRAM.format("Lesser General Public License"), "lgpl"),
+    (PROGRAM.format("Affero General Public License") + "either version 3 of the License", "agpl-3"),
+    ("Licensed under the Apache License, Version 1.1 (the License); you may not use this file except in compliance with the License", "apache-1.1"),
+    ("Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License", "apache-2"),
     ("This work is licensed under the GNU General Public License version 2. This work is licensed under the GNU "
      "General Public License version 3.", "gpl-2,gpl-3"),
     ("This work is licensed under the GNU Lesser General Public License version 3. This work is licensed under the GNU "
-     "General Public License version 3.", "gpl-3,lgpl"),
+     "General Public License version 3.", "gpl-3,lgpl-3"),
+    ("SPDX-License-Identifier: GPL-3.0-only", "gpl-3"),
+    ("SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl-2.1"),
+    ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3"),
+    ("SPDX-License-Identifier: MIT", "mit"),
 ])
 def test_near_licences_are_told_apart(text, labels):
     assert licenses.LicenseAutomaton().scan(f"x y {text} z".encode())[5] == labels
 
 
+@pytest.mark.parametrize("every", [None, 23])
+def test_whole_texts_give_their_own_label(every):
+    """Every template gives its label and no other, also with every so many words of a long one misspelt."""
+    auto = licenses.LicenseAutomaton()
+    for label, text in license_texts.notices():
+        w = [x.decode() for x in licenses.words(text.encode())]
+        if every and len(w) < 3 * every:
+            continue
+        spoilt = ["typo" if every and k % every == 11 else x for k, x in enumerate(w)]
+        found = auto.scan(f"Copyright 2020 {' '.join(spoilt)} end".encode())
+        assert set(found[5].split(",")) - set(found[4].split(",")) <= {label} and label in {s[0] for s in found[7]}, (label, text, found)
+
+
+def test_unaligned_equals_every_subsequence():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        a, b = (rng.integers(0, 3, int(n)).tolist() for n in rng.integers(0, 7, 2))
+        only_a, only_b = licenses.unaligned(a, b)
+        kept = [w for p, w in enumerate(a) if p not in only_a]
+        assert kept == [w for p, w in enumerate(b) if p not in only_b]
+        common = {c for n in range(len(a) + 1) for c in itertools.combinations(a, n)} & {c for n in range(len(b) + 1) for c in itertools.combinations(b, n)}
+        assert len(kept) == max(map(len, common))
+
+
+def brute_chains(auto, ids):
+    """{(template, end, words covered, first word)} of the widest chain behind each run, by trying all of them."""
+    out = []
+    for k, t in enumerate(auto.templates):
+        runs, gap = [], max(2, len(t) // 4)
+        for end, at in itertools.product(range(1, len(ids) + 1), range(1, len(t) + 1)):
+            n = 0
+            while n < min(end, at) and ids[end - n - 1] == t[at - n - 1]:
+                n += 1
+            if n >= min(auto.min_run, len(t)) and not (end < len(ids) and at < len(t) and ids[end] == t[at]):
+                runs.append((end, at, n))
+
+        def ways(last):
+            end, at, n = last
+            yield n, end - n
+            for was in runs:
+                fresh = min(n, end - was[0], at - was[1])
+                if fresh > 0 and end - fresh - was[0] <= gap:
+                    for covered, first in ways(was):
+                        yield covered + fresh, first
+
+        out += [(k, end, *max(ways((end, at, n)))) for end, at, n in runs]
+    return sorted(out)
+
+
+def test_chains_equal_brute_force():
+    rng = np.random.default_rng(12)
+    longest = 0
+    for _ in range(150):
+        texts = [" ".join(rng.choice(list("abcdef"), int(n))) for n in rng.integers(3, 14, 4)]
+        auto = licenses.LicenseAutomaton({"a b c": "p"}, [(f"l{k}", t) for k, t in enumerate(texts)], min_run=2)
+        parts = []
+        for _ in range(4):
+            t = texts[int(rng.integers(0, 4))].split()
+            at = int(rng.integers(0, len(t)))
+            parts += t[at:at + int(rng.integers(1, 8))] + ["x"] * int(rng.integers(0, 4))
+        ids = [auto.ids.get(w.encode()) for w in parts]
+        reached = []
+        for end in range(1, len(ids) + 1):  # the longest run of any template that ends here, by trying all lengths
+            for n in range(end, 0, -1):
+                state = 0
+                for w in ids[end - n:end]:
+                    state = auto.next[state].get(w, -1) if state >= 0 else -1
+                if state > 0:
+                    reached.append((end, n, state))
+                    break
+        got = sorted((k, end, covered, first) for covered, k, first, end, _ in auto.chains(ids, reached))
+        assert got == brute_chains(auto, ids)
+        longest = max([longest, *(n for _, n, _ in reached)])
+        # The scan's own pass: every labelled span is one of these chains.
+        spans = {(label, first, end) for label, first, end, _ in auto.scan(" ".join(parts).encode())[7]}
+        assert spans <= {(auto.labels[k], first, end) for k, end, _, first in got}
+    assert longest > 5
+
+
+def test_a_run_that_another_template_continues_is_not_lost():
+    auto = licenses.LicenseAutomaton({"q q q q": "q"}, (("long", "a b c d e f g h i"), ("short", "a b c x y z")))
+    assert auto.scan(b"a b c d x y z")[7] == [("short", 0, 7, 1.0)]
+
+
 def test_far_runs_are_no_chain():
     text = "this work is licensed under the gnu" + " x" * 6 + " general public license version 3"
     assert licenses.LicenseAutomaton().scan(text.encode())[5] == ""
