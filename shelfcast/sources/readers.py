@@ -43,7 +43,8 @@ def parse_pos_lines(lines: DataFrame, column: str, header: list[str]) -> DataFra
     the lines may come from anywhere (a topic, a table, another query). Malformed ones as in :func:`read_pos_csv`."""
     schema = ", ".join(f"`{f.name}` string" for f in _raw_schema(header))
     row = F.from_csv(F.col(column), schema, {"columnNameOfCorruptRecord": MALFORMED, "mode": "PERMISSIVE"})
-    return _as_raw_table(lines.select(row.alias("_row")).select("_row.*"))
+    # A generator: the optimizer would write the parser into every column and every later filter, to run there again for each.
+    return _as_raw_table(lines.select(F.inline(F.array(row))))
 
 
 def _raw_schema(header: list[str]) -> T.StructType:

@@ -163,3 +163,17 @@ def test_only_the_years_of_a_late_file_are_replaced(spark, tmp_dir):
     write_features(tx, features, period_col="sale_date")
     write_features(late, features, period_col="sale_date")
     assert spark.read.parquet(features).groupBy("period_year").count().where("period_year = 2021").first()[1] == 5
+
+
+def test_each_line_is_parsed_once(spark):
+    from shelfcast.operators.cleaning import clean_transactions
+    from shelfcast.sources.readers import parse_pos_lines
+
+    header = ["TransactionID", "Date", "Time", "ProductID", "ProductName", "Category", "UnitPrice", "BuyingPrice", "SellingPrice", "Quantity", "Total_LKR"]
+    lines = ["T1,2025-01-05,10:30:00,P1,tea,drinks,100,80,90,2,180", None, "T2,2025-01-05"]
+    raw = parse_pos_lines(spark.createDataFrame([(x,) for x in lines], "l string"), "l", header)
+    cleaned = clean_transactions(raw)
+    # Filters and projections behind the parser must not hold copies of it.
+    assert cleaned._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 1
+    assert [(r["txn_id"], r["malformed"]) for r in raw.collect()] == [("T1", None), (None, None), (None, "T2,2025-01-05")]
+    assert [r["total_amount"] for r in cleaned.collect()] == [180.0]
