@@ -10,12 +10,16 @@ Plan shape (see ``tests/test_plans.py``):
   only. Its input is already aggregated, so a partition holds one product's
   periods (about 52 rows per year of history), whatever the line-item count;
 * gap filling (optional) adds a second window over the same product
-  partitioning and an ``explode``: no join and no extra shuffle.
+  partitioning and an ``explode``: no join and no extra shuffle. The lags of filled rows are
+  taken from the observed rows before the ``explode`` (:func:`filled_history`), so that only products
+  under several names or categories have their filled rows sorted.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +52,10 @@ class Grain:
     def next_period(self, p: Column) -> Column:
         return F.date_add(p, 7) if self.name == "weekly" else F.add_months(p, 1)
 
+    def number_of(self, p: Column) -> Column:
+        """Whole number of a period; the next period's is one more."""
+        return F.floor(F.unix_date(p) / 7).cast("int") if self.name == "weekly" else F.year(p) * 12 + F.month(p)
+
     @property
     def history_cols(self) -> tuple[str, str, str]:
         return (self.lag1_col, self.lag2_col, self.rolling_col)
@@ -177,9 +185,13 @@ def fill_gaps(rolled: DataFrame, grain: Grain) -> DataFrame:
         F.lead("category").over(w) == F.col("category")
     )
     last = F.when(same_key, grain.previous_period(next_p)).otherwise(p)
-    spread = rolled.withColumn("_periods", F.sequence(p, last, F.expr(grain.step)))
-    exploded = spread.select(
-        *[c for c in rolled.columns if c != grain.period_col],
+    return _spread(rolled.withColumn("_last", last), grain).drop("_pos")
+
+
+def _spread(rows: DataFrame, grain: Grain) -> DataFrame:
+    """Each row, then its filled rows up to the period ``_last``; ``_pos`` counts them from the row's own 0."""
+    exploded = rows.withColumn("_periods", F.sequence(F.col(grain.period_col), F.col("_last"), F.expr(grain.step))).select(
+        *[c for c in rows.columns if c not in (grain.period_col, "_last")],
         F.posexplode("_periods").alias("_pos", grain.period_col),
     )
     filled = F.col("_pos") > 0
@@ -189,7 +201,43 @@ def fill_gaps(rolled: DataFrame, grain: Grain) -> DataFrame:
             "total_amount": F.when(filled, F.lit(0).cast("bigint")).otherwise(F.col("total_amount")),
             "is_filled": filled.cast("tinyint"),
         }
-    ).drop("_pos")
+    )
+
+
+def filled_history(rolled: DataFrame, grain: Grain) -> DataFrame:
+    """:func:`fill_gaps`, then :func:`add_history`, without sorting the filled rows of most products.
+
+    A product under one name and category has a row in each period between its first and last, so
+    what lies k periods back is known from its observed rows, before the filled ones are made. Products under
+    several keys, whose rows interleave, and those with a null key or period take the two steps.
+    """
+    whole, w = Window.partitionBy("product_id"), history_window(grain)
+    p, q = F.col(grain.period_col), F.col("quantity")
+    at = grain.number_of(p)
+    # Windows over plain columns only: what they read is then the same shuffle for both kinds of products.
+    same = [F.min(c).over(whole) == F.max(c).over(whole) for c in PRODUCT_KEYS[1:]]
+    known = [F.count(c).over(whole) == F.count(F.lit(1)).over(whole) for c in (*PRODUCT_KEYS[1:], grain.period_col)]
+    one_key = F.coalesce(reduce(and_, [*same, *known]), F.lit(False))
+
+    def back(k: int) -> Column:
+        """Quantity k periods before an observed row: NULL before the first, 0 between two."""
+        value = F.when(at - grain.number_of(F.min(p).over(w)) >= k, F.lit(0).cast("bigint"))
+        for r in range(k, 0, -1):
+            value = F.when(grain.number_of(F.lag(p, r).over(w)) == at - k, F.lag(q, r).over(w)).otherwise(value)
+        return value
+
+    steps = rolled.withColumns({
+        "_back": F.array(q, *[back(k) for k in range(1, grain.rolling_width + 1)]),
+        "_last": F.coalesce(grain.previous_period(F.lead(p).over(w)), p),
+    })
+    # The windows in this order have one sort: the second asks for less than the first.
+    filled = _spread(steps.withColumn("_one_key", one_key).where("_one_key"), grain)
+    pos = F.col("_pos")
+    lags = [F.when(pos > k, F.lit(0.0)).otherwise(F.get("_back", k - pos).cast("double")) for k in range(1, grain.rolling_width + 1)]
+    oldest_first = reduce(add, reversed(lags))
+    simple = filled.withColumns({grain.lag1_col: lags[0], grain.lag2_col: lags[1], grain.rolling_col: oldest_first / grain.rolling_width})
+    rest = add_history(fill_gaps(rolled.withColumn("_one_key", one_key).where("NOT _one_key").drop("_one_key"), grain), grain)
+    return simple.select(*rest.columns).unionByName(rest)
 
 
 def narrow_types(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -242,9 +290,8 @@ def build_features(
     without complete history -> log quantity -> [FLOAT/INT narrowing].
     """
     periods = rollup(tx, grain, rolled)
-    if fill:
-        periods = fill_gaps(periods, grain)
-    out = add_calendar(add_history(periods, grain), grain, flags)
+    history = filled_history(periods, grain) if fill else add_history(periods, grain)
+    out = add_calendar(history, grain, flags)
     if drop_incomplete:
         out = out.dropna(subset=list(grain.history_cols))
     out = out.withColumn("log_quantity", F.log1p(F.greatest(F.col("quantity"), F.lit(0))))

@@ -149,3 +149,40 @@ def test_narrowing_raises_on_int_overflow(spark):
     assert dict(out.dtypes) == {"big": "int", "x": "float"}
     with pytest.raises(ArithmeticException):
         out.collect()
+
+
+def awkward_products(spark, seed: int = 5):
+    """Rolled-up rows with gaps: one key, several keys, null keys, null periods, null quantities and amounts beyond 2 ** 53."""
+    import datetime as dt
+
+    rng = np.random.default_rng(seed)
+    rows = []
+    for pid in [None, *(f"P{k}" for k in range(40))]:
+        names = [[f"n{pid}"], [f"n{pid}"], ["a", "b"], [None, "b"], [None]][int(rng.integers(0, 5))]
+        for name in names:
+            days = [dt.date(1969, 11, 2) + dt.timedelta(days=7 * int(k)) for k in rng.choice(60, int(rng.integers(1, 25)), replace=False)]
+            for day in [*days, *([None] if rng.random() < 0.1 else [])]:
+                q = None if rng.random() < 0.1 else int(rng.integers(-3, 9)) + (2**60 if rng.random() < 0.1 else 0)
+                rows.append((pid, name, None if rng.random() < 0.01 else "c", day, q, int(rng.integers(1, 9)), 1, 2, q))
+    return spark.createDataFrame(rows, "product_id string, product_name string, category string, sale_date date, quantity bigint, "
+                                 "unit_price bigint, buying_price bigint, selling_price bigint, total_amount bigint")
+
+
+@pytest.mark.parametrize("grain", [fe.WEEKLY, fe.MONTHLY])
+def test_filled_history_is_fill_then_history(spark, grain):
+    rolled = fe.rollup(awkward_products(spark), grain)
+    want = fe.add_history(fe.fill_gaps(rolled, grain), grain)
+    got = fe.filled_history(rolled, grain)
+    assert got.dtypes == want.dtypes
+    text = lambda df: sorted(map(str, df.collect()))
+    assert text(got) == text(want) and len(text(got)) > 300
+
+
+def test_filled_rows_of_one_key_are_not_sorted(spark):
+    import re
+
+    tx = to_spark(spark, sparse_products())
+    df = fe.build_features(tx, fe.WEEKLY, narrow=False, fill=True)
+    # The plan's part for products under one key, from its top down to where rows are filled.
+    simple = df._jdf.queryExecution().sparkPlan().toString().split("Union")[1].split("Generate")[0]
+    assert not re.search(r"\b(Sort|Window) \[", simple)
