@@ -3,14 +3,15 @@
 Texts are cut to words and pieces in array passes over their bytes. Prefix polynomials
 (modulo 2**64) give the hash of every word, and over the words' hashes that of every n-gram.
 
-1. Words are counted by fingerprint: a task counts what its part of the texts holds, with the smallest document
-   as a pointer, and a shuffle adds up. Then pairs of words, but only those of two frequent words, then
+1. Words are counted by fingerprint: a task counts what its part of the texts holds, and a shuffle adds up. The ``PRINT_BITS``
+   bits that are counted by hold the sieve's; two that share them can only let more through. Then pairs of words, but only those of two frequent words, then
    the longer n-grams, but only those all of whose pairs are frequent: no other can be frequent.
 2. What is frequent reaches the tasks as a bit array of fixed size (``SIEVE_BITS``). An n-gram that it lets through
    by chance is counted for nothing; none is lost, however full it gets.
 3. Fingerprints may collide, so a last pass counts by text: occurrences of what came out as frequent are
-   compared with their part's first one, word by word, and each different phrase is written out once for a
-   part, with its count. Only these texts are shuffled, and phrases below the limit are dropped.
+   compared with their part's first one, word by word, and each different phrase is written out once for
+   as many parts as ``TEXTS`` phrases last, with its count and the smallest document as a pointer. Only these texts are
+   shuffled, and phrases below the limit are dropped.
 4. Scores are joins of the frequent phrases with themselves: both parts of a frequent phrase are frequent.
 """
 
@@ -29,6 +30,10 @@ from .common import Rolling, mix64, utf8, written
 LEAST, LONGEST, BEST = 100, 5, 2000
 #: Bytes of text that an array pass takes (a part ends where a piece ends), and distinct n-grams a task keeps before it hands them on.
 PART, KEPT = 4 << 20, 1 << 20
+#: Different phrases whose texts a task keeps before it hands them on.
+TEXTS = 1 << 18
+#: Bits of a fingerprint that n-grams are counted by, the sieve's among them. Sorted, few of their bytes differ from row to row.
+PRINT_BITS = 40
 #: Size of the array that tells tasks what is frequent.
 SIEVE_BITS = 27
 
@@ -156,27 +161,27 @@ def _candidates(words: Words, lang: str, n: int, print_of: Fingerprints, sieve:
 
 
 def count_rows(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], sieve: Sieve | None, inner: int, at_most: int) -> Iterator[pa.RecordBatch]:
-    """fp, n, doc_id: what a task counts, added up as far as ``at_most`` distinct n-grams go."""
+    """fp, n: what a task counts, in the fingerprints' order, added up as far as ``at_most`` distinct n-grams go."""
     print_of, kept, held = Fingerprints(), [], 0
+    low = np.uint64((1 << PRINT_BITS) - 1)
 
     def merged() -> tuple[np.ndarray, ...]:
-        fp, n, doc = (np.concatenate(c) for c in zip(*kept, strict=True))
+        fp, n = (np.concatenate(c) for c in zip(*kept, strict=True))
         order = np.argsort(fp, kind="stable")
         fp, edge = fp[order], np.flatnonzero(np.diff(fp[order], prepend=~fp[order[:1]]))
-        return fp[edge], np.add.reduceat(n[order], edge), np.minimum.reduceat(doc[order], edge)
+        return fp[edge], np.add.reduceat(n[order], edge)
 
     def rows(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        fp, n, doc = columns
-        return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(doc)], names=["fp", "n", "doc_id"])
+        fp, n = columns
+        return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(n.astype(np.int64))], names=["fp", "n"])
 
-    for lang, words, docs in _parts(batches, print_of.of_bytes):
+    for lang, words, _ in _parts(batches, print_of.of_bytes):
         for n in sizes:
             at, fp = _candidates(words, lang, n, print_of, sieve, inner)
             if len(at):
-                order = np.argsort(fp, kind="stable")
-                fp = fp[order]
+                fp = np.sort(fp & low)
                 edge = np.flatnonzero(np.diff(fp, prepend=~fp[:1]))
-                kept.append((fp[edge], np.diff(np.append(edge, len(fp))), np.minimum.reduceat(docs[at][order], edge)))
+                kept.append((fp[edge], np.diff(np.append(edge, len(fp)))))
                 held += len(edge)
         if held > at_most:
             one = merged()
@@ -189,8 +194,17 @@ def count_rows(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], sieve:
 
 
 def phrase_rows(batches: Iterator[pa.RecordBatch], sieves: list[Sieve]) -> Iterator[pa.RecordBatch]:
-    """lang, phrase, size, f, doc_id: the phrases that the sieves let through, each different text once for a part; size 0 counts words."""
+    """lang, phrase, size, f, doc_id: the phrases that the sieves let through, added up as far as ``TEXTS`` different ones go; size 0 counts words."""
     print_of = Fingerprints()
+    kept: dict[tuple[str, bytes | None, int], tuple[int, int]] = {}
+
+    def handed_on() -> pa.RecordBatch:
+        lang, phrase, size = zip(*kept, strict=True)
+        f, doc = zip(*kept.values(), strict=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(lang), pa.array([None if p is None else p.decode() for p in phrase], pa.string()), pa.array(size, pa.int64()),
+             pa.array(f, pa.int64()), pa.array(doc, pa.int64())], names=["lang", "phrase", "size", "f", "doc_id"])
+
     for lang, words, docs in _parts(batches, print_of.of_bytes):
         rows: list[tuple[bytes | None, int, int, int]] = [(None, 0, len(words), 0)]
         numbers = None
@@ -209,18 +223,21 @@ def phrase_rows(batches: Iterator[pa.RecordBatch], sieves: list[Sieve]) -> Itera
                 rows += zip([words.phrase(p, n) for p in at[edge].tolist()], [n] * len(edge), times.tolist(), first.tolist(), strict=True)
             else:  # two phrases with one fingerprint: each on its own
                 rows += [(words.phrase(p, n), n, 1, int(docs[p])) for p in at.tolist()]
-        phrase, size, f, doc = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(rows)), pa.array([None if p is None else p.decode() for p in phrase], pa.string()), pa.array(size, pa.int64()),
-             pa.array(f, pa.int64()), pa.array(doc, pa.int64())], names=["lang", "phrase", "size", "f", "doc_id"])
+        for phrase, size, f, doc in rows:
+            had = kept.get((lang, phrase, size))
+            kept[lang, phrase, size] = (f, doc) if had is None else (had[0] + f, min(had[1], doc))
+        if len(kept) > TEXTS:
+            yield handed_on()
+            kept.clear()
+    if kept:
+        yield handed_on()
 
 
 def _counted(texts: DataFrame, sizes: tuple[int, ...], sieve: Sieve | None, inner: int, least: int) -> DataFrame:
-    """fp, n, doc_id (the smallest that has it) of the n-grams of these sizes with at least ``least`` occurrences."""
+    """fp, n of the n-grams of these sizes with at least ``least`` occurrences."""
     shared = texts.sparkSession.sparkContext.broadcast(sieve)
-    rows = texts.mapInArrow(lambda batches: count_rows(batches, sizes, shared.value, inner, KEPT), "fp long, n long, doc_id long")
-    found = rows.groupBy("fp").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"))
-    return written(found.where(F.col("n") >= least), "fingerprints")
+    rows = texts.mapInArrow(lambda batches: count_rows(batches, sizes, shared.value, inner, KEPT), "fp long, n long")
+    return written(rows.groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "fingerprints")
 
 
 def _phrases(texts: DataFrame, sieves: list[Sieve], least: int) -> tuple[DataFrame, DataFrame]:
