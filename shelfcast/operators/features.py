@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from operator import add, and_
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -212,21 +212,21 @@ def filled_history(rolled: DataFrame, grain: Grain) -> DataFrame:
     several keys, whose rows interleave, and those with a null key or period take the two steps.
     """
     whole, w = Window.partitionBy("product_id"), history_window(grain)
-    p, q = F.col(grain.period_col), F.col("quantity")
-    at = grain.number_of(p)
-    # Windows over plain columns only: what they read is then the same shuffle for both kinds of products.
-    same = [F.min(c).over(whole) == F.max(c).over(whole) for c in PRODUCT_KEYS[1:]]
-    known = [F.count(c).over(whole) == F.count(F.lit(1)).over(whole) for c in (*PRODUCT_KEYS[1:], grain.period_col)]
-    one_key = F.coalesce(reduce(and_, [*same, *known]), F.lit(False))
+    p, q, at = F.col(grain.period_col), F.col("quantity"), F.col("_at")
+    key = F.struct(*PRODUCT_KEYS[1:])
+    known = F.lit(True)
+    for c in (*PRODUCT_KEYS[1:], grain.period_col):
+        known = known & F.col(c).isNotNull()
+    one_key = (F.min(key).over(whole) == F.max(key).over(whole)) & F.min(known).over(whole)
 
     def back(k: int) -> Column:
         """Quantity k periods before an observed row: NULL before the first, 0 between two."""
-        value = F.when(at - grain.number_of(F.min(p).over(w)) >= k, F.lit(0).cast("bigint"))
+        value = F.when(at - F.min(at).over(w) >= k, F.lit(0).cast("bigint"))
         for r in range(k, 0, -1):
-            value = F.when(grain.number_of(F.lag(p, r).over(w)) == at - k, F.lag(q, r).over(w)).otherwise(value)
+            value = F.when(F.lag(at, r).over(w) == at - k, F.lag(q, r).over(w)).otherwise(value)
         return value
 
-    steps = rolled.withColumns({
+    steps = rolled.withColumn("_at", grain.number_of(p)).withColumns({
         "_back": F.array(q, *[back(k) for k in range(1, grain.rolling_width + 1)]),
         "_last": F.coalesce(grain.previous_period(F.lead(p).over(w)), p),
     })
