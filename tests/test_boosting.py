@@ -73,3 +73,39 @@ def test_scores_carry_on_over_a_cut_and_reload(rows, tmp_dir):
 def test_nothing_to_fit_on(rows):
     with pytest.raises(ValueError, match="no row"):
         L1Boosting(rounds=1).fit(rows.where("a < 0"))
+
+
+@pytest.mark.parametrize("few", [10_000, 5])
+def test_medians_are_exact_in_bounded_passes(spark, monkeypatch, few):
+    from shelfcast.operators import boosting
+
+    monkeypatch.setattr(boosting, "FEW", few)
+    rng = np.random.default_rng(1)
+    values = [(0, float(x)) for x in rng.normal(size=501)] + [(1, float(x)) for x in rng.integers(0, 4, 400)] + [(3, 5.0)] * 30 + [(5, None)] * 3
+    values += [(4, x) for x in (-1.7e308, 1.7e308, 0.0, 5e-324)] * 9 + [(6, 1e9 * float(x) ** 9) for x in rng.normal(size=778)]
+    rows = spark.createDataFrame(values, "leaf int, value double").repartition(3)
+    want, ranges = {}, {}
+    for leaf in range(7):
+        if own := sorted(x for k, x in values if k == leaf and x is not None):
+            want[leaf], ranges[leaf] = own[(len(own) - 1) // 2], (len(own), own[0], own[-1])
+    assert boosting.medians(rows, ranges) == want
+
+
+def test_trees_are_fitted_to_few_partitions(spark, rows):
+    from shelfcast.operators.boosting import ROWS, gathered
+
+    cores = spark.sparkContext.defaultParallelism
+    many = rows.repartition(3 * cores)
+    assert gathered(many, 900).rdd.getNumPartitions() == cores
+    assert gathered(many, ROWS * 2 * cores).rdd.getNumPartitions() == 2 * cores
+
+
+def test_daily_rows_are_made_once(spark):
+    from shelfcast.operators.scoring import train_request_model
+
+    made = spark.sparkContext.accumulator(0)
+    day = F.udf(lambda k: made.add(1) or float(k % 7), "double").asNondeterministic()
+    daily = spark.range(60).select(day("id").alias("lag_7"), (F.col("id") % 5).alias("lag_14"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("sale_date"),
+                                   (F.col("id") % 9 + 1).alias("quantity"))
+    train_request_model(daily, ["lag_7", "lag_14"], iters=1, depth=2)
+    assert made.value == 60
