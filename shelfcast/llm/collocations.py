@@ -3,15 +3,15 @@
 Texts are cut to words and pieces in array passes over their bytes. Prefix polynomials
 (modulo 2**64) give the hash of every word, and over the words' hashes that of every n-gram.
 
-1. Words are counted by fingerprint: a task counts what its part of the texts holds, and a shuffle adds up. The ``PRINT_BITS``
-   bits that are counted by hold the sieve's; two that share them can only let more through. Then pairs of words, but only those of two frequent words, then
-   the longer n-grams, but only those all of whose pairs are frequent: no other can be frequent.
+1. Words are counted: a task counts what its part of the texts holds, and a shuffle adds up. Then pairs of words, but only those of
+   two frequent words, then triples of frequent pairs, then the longer n-grams of frequent triples: no other can be frequent.
+   ``PRINT_BITS`` bits of a fingerprint, which hold the sieve's, and ``CHECK_BITS`` of a second one tell n-grams apart. The second is made of
+   random numbers for the words' bytes, so what collides in the first does not in it. A count has the smallest document as a pointer.
 2. What is frequent reaches the tasks as a bit array of fixed size (``SIEVE_BITS``). An n-gram that it lets through
    by chance is counted for nothing; none is lost, however full it gets.
-3. Fingerprints may collide, so a last pass counts by text: occurrences of what came out as frequent are
-   compared with their part's first one, word by word, and each different phrase is written out once for
-   as many parts as ``TEXTS`` phrases last, with its count and the smallest document as a pointer. Only these texts are
-   shuffled, and phrases below the limit are dropped.
+3. A last pass writes out texts, no counts: a second such array holds each frequent phrase with its smallest document, and only where
+   that document lies is the phrase written, so there are as many rows as frequent phrases, however many tasks there are. (Where
+   documents share an id, or have none, one for each of these parts.) A join with the counts drops what came by chance.
 4. Scores are joins of the frequent phrases with themselves: both parts of a frequent phrase are frequent.
 """
 
@@ -34,6 +34,8 @@ PART, KEPT = 4 << 20, 1 << 20
 TEXTS = 1 << 18
 #: Bits of a fingerprint that n-grams are counted by, the sieve's among them. Sorted, few of their bytes differ from row to row.
 PRINT_BITS = 40
+#: Bits of the second fingerprint. With 2**33 different n-grams, 2**24 of them frequent, two that share all 88 bits meet with a chance of 1e-9.
+CHECK_BITS = 48
 #: Size of the array that tells tasks what is frequent.
 SIEVE_BITS = 27
 
@@ -41,6 +43,8 @@ _BLANK, _BREAK = b" \t", b".,;:!?\n\x0b\x0c\r"
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(_BLANK)] = 1
 _KIND[list(_BREAK)] = 2
+#: A number for each place in a word and byte there; places from a prime number on share those of the first.
+_TABLES = mix64(np.arange(1, 251 * 256 + 1, dtype=np.uint64)).reshape(251, 256)
 
 
 class Words:
@@ -65,21 +69,27 @@ class Words:
     def phrase(self, at: int, n: int) -> bytes:
         return b" ".join(self.text[self.starts[k]:self.ends[k]] for k in range(at, at + n))
 
+    def coded(self, which: np.ndarray | None = None) -> pa.DictionaryArray:
+        """The bytes of all words, or of those that a mask names, each different word once."""
+        size, inside = self.ends - self.starts, self.raw[_KIND[self.raw] == 0]
+        if which is not None:
+            inside, size = inside[np.repeat(which, size)], size[which]
+        ends = np.cumsum(np.concatenate(([0], size)), dtype=np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(inside)]).dictionary_encode()
+
     def numbers(self) -> np.ndarray:
         """A number for each word, equal for equal words and only for these, whatever their hashes."""
-        _, first, number = np.unique(self.hashes, return_index=True, return_inverse=True)
-        size = self.ends - self.starts
-        like = first[number]
-        same = (size == size[like]).all()
-        if same:
-            # The bytes of every word beside those of the first word with its hash.
-            shift = np.repeat(self.starts[like] - self.starts, size)
-            inside = np.flatnonzero(_KIND[self.raw] == 0)
-            same = np.array_equal(self.raw[inside], self.raw[inside + shift])
-        if same:
-            return number
-        known: dict[bytes, int] = {}
-        return np.array([known.setdefault(self.text[a:b], len(known)) for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)])
+        return self.coded().indices.to_numpy()
+
+    def checks(self, which: np.ndarray) -> np.ndarray:
+        """Hashes of the words that a mask names, by tables of random numbers: they have nothing in common with ``hashes``."""
+        coded = self.coded(which)
+        _, ends, inside = coded.dictionary.buffers()
+        ends = np.frombuffer(ends, np.int32)[: len(coded.dictionary) + 1]
+        size, inside = np.diff(ends), np.frombuffer(inside, np.uint8)[: ends[-1]]
+        place = np.arange(len(inside)) - np.repeat(ends[:-1], size)
+        own = np.add.reduceat(_TABLES[place % len(_TABLES), inside], ends[:-1]) + size.astype(np.uint64)
+        return mix64(own)[coded.indices.to_numpy()]
 
 
 class Fingerprints:
@@ -92,6 +102,18 @@ class Fingerprints:
         own = np.uint64(xxhash.xxh3_64_intdigest(lang.encode(), seed=n))
         return mix64(self.of_words(words.hashes, n) ^ own) if len(words) >= n else np.zeros(0, np.uint64)
 
+    def check(self, words: Words, lang: str, n: int, at: np.ndarray) -> np.ndarray:
+        """Second fingerprints, of ``CHECK_BITS`` bits, of the n-grams at these places."""
+        which = np.zeros(len(words), bool)
+        for k in range(n):
+            which[at + k] = True
+        own = np.zeros(len(words), np.uint64)
+        own[which] = words.checks(which)
+        found = np.full(len(at), xxhash.xxh3_64_intdigest(lang.encode(), seed=n + (1 << 32)), np.uint64)
+        for k in range(n):
+            found = mix64(found ^ own[at + k])
+        return found >> np.uint64(64 - CHECK_BITS)
+
 
 class Sieve:
     """A bit for each fingerprint modulo the size: set for all that are frequent, and by chance for some that are not."""
@@ -115,6 +137,22 @@ class Sieve:
         return cls(words, size)
 
 
+_LOW = np.uint64((1 << PRINT_BITS) - 1)
+
+
+def _pointers(fp: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in a sieve for an n-gram with its smallest document."""
+    one = mix64(mix64(fp & _LOW) ^ doc.view(np.uint64))
+    return one, mix64(one)
+
+
+def pointer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """fp: the places of counted n-grams and their documents."""
+    for b in batches:
+        places = _pointers(b.column("fp").to_numpy().view(np.uint64), b.column("doc_id").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places).view(np.int64))], names=["fp"])
+
+
 def _parts(batches: Iterator[pa.RecordBatch], of_bytes: Rolling) -> Iterator[tuple[str, Words, np.ndarray]]:
     """(language, words, document of each word) of the texts, some megabytes at a time."""
     waiting: dict[str, tuple[list[bytes], list[int]]] = {}
@@ -160,29 +198,34 @@ def _candidates(words: Words, lang: str, n: int, print_of: Fingerprints, sieve:
     return at, print_of(words, lang, n)[at]
 
 
-def count_rows(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], sieve: Sieve | None, inner: int, at_most: int) -> Iterator[pa.RecordBatch]:
-    """fp, n: what a task counts, in the fingerprints' order, added up as far as ``at_most`` distinct n-grams go."""
+def _added(fp: np.ndarray, n: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """In the fingerprints' order, with neighbours of one fingerprint (and check) added up; more: check and document."""
+    order = np.argsort(fp)
+    fp, n, more = fp[order], n[order], [c[order] for c in more]
+    new = np.diff(fp, prepend=~fp[:1]) != 0
+    if more:
+        new[1:] |= more[0][1:] != more[0][:-1]
+    edge = np.flatnonzero(new)
+    return fp[edge], np.add.reduceat(n, edge), *((more[0][edge], np.minimum.reduceat(more[1], edge)) if more else ())
+
+
+def count_rows(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], sieve: Sieve | None, inner: int, at_most: int, pointed: bool = False) -> Iterator[pa.RecordBatch]:
+    """fp, n, if ``pointed`` also check, doc_id: what a task counts, in the fingerprints' order, added up as far as ``at_most`` distinct n-grams go."""
     print_of, kept, held = Fingerprints(), [], 0
-    low = np.uint64((1 << PRINT_BITS) - 1)
 
     def merged() -> tuple[np.ndarray, ...]:
-        fp, n = (np.concatenate(c) for c in zip(*kept, strict=True))
-        order = np.argsort(fp, kind="stable")
-        fp, edge = fp[order], np.flatnonzero(np.diff(fp[order], prepend=~fp[order[:1]]))
-        return fp[edge], np.add.reduceat(n[order], edge)
+        return _added(*(np.concatenate(c) for c in zip(*kept, strict=True)))
 
     def rows(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        fp, n = columns
-        return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(n.astype(np.int64))], names=["fp", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["fp", "n", "check", "doc_id"][: len(columns)])
 
-    for lang, words, _ in _parts(batches, print_of.of_bytes):
+    for lang, words, docs in _parts(batches, print_of.of_bytes):
         for n in sizes:
             at, fp = _candidates(words, lang, n, print_of, sieve, inner)
             if len(at):
-                fp = np.sort(fp & low)
-                edge = np.flatnonzero(np.diff(fp, prepend=~fp[:1]))
-                kept.append((fp[edge], np.diff(np.append(edge, len(fp)))))
-                held += len(edge)
+                more = (print_of.check(words, lang, n, at), docs[at]) if pointed else ()
+                kept.append(_added(fp & _LOW, np.ones(len(at), np.int64), *more))
+                held += len(kept[-1][0])
         if held > at_most:
             one = merged()
             kept, held = [one], len(one[0])
@@ -193,39 +236,50 @@ def count_rows(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], sieve:
         yield rows(merged())
 
 
-def phrase_rows(batches: Iterator[pa.RecordBatch], sieves: list[Sieve]) -> Iterator[pa.RecordBatch]:
-    """lang, phrase, size, f, doc_id: the phrases that the sieves let through, added up as far as ``TEXTS`` different ones go; size 0 counts words."""
+def phrase_rows(batches: Iterator[pa.RecordBatch], sieves: list[Sieve], firsts: Sieve | None = None) -> Iterator[pa.RecordBatch]:
+    """lang, phrase, size, f, doc_id: the phrases that the sieves let through, added up as far as ``TEXTS`` different ones go; size 0 counts words.
+
+    With ``firsts``, only from the parts where their smallest document lies (f counts these parts), and fp and check too.
+    """
     print_of = Fingerprints()
-    kept: dict[tuple[str, bytes | None, int], tuple[int, int]] = {}
+    kept: dict[tuple[str, bytes | None, int], tuple[int, int, int, int]] = {}
 
     def handed_on() -> pa.RecordBatch:
         lang, phrase, size = zip(*kept, strict=True)
-        f, doc = zip(*kept.values(), strict=True)
+        f, *more = zip(*kept.values(), strict=True)
+        more = more[: 1 if firsts is None else 3]
         return pa.RecordBatch.from_arrays(
-            [pa.array(lang), pa.array([None if p is None else p.decode() for p in phrase], pa.string()), pa.array(size, pa.int64()),
-             pa.array(f, pa.int64()), pa.array(doc, pa.int64())], names=["lang", "phrase", "size", "f", "doc_id"])
+            [pa.array(lang), pa.array([None if p is None else p.decode() for p in phrase], pa.string()), *(pa.array(c, pa.int64()) for c in (size, f, *more))],
+            names=["lang", "phrase", "size", "f", "doc_id", "fp", "check"][: 4 + len(more)])
 
     for lang, words, docs in _parts(batches, print_of.of_bytes):
-        rows: list[tuple[bytes | None, int, int, int]] = [(None, 0, len(words), 0)]
+        rows: list[tuple[bytes | None, int, int, int, int, int]] = [(None, 0, len(words), 0, 0, 0)]
         numbers = None
         for n, sieve in enumerate(sieves, 1):
             at, fp = _candidates(words, lang, n, print_of, sieve, n)
             if not len(at):
                 continue
-            numbers = words.numbers() if numbers is None else numbers
             order = np.argsort(fp, kind="stable")
             at, fp = at[order], fp[order]
             edge = np.flatnonzero(np.diff(fp, prepend=~fp[:1]))
-            times = np.diff(np.append(edge, len(fp)))
-            like = np.repeat(at[edge], times)
-            if all(np.array_equal(numbers[at + k], numbers[like + k]) for k in range(n)):
-                first = np.minimum.reduceat(docs[at], edge)
-                rows += zip([words.phrase(p, n) for p in at[edge].tolist()], [n] * len(edge), times.tolist(), first.tolist(), strict=True)
-            else:  # two phrases with one fingerprint: each on its own
-                rows += [(words.phrase(p, n), n, 1, int(docs[p])) for p in at.tolist()]
-        for phrase, size, f, doc in rows:
+            like = np.repeat(at[edge], np.diff(np.append(edge, len(fp))))
+            numbers = words.numbers() if numbers is None else numbers
+            if not all(np.array_equal(numbers[at + k], numbers[like + k]) for k in range(n)):  # two phrases with one fingerprint: each on its own
+                edge = np.arange(len(at))
+            times, first = np.diff(np.append(edge, len(fp))), np.minimum.reduceat(docs[at], edge)
+            at, fp = at[edge], fp[edge] & _LOW
+            check = np.zeros(len(at), np.uint64)
+            if firsts is not None:
+                one, two = _pointers(fp, first)
+                here = np.flatnonzero(firsts(one) & firsts(two))
+                if not len(here):
+                    continue
+                at, fp, times, first = (c[here] for c in (at, fp, times, first))
+                check = print_of.check(words, lang, n, at)
+            rows += zip([words.phrase(p, n) for p in at.tolist()], [n] * len(at), *(c.tolist() for c in (times, first, fp, check)), strict=True)
+        for phrase, size, f, doc, *prints in rows:
             had = kept.get((lang, phrase, size))
-            kept[lang, phrase, size] = (f, doc) if had is None else (had[0] + f, min(had[1], doc))
+            kept[lang, phrase, size] = (f, doc, *prints) if had is None else (had[0] + f, min(had[1], doc), *prints)
         if len(kept) > TEXTS:
             yield handed_on()
             kept.clear()
@@ -234,30 +288,33 @@ def phrase_rows(batches: Iterator[pa.RecordBatch], sieves: list[Sieve]) -> Itera
 
 
 def _counted(texts: DataFrame, sizes: tuple[int, ...], sieve: Sieve | None, inner: int, least: int) -> DataFrame:
-    """fp, n of the n-grams of these sizes with at least ``least`` occurrences."""
+    """fp, check, n, doc_id of the n-grams of these sizes with at least ``least`` occurrences."""
     shared = texts.sparkSession.sparkContext.broadcast(sieve)
-    rows = texts.mapInArrow(lambda batches: count_rows(batches, sizes, shared.value, inner, KEPT), "fp long, n long")
-    return written(rows.groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "fingerprints")
+    rows = texts.mapInArrow(lambda batches: count_rows(batches, sizes, shared.value, inner, KEPT, True), "fp long, n long, check long, doc_id long")
+    return written(rows.groupBy("fp", "check").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id")).where(F.col("n") >= least), "fingerprints")
 
 
-def _phrases(texts: DataFrame, sieves: list[Sieve], least: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, size, f, doc_id) of all frequent phrases, counted by text; (lang, n), the number of words."""
-    shared = texts.sparkSession.sparkContext.broadcast(sieves)
-    rows = texts.mapInArrow(lambda batches: phrase_rows(batches, shared.value), "lang string, phrase string, size long, f long, doc_id long")
-    sums = written(rows.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"), F.min("doc_id").alias("doc_id")), "phrases")
-    return sums.where((F.col("size") > 0) & (F.col("f") >= least)), sums.where("size = 0").select("lang", F.col("f").alias("n"))
+def _phrases(texts: DataFrame, sieves: list[Sieve], counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lang, phrase, size, f, doc_id) of all frequent phrases; (lang, n), the number of words."""
+    firsts = Sieve.of(counted.select("fp", "doc_id").mapInArrow(pointer_rows, "fp long"))
+    shared = texts.sparkSession.sparkContext.broadcast((sieves, firsts))
+    rows = texts.mapInArrow(lambda batches: phrase_rows(batches, *shared.value), "lang string, phrase string, size long, f long, doc_id long, fp long, check long")
+    rows = written(rows.groupBy("lang", "phrase", "size", "fp", "check").agg(F.sum("f").alias("f"), F.min("doc_id").alias("doc_id")), "texts")
+    found = rows.where("size > 0").drop("f").join(counted.withColumnRenamed("n", "f"), ["fp", "check", "doc_id"])
+    return written(found.select("lang", "phrase", "size", "f", "doc_id"), "phrases"), rows.where("size = 0").select("lang", F.col("f").alias("n"))
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to ``longest`` words with at least ``least`` occurrences per language, and the number of words per language."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    sieves = [Sieve.of(_counted(texts, (1,), None, 0, least))]
-    if longest > 1:
-        sieves.append(Sieve.of(_counted(texts, (2,), sieves[0], 1, least)))
-    if longest > 2:
-        longer = Sieve.of(_counted(texts, tuple(range(3, longest + 1)), sieves[1], 2, least))
-        sieves += [longer] * (longest - 2)
-    return _phrases(texts, sieves, least)
+    counted = _counted(texts, (1,), None, 0, least)
+    sieves = [Sieve.of(counted)]
+    for sizes in [(2,), (3,), tuple(range(4, longest + 1))]:
+        if sizes and longest >= sizes[0]:
+            one = _counted(texts, sizes, sieves[-1], sizes[0] - 1, least)
+            sieves += [Sieve.of(one)] * len(sizes)
+            counted = counted.union(one)
+    return _phrases(texts, sieves, counted)
 
 
 def _words_of(phrase: Column, first: Column, n: Column) -> Column:
